@@ -12,7 +12,6 @@ usable labelled row the seed lexicon's voters stand alone; rows repeat as they c
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,12 @@ from kvlake.llm.common import with_field
 
 #: Labelled rows that training reads at most, features of the classifier at most, and lexicon voters.
 TRAIN_ROWS, FEATURES, LEXICONS = 8000, 8192, 24
+#: Share of a feature's texts that must be of class 1 for it to become a voter.
+PURITY = 0.85
 PREFIXES = (4, 5, 6)
 # A general seed lexicon of insults, as text.
-SEED_WORDS = ("idiot moron stupid dumb trash garbage scum loser clown pathetic worthless disgusting filthy vermin jerk fool imbecile "
-              "coward liar pig rat ugly hate kill die shut crap damn bastard bitch whore slut freak creep degenerate subhuman").split()
+SEED_WORDS = ("idiot moron stupid trash scum loser clown pathetic worthless disgusting filthy vermin imbecile "
+              "bastard bitch whore degenerate subhuman").split()
 WORDS = r"[^\W\d_]+"
 
 
@@ -50,50 +51,80 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return [(r.text or "", int(r.toxic)) for r in sorted(texts.collect(), key=lambda r: r.doc_id)[:rows]]
 
 
-def _telling(sets: list[set[str]], y: np.ndarray) -> dict[str, float]:
+class Coded:
+    """Texts as sorted arrays of feature numbers; `names` in order of the numbers."""
+
+    def __init__(self, texts: list[str]):
+        code: dict[str, int] = {}
+        self.rows = [np.array(sorted(code.setdefault(f, len(code)) for f in features(t)), np.int32) for t in texts]
+        self.names = list(code)
+
+    def counts(self, rows: list[int]) -> np.ndarray:
+        return np.bincount(np.concatenate([np.empty(0, np.int32), *[self.rows[i] for i in rows]]), minlength=len(self.names))
+
+
+def telling(coded: Coded, rows: list[int], y: np.ndarray) -> dict[int, float]:
     """Features that go with y beyond chance: the binomial tail at the base rate, times the number tried, is below 1."""
-    total, hits = Counter(), Counter()
-    for s, label in zip(sets, y):
-        total.update(s)
-        if label >= .5:
-            hits.update(s)
+    total, hits = coded.counts(rows), coded.counts([i for i, label in zip(rows, y) if label >= .5])
     base = min(max(float(y.mean()), 1e-3), .5)
-    tried = [f for f, k in hits.items() if k >= 3]
     out = {}
-    for f in tried:
-        n, k = total[f], hits[f]
-        if k / n <= max(.5, 2 * base):
-            continue
+    for f in np.flatnonzero((hits >= 3) & (hits >= PURITY * total)):
+        n, k = int(total[f]), int(hits[f])
         tail = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(base) + (n - k) * math.log1p(-base)
         if tail + math.log(len(total)) < 0:
-            out[f] = -tail
+            out[int(f)] = -tail
     return out
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 for each row of 0/1 votes, from EM over firing rates, with correlated voters discounted.
+def unlike(coded: Coded, rare: int = 40) -> list[int]:
+    """Places of texts that are not copies or near copies of an earlier one: copies share the two of their rarer words
+    that hash smallest. Without this, all words of a much-copied text would seem to tell its label."""
+    import zlib
+
+    first = list({r.tobytes(): i for i, r in reversed(list(enumerate(coded.rows)))}.values())
+    fit = np.array([len(f) > 4 and f[-1] != "|" for f in coded.names], bool) & (coded.counts(first) <= rare)
+    mark = np.array([zlib.crc32(f.encode()) for f in coded.names], np.int64)
+    seen, out = set(), []
+    for i in sorted(first):
+        r = coded.rows[i]
+        m = tuple(np.sort(mark[r[fit[r]]])[:2].tolist())
+        if m not in seen or not m:
+            seen.add(m)
+            out.append(i)
+    return out
 
-    `start` is the first posterior. Correlation is that of the residuals after the class means are taken out."""
-    q = start.astype(float)
-    n, m = votes.shape
-    weight = np.ones(m)
-    rates = np.zeros((2, m))
-    for step in range(rounds):
-        rates[1] = (q @ votes + .5) / (q.sum() + 1)
-        rates[0] = ((1 - q) @ votes + .05) / ((1 - q).sum() + 1)
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        if step % 10 == 0:
-            left = votes - q[:, None] * rates[1] - (1 - q)[:, None] * rates[0]
+
+def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, dict]:
+    """Posterior of class 1 for each row of 0/1 votes (1: class 1, 0: abstains); rows where all abstain vote for class 0.
+
+    EM over each voter's accuracy and the error rates of the `given` labels, which are one more voter. Voters' correlations are those of what their votes leave
+    unexplained by the class; a voter's evidence is divided by the correlations it has with voters that fire beside it."""
+    q = np.where(given >= .5, .95, .02)
+    silent = ~votes.any(axis=1)
+    fires = votes.sum(axis=0)
+    logit = lambda p: np.log(p / (1 - p))
+    corr = accuracy = None
+    for _ in range(rounds):
+        accuracy = np.clip((q @ votes + prior) / (fires + 1), 1e-4, 1 - 1e-4)
+        clean = float(np.clip(((1 - q)[silent].sum() + 1) / (silent.sum() + 1.05), .5, 1 - 1e-4))
+        if corr is None:
+            rates = (q @ votes) / max(q.sum(), 1e-9), ((1 - q) @ votes) / max((1 - q).sum(), 1e-9)
+            left = votes - q[:, None] * rates[0] - (1 - q)[:, None] * rates[1]
             spread = np.sqrt((left ** 2).mean(axis=0)) + 1e-9
-            corr = (left.T @ left / n) / np.outer(spread, spread)
-            weight = 1 / np.clip(corr - .1, 0, 1).sum(axis=0).clip(.9)
-        fire, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        odds = math.log(prior / (1 - prior)) + votes @ (weight * fire) + (1 - votes) @ (weight * silent)
+            corr = np.clip((left.T @ left / len(votes)) / np.outer(spread, spread), 0, 1)
+            np.fill_diagonal(corr, 1)
+        crowd = np.maximum(votes @ corr, 1)  # for each row and voter, the correlated votes beside it, itself included
+        odds = logit(prior) + (votes / crowd) @ (logit(accuracy) - logit(prior))
+        odds[silent] = logit(1 - clean)
+        hit = np.clip((q @ given + 19) / (q.sum() + 20), .9, .995)
+        false = np.clip(((1 - q) @ given + 1) / ((1 - q).sum() + 100), .005, .1)
+        odds += np.where(given >= .5, np.log(hit / false), np.log((1 - hit) / (1 - false)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - q).max() < 1e-6:
-            break
+        moved = np.abs(new - q).max()
         q = new
-    return q, {"rates": rates, "weights": weight}
+        if moved < 1e-6:
+            break
+    return q, {"accuracy": accuracy, "correlation": corr}
 
 
 def logistic(rows: list[np.ndarray], q: np.ndarray, m: int, ridge: float = .05, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -116,24 +147,30 @@ def logistic(rows: list[np.ndarray], q: np.ndarray, m: int, ridge: float = .05,
 
 def fit(rows: list[tuple[str, int]]) -> dict:
     """{'bias', 'weights'}: a classifier on at most FEATURES words and prefixes."""
-    sets = [features(t) for t, _ in rows]
-    y = np.array([label for _, label in rows], float)
-    seed = {w for w in SEED_WORDS}
-    if not rows or not 0 < y.sum() < len(y):
-        return {"bias": -4.0, "weights": {w: 8.0 for w in seed}}
-    telling = _telling(sets, y)
-    ranked = sorted(telling, key=lambda f: (-telling[f], f))
-    words, patterns = [f for f in ranked if f[-1] != "|"], [f for f in ranked if f[-1] == "|"][:64]
-    lexicons = [seed] + [set(words[k::LEXICONS]) for k in range(LEXICONS) if words[k::LEXICONS]] + [{p} for p in patterns]
-    votes = np.array([[bool(s & x) for x in lexicons] for s in sets], float)
-    base = float(np.clip(y.mean(), .01, .5))
-    fired = votes.any(axis=1)
-    q, _ = label_model(votes, np.where(fired, .5 + .45 * (2 * y - 1), .02), base)
-    known = _telling(sets, q)
-    keep = sorted({*known, *telling, *(f for f in seed)}, key=lambda f: (-max(known.get(f, 0), telling.get(f, 0)), f))[:FEATURES]
-    index = {f: i for i, f in enumerate(keep)}
-    w, b = logistic([np.array(sorted(index[f] for f in s if f in index), int) for s in sets], q, len(keep))
-    return {"bias": float(b), "weights": {f: float(w[i]) for f, i in index.items() if w[i]}}
+    coded = Coded([t for t, _ in rows])
+    kept = unlike(coded)
+    y = np.array([rows[i][1] for i in kept], float)
+    if not 0 < y.sum() < len(y):
+        return {"bias": -4.0, "weights": {w: 8.0 for w in SEED_WORDS}}
+    names, known = coded.names, {f: i for i, f in enumerate(coded.names)}
+    seed = {known[w] for w in SEED_WORDS if w in known}
+    found = telling(coded, kept, y)
+    ranked = sorted(found, key=lambda f: (-found[f], names[f]))
+    words, patterns = [f for f in ranked if names[f][-1] != "|"], [f for f in ranked if names[f][-1] == "|"][:64]
+    lexicons = [sorted(seed)] + [words[k::LEXICONS] for k in range(LEXICONS) if words[k::LEXICONS]] + [[p] for p in patterns]
+    votes = np.empty((len(kept), len(lexicons)))
+    for k, lexicon in enumerate(lexicons):
+        has = np.zeros(len(names), bool)
+        has[lexicon] = True
+        votes[:, k] = [has[coded.rows[i]].any() for i in kept]
+    q, _ = label_model(votes, y, float(np.clip(y.mean(), .01, .5)))
+    again = telling(coded, kept, q)
+    keep = sorted({*again, *found, *seed}, key=lambda f: (-max(again.get(f, 0), found.get(f, 0)), names[f]))[:FEATURES]
+    place = np.full(len(names), -1)
+    place[keep] = np.arange(len(keep))
+    hits = [place[coded.rows[i]] for i in kept]
+    w, b = logistic([h[h >= 0] for h in hits], q, len(keep))
+    return {"bias": float(b), "weights": {names[f]: float(x) for f, x in zip(keep, w) if x}}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
