@@ -24,8 +24,8 @@ GRAM, SLOTS = 24, 64
 # Moduli (a Mersenne prime first) and bases of the polynomials.
 MODULI, BASES = (2147483647, 2147483629), (1000003, 911382323)
 ABSENT = 0xFFFFFFFF
-#: Documents, about, that share a sort partition.
-PART_ROWS = 4096
+#: Documents, about, that share a range, and ranges at most; beyond that, ranges grow.
+PART_ROWS, PARTS = 1024, 1 << 16
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +141,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()))], names)
 
 
+def _range(cuts: list[int]):
+    """How many cuts lie below doc_id, found among every 256th cut first, then among the 256 that follow."""
+    coarse = cuts[::256]
+    count = lambda values: F.size(F.filter(values, lambda c: c < F.col("doc_id")))
+    block = count(F.lit(coarse).cast("array<bigint>"))
+    fine = F.array(*[F.lit(cuts[k: k + 256]).cast("array<bigint>") for k in range(0, len(cuts), 256)])
+    inside = F.transform(F.array(block), lambda b: F.when(b > 0, (b - 1) * 256 + count(F.element_at(fine, F.greatest(b, F.lit(1))))).otherwise(F.lit(0)))[0]
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(inside).cast("int")
+
+
 def with_next(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Each document with its fingerprint, that of its edited text, and its likeness to that and to the next document.
 
@@ -149,17 +159,16 @@ def with_next(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    n = ids.count()
-    parts = max(1, -(-n // part_rows))
+    parts = max(1, min(PARTS, -(-ids.count() // part_rows)))
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part))
-    firsts = sorted(rows.select("part", "doc_id").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("part", "m.doc_id").collect(), key=lambda r: r.part)
+    rows = rows.withColumn("part", _range(cuts) if cuts else F.lit(0))
+    firsts = rows.select("part", "doc_id").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("part", "m.doc_id").collect()
+    firsts.sort(key=lambda r: r.part)
     if not firsts:
         return spark.createDataFrame([], FIELDS)
-    lend = spark.createDataFrame([(firsts[k - 1].part, r.doc_id, len(firsts) - k if k == 0 else 0) for k, r in enumerate(firsts)], "part int, doc_id long, wrap int")
-    # one row is lent to each range; of rows with the same doc_id, the smallest text
-    lent = rows.join(F.broadcast(lend.select(F.col("part").alias("to"), F.col("doc_id").alias("first"))), F.col("doc_id").eqNullSafe(F.col("first")))
+    # at most PARTS rows; a range's first document goes to the range before
+    lend = spark.createDataFrame([(firsts[k - 1].part, r.doc_id) for k, r in enumerate(firsts)], "to int, first long")
+    lent = rows.join(F.broadcast(lend), F.col("doc_id").eqNullSafe(F.col("first")))
     lent = lent.groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("m")).select(F.col("to").alias("part"), "m.doc_id", "m.text", F.lit(True).alias("borrowed"))
     both = rows.select("part", "doc_id", "text", F.lit(False).alias("borrowed")).unionByName(lent)
     return both.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "borrowed", F.asc_nulls_first("doc_id"), "text").mapInArrow(_compare, FIELDS)
