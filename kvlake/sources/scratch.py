@@ -1,6 +1,7 @@
 """Intermediate tables in the folder that driver and executors share."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,7 +34,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table on shared storage: its lineage ends there, so a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+    """The frame as a table on shared storage: its lineage ends there, so a lost executor costs no recomputation.
+
+    Shuffle files of finished jobs go when the driver's JVM finds them unreachable; it is asked to look now."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing will read them again."""
+    for t in tables:
+        fs.delete(t.sparkSession, t._scratch_path)
