@@ -4,9 +4,10 @@ Suffixes are sampled where a 32-gram is the leftmost smallest (by hash) of some
 sample the same place. The sampled suffixes start in buckets named by that 32-gram. Buckets with one member go; the
 others are refined by the names of later offsets, where the name of a string of length 2L joins the names at its start
 and L further on, so each level's names serve the next: first the bytes common to up to 64 neighbouring windows, then
-all bytes these windows cover, and single windows only where a bucket still holds different strings. Every refinement
-is a distributed sort-and-count on names, with map-side combining, so a passage in a third of all documents costs a
-row a task, and no pairs are formed. Names that decide a removal are 128 bits.
+all bytes these windows cover. Where a bucket still holds different strings, its windows are sorted by name: inside a
+task for buckets of up to `GROUP` rows, else as rows of their own. Every refinement across tasks is a sort-and-count on
+names with map-side combining, so a passage in a third of all documents costs a row a task, and no pairs are formed.
+Names that decide a removal are 128 bits, a bucket's and its member's or two of a window.
 
 Bytes covered by a `LENGTH`-byte string that also starts elsewhere go; overlaps and places in the same document count,
 strings across documents do not. Cases: NULL and short texts keep all bytes; equal rows are copies of each other; rows
@@ -21,9 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kvlake.llm.common import whole_groups
 from kvlake.sources import scratch
 
 LENGTH, GRAM, STEP = 200, 32, 64
+#: Rows of a bucket that one task sorts.
+GROUP = 512
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
 CORE = LENGTH - STEP + 1  # bytes that STEP neighbouring windows share
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -96,39 +100,79 @@ class _Names:
 
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to STEP neighbouring windows a row: the name of what they share, and the 128-bit name of all they cover."""
-    fields = ["k1", "k2", "core", "c1", "c2", "start", "windows"]
+    """Up to STEP neighbouring windows a row: the name of what they share, and the name of all they cover."""
+    fields = ["k1", "k2", "core", "cover", "start", "windows"]
     for b in batches:
         parts = [[np.empty(0, np.int64)] for _ in fields]
         for k1, k2, text, runs in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)):
             run = np.unique(np.array(runs.as_py(), np.int64))
-            data = text.as_py()
             first, count, distance = run >> 16, (run >> 8) & 255, run & 255
             anchor, last = first + distance, first + count
-            named = _Names(data)
+            named = _Names(text.as_py())
             for g in range(-(-SPAN // STEP)):
                 # windows that start g * STEP to (g + 1) * STEP - 1 before the anchor
                 lo, hi = np.maximum(first, anchor - (g + 1) * STEP + 1), np.minimum(last, anchor - g * STEP)
                 some = lo <= hi
                 lo, hi, at = lo[some], hi[some], (anchor - g * STEP)[some]
                 core = named.of(at, np.full(len(at), CORE), 0) + np.uint64(g)
-                c = [named.of(lo, hi - lo + LENGTH, f) + ((at - lo).astype(np.uint64) << np.uint64(32)) for f in (0, 1)]
-                for out, x in zip(parts, (np.full(len(lo), k1), np.full(len(lo), k2), core.view(np.int64), c[0].view(np.int64), c[1].view(np.int64), lo, hi - lo + 1)):
+                cover = named.of(lo, hi - lo + LENGTH, 1) + ((at - lo).astype(np.uint64) << np.uint64(32))
+                for out, x in zip(parts, (np.full(len(lo), k1), np.full(len(lo), k2), core.view(np.int64), cover.view(np.int64), lo, hi - lo + 1)):
                     out.append(x)
         yield pa.record_batch([pa.array(np.concatenate(p).astype(np.int64)) for p in parts], fields)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+OPENED = "k1 long, k2 long, start long, windows long, core long, bytes binary, w1 long, w2 long"
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets that hold different strings: with their bytes if the bucket is small, else window by window."""
+    fields = ["k1", "k2", "start", "windows", "core", "bytes", "w1", "w2"]
     for b in batches:
-        parts = [[np.empty(0, np.int64)] for _ in range(5)]
+        longs, data = [[np.empty(0, np.int64)] for _ in range(7)], []
         for k1, k2, text, runs in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)):
-            run = np.unique(np.array(runs.as_py(), np.int64))
-            start, count = run >> 8, run & 255
-            p = np.unique(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
-            named, size = _Names(text.as_py()), np.full(len(p), LENGTH)
-            for out, x in zip(parts, (np.full(len(p), k1), np.full(len(p), k2), named.of(p, size, 0).view(np.int64), named.of(p, size, 1).view(np.int64), p)):
-                out.append(x)
-        yield pa.record_batch([pa.array(np.concatenate(p).astype(np.int64)) for p in parts], ["k1", "k2", "w1", "w2", "start"])
+            text = text.as_py()
+            rows = sorted({(r["start"], r["windows"], r["core"], r["large"]) for r in runs.as_py()})
+            small = [r for r in rows if not r[3]]
+            if small:
+                start, count, core = (np.array(x, np.int64) for x in list(zip(*small))[:3])
+                zero = np.zeros(len(start), np.int64)
+                for out, x in zip(longs, (np.full(len(start), k1), np.full(len(start), k2), start, count, core, zero, zero)):
+                    out.append(x)
+                data += [text[s: s + c - 1 + LENGTH] for s, c, *_ in small]
+            large = [r for r in rows if r[3]]
+            if large:
+                p = np.unique(np.concatenate([np.arange(s, s + c) for s, c, *_ in large]))
+                named, size, one = _Names(text), np.full(len(p), LENGTH), np.ones(len(p), np.int64)
+                for out, x in zip(longs, (np.full(len(p), k1), np.full(len(p), k2), p, one, 0 * one, named.of(p, size, 0).view(np.int64), named.of(p, size, 1).view(np.int64))):
+                    out.append(x)
+                data += [None] * len(p)
+        k1, k2, start, count, core, w1, w2 = (pa.array(np.concatenate(x)) for x in longs)
+        yield pa.record_batch([k1, k2, start, count, core, pa.array(data, pa.binary()), w1, w2], fields)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of whole buckets, the span from its first to its last repeated window. All windows of a row hold the
+    bucket's core, so what its repeated windows cover is one span."""
+    for t in whole_groups(batches, ["core"]):
+        k1, k2, start, count, core = (t.column(c).to_numpy() for c in ("k1", "k2", "start", "windows", "core"))
+        data = t.column("bytes").combine_chunks()
+        sizes = count - 1 + LENGTH
+        base = np.cumsum(sizes) - sizes
+        named = _Names(b"".join(data.to_pylist()))
+        row = np.repeat(np.arange(len(count)), count)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at, size = base[row] + inside, np.full(len(row), LENGTH)
+        w1, w2 = named.of(at, size, 0), named.of(at, size, 1)
+        order = np.lexsort((w2, w1, core[row]))
+        equal = (core[row][order][1:] == core[row][order][:-1]) & (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
+        twice = np.zeros(len(row), bool)
+        twice[order] = np.append(equal, False) | np.append(False, equal)
+        row, inside = row[twice], inside[twice]
+        lo, hi = np.full(len(count), 1 << 40), np.full(len(count), -1)
+        np.minimum.at(lo, row, inside)
+        np.maximum.at(hi, row, inside)
+        some = hi >= 0
+        yield pa.record_batch([pa.array(x[some]) for x in (k1, k2, start + lo, start + hi + LENGTH)], ["k1", "k2", "start", "end"])
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -171,17 +215,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = sampled.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     runs = scratch.written(sampled.join(shared, "bucket").groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "runs")
 
-    level = scratch.written(long_.join(runs, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_refined, "k1 long, k2 long, core long, c1 long, c2 long, start long, windows long"), "refined")
-    c = F.struct("c1", "c2")
-    state = level.groupBy("core").agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).filter("n > 1").select("core", (F.col("lo") == F.col("hi")).alias("same"))
-    placed = scratch.written(level.join(state, "core").select("k1", "k2", "start", "windows", "same"), "placed")
+    level = scratch.written(long_.join(runs, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_refined, "k1 long, k2 long, core long, cover long, start long, windows long"), "refined")
+    state = level.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("lo"), F.max("cover").alias("hi")).filter("n > 1").select("core", (F.col("lo") == F.col("hi")).alias("same"), (F.col("n") > GROUP).alias("large"))
+    placed = scratch.written(level.join(state, "core").select("k1", "k2", "core", "start", "windows", "same", "large"), "placed")
+    scratch.drop(runs, level)
     whole = placed.filter("same").select("k1", "k2", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("end"))
 
-    mixed = placed.filter("not same").groupBy("k1", "k2").agg(F.collect_list(F.col("start") * 256 + F.col("windows")).alias("runs"))
-    single = scratch.written(long_.join(mixed, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_windows, "k1 long, k2 long, w1 long, w2 long, start long"), "windows")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    single = single.join(twice, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
-    return scratch.written(whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    mixed = placed.filter("not same").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows", "core", "large")).alias("runs"))
+    opened = scratch.written(long_.join(mixed, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_opened, OPENED), "opened")
+    small = opened.filter("bytes is not null").select("k1", "k2", "start", "windows", "core", "bytes")
+    settled = small.repartition("core").sortWithinPartitions("core").mapInArrow(_settled, "k1 long, k2 long, start long, end long")
+    large = opened.filter("bytes is null").select("k1", "k2", "start", "w1", "w2")
+    twice = large.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    large = large.join(twice, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
+    spans = whole.unionByName(settled).unionByName(large)
+    spans = scratch.written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop(placed, opened)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
