@@ -216,12 +216,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = scratch.written(sampled.join(shared, "bucket").groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "runs")
 
     level = scratch.written(long_.join(runs, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_refined, "k1 long, k2 long, core long, cover long, start long, windows long"), "refined")
-    state = level.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("lo"), F.max("cover").alias("hi")).filter("n > 1").select("core", (F.col("lo") == F.col("hi")).alias("same"), (F.col("n") > GROUP).alias("large"))
-    placed = scratch.written(level.join(state, "core").select("k1", "k2", "core", "start", "windows", "same", "large"), "placed")
+    state = level.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("lo"), F.max("cover").alias("hi")).filter("n > 1").select("core", (F.col("lo") == F.col("hi")).alias("same"))
+    placed = scratch.written(level.join(state, "core").select("k1", "k2", "core", "cover", "start", "windows", "same"), "placed")
     scratch.drop(runs, level)
-    whole = placed.filter("same").select("k1", "k2", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("end"))
 
-    mixed = placed.filter("not same").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows", "core", "large")).alias("runs"))
+    # in buckets that hold different strings, all windows of a string that occurs twice are repeated; one row stands for
+    # it when windows are compared
+    mixed = placed.filter("not same")
+    covers = mixed.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("first"))
+    crowd = covers.groupBy("core").agg((F.count("*") > GROUP).alias("large"))
+    covers = covers.join(crowd, "core")
+    judged = scratch.written(mixed.join(covers, ["core", "cover"]).select("k1", "k2", "core", "start", "windows", "large", (F.col("n") > 1).alias("whole"), (F.struct("k1", "k2", "start") == F.col("first")).alias("first")), "judged")
+    span = ("k1", "k2", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("end"))
+    whole = placed.filter("same").select(*span).unionByName(judged.filter("whole").select(*span))
+    mixed = judged.filter("first or not whole").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows", "core", "large")).alias("runs"))
     opened = scratch.written(long_.join(mixed, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_opened, OPENED), "opened")
     small = opened.filter("bytes is not null").select("k1", "k2", "start", "windows", "core", "bytes")
     settled = small.repartition("core").sortWithinPartitions("core").mapInArrow(_settled, "k1 long, k2 long, start long, end long")
@@ -230,7 +238,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     large = large.join(twice, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
     spans = whole.unionByName(settled).unionByName(large)
     spans = scratch.written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    scratch.drop(placed, opened)
+    scratch.drop(placed, judged, opened)
     return spans
 
 
