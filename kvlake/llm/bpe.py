@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from kvlake.llm.common import with_field, worker_cache
+from kvlake.llm.common import pieces, with_field, worker_cache
 from kvlake.sources import scratch
 
 #: Words in the lexicon at most, and words in a worker's memo before it is emptied.
-LEXICON, MEMO = 1 << 16, 1 << 17
+LEXICON, MEMO = 1 << 16, 1 << 16
 # Fixed value: the byte-level pre-tokenizer's pattern, white space spelled as the Unicode property.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
@@ -223,11 +223,11 @@ class Tokenizer:
                 seen.clear()
                 return rows
 
-            for b in batches:
+            for b in pieces(batches):
                 for t in b.column(0).to_pylist():
                     for words, _ in v.words(t or ""):
                         seen.update(words)
-                    if len(seen) > 300_000:
+                    if len(seen) > 100_000:
                         yield out()
             if seen:
                 yield out()
@@ -271,7 +271,7 @@ class Tokenizer:
                 memo[word] = ids = v.encode_word(raw) if ids is None else ids
                 return ids
 
-            for b in batches:
+            for b in pieces(batches):
                 offsets, values = [0], []
                 for t in b.column(b.num_columns - 1).to_pylist():
                     ids: list[int] = []
@@ -295,7 +295,7 @@ class Tokenizer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = _vocabulary(spec).bytes.__getitem__
-            for b in batches:
+            for b in pieces(batches):
                 lists = b.column(rest.index(ids_col)).to_pylist()
                 texts = [b"".join(map(token, ids or ())).decode("utf-8", "replace") for ids in lists]
                 yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], [*rest, out])

@@ -30,6 +30,13 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault(name, types.ModuleType(name))).setdefault("held", {})
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that Python objects exist for few rows at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Rows that come sorted by `keys`, in tables that never split a group."""
     held: list[pa.RecordBatch] = []
