@@ -144,7 +144,8 @@ def test_warc(spark):
 
 
 def test_toxicity(docs, empty):
-    rows = [(f"plain words number {i} here", 0) for i in range(80)] + [(f"grobnak velkur {i}", 1) for i in range(20)]
+    own = lambda i: hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))  # noqa: E731  texts must not be copies
+    rows = [(f"plain words {own(i)} {own(-i - 1)}", 0) for i in range(80)] + [(f"grobnak velkur {own(i)} {own(-i - 1)}", 1) for i in range(100, 160)]
     model = toxicity.fit(rows)
     got = {r.doc_id: r.tox for r in toxicity.score(docs, model, out="tox").collect()}
     assert all(v < .5 for v in got.values())
