@@ -3,7 +3,8 @@
 The corpus's frequent pre-token words (counted over all documents) are compiled into a minimal automaton with shared
 suffixes. Each arc carries the number of words that sort before it, so the path of a word adds up to its rank, and the
 rank gives its token ids. The arrays are bounded by the lexicon's size, reach workers as one broadcast value and are
-memory-mapped there. Words outside the lexicon are merged exactly by rank; a bounded memo keeps recent words.
+memory-mapped there. Words outside the lexicon are merged exactly by rank. Both happen for all new words of about a
+megabyte of texts at once, in array operations; a bounded memo keeps recent words.
 
 Cases: a NULL or empty text has no ids and decodes to the empty text; strings of special tokens in a text are those
 tokens; texts of any length are encoded whole, word by word; repeated rows and clashing column names do not matter; an
@@ -12,20 +13,20 @@ empty table gives an empty result and an empty lexicon.
 from __future__ import annotations
 
 import json
-import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kvlake.llm.common import pieces, with_field, worker_cache
 from kvlake.sources import scratch
 
-#: Words in the lexicon at most, and words in a worker's memo before it is emptied.
-LEXICON, MEMO = 1 << 16, 1 << 16
+#: Words in the lexicon at most, words in a worker's memo after which it is emptied, and bytes of text that a worker takes at once.
+LEXICON, MEMO, PIECE = 1 << 16, 1 << 17, 1 << 20
 # Fixed value: the byte-level pre-tokenizer's pattern, white space spelled as the Unicode property.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
@@ -47,66 +48,105 @@ class Vocabulary:
         to_byte = {c: b for b, c in enumerate(byte_letters())}
         raw = lambda token: bytes(to_byte[c] for c in token)
         vocab = spec["model"]["vocab"]
-        self.letter = [vocab[c] for c in byte_letters()]
+        self.letter = np.array([vocab[c] for c in byte_letters()], np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():
             self.bytes[i] = raw(token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        merges = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
+        self.merge = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)  # by rank
+        keys = np.array([*(a << 32 | b for a, b in self.merge), 1 << 62], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.ranks = keys[order], np.array([*self.merge.values(), len(merges)], np.int64)[order]
+        self.letter_ranks = self.pair_ranks(np.repeat(self.letter, 256), np.tile(self.letter, 256))
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of tokens; the number of merges for pairs that do not merge."""
+        key = a << 32 | b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.ranks[at], len(self.made))
+
     def words(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         """The words of each stretch between special tokens, and the special token's id that ends it."""
-        pieces = self.cut.split(text) if self.cut else [text]
+        if not any(t in text for t in self.special):
+            yield self.split.findall(text), None
+            return
+        pieces = self.cut.split(text)
         for k in range(0, len(pieces), 2):
             yield self.split.findall(pieces[k]), self.special[pieces[k + 1]] if k + 1 < len(pieces) else None
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """Merges the lowest-ranked adjacent pair, leftmost first, until none is left."""
-        ids = [self.letter[b] for b in word]
-        while len(ids) > 1:
-            ranked = [(m[0], i, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := self.merge.get(p))]
-            if not ranked:
-                break
-            if len(ids) > 256:
-                return self._encode_long(word)
-            _, i, made = min(ranked)
-            ids[i: i + 2] = [made]
-        return ids
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word: its lowest-ranked adjacent pair, the leftmost of equals, merges until none is left.
+
+        All words take a step at once. `rank` holds the rank of each token with the next one of its word; words
+        that have no pair left drop out."""
+        out: list[list[int]] = [[]] * len(words)
+        for i, w in enumerate(words):
+            if len(w) > 256:
+                out[i] = self._encode_long(w)
+        word = np.array([i for i, w in enumerate(words) if 0 < len(w) <= 256], np.int64)  # the words still in work
+        raw = np.frombuffer(b"".join([words[i] for i in word.tolist()]), np.uint8).astype(np.int64)
+        size = np.array([len(words[i]) for i in word.tolist()], np.int64)
+        ids, none = self.letter[raw], len(self.made)
+        rank = np.full(len(ids), none, np.int64)
+        rank[:-1] = self.letter_ranks[raw[:-1] << 8 | raw[1:]]
+        rank[np.cumsum(size) - 1] = none
+        while len(word):
+            end = np.cumsum(size)
+            low = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), end - size)
+            live = low >> 32 < none
+            if not live.all():
+                flat = ids.tolist()
+                for k in np.flatnonzero(~live).tolist():
+                    out[word[k]] = flat[end[k] - size[k]: end[k]]
+            at, best = low[live] & 0xFFFFFFFF, low[live] >> 32
+            opens, closes = at == (end - size)[live], at + 2 == end[live]
+            stay = np.repeat(live, size)
+            ids[at] = self.made[best]
+            stay[at + 1] = False
+            at = (np.cumsum(stay) - 1)[at]
+            ids, rank, word, size = ids[stay], rank[stay], word[live], size[live] - 1
+            rank[at] = none
+            for pair in (at[~closes], at[~opens] - 1):
+                rank[pair] = self.pair_ranks(ids[pair], ids[pair + 1])
+        return out
 
     def _encode_long(self, word: bytes) -> list[int]:
         """The same merges with a heap, for words of thousands of bytes."""
         import heapq
 
-        ids = [self.letter[b] for b in word]
+        ids = self.letter[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = []
+        heap, made = [], self.made.tolist()
 
         def offer(i):
-            if i >= 0 and after[i] < n and (m := self.merge.get((ids[i], ids[after[i]]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[after[i]], m[1]))
+            if i >= 0 and after[i] < n and (m := self.merge.get((ids[i], ids[after[i]]))) is not None:
+                heapq.heappush(heap, (m, i, ids[i], ids[after[i]]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = made, False, after[j]
+            ids[i], alive[j], after[i] = made[m], False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(before[i])
             offer(i)
         return [x for x, keep in zip(ids, alive) if keep]
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids; bytes that are not UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
 
 def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
     """The minimal automaton of sorted distinct words, and their ids by rank, as one byte string of arrays.
@@ -138,23 +178,22 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
         final, arcs = path.pop()
         path[-1][1].append((last[len(path) - 1], settle(final, arcs)))
     root = settle(*path[0])
-    first, label, target, skip = [0], [], [], []
-    for final, arcs in states:
+    keys, target, skip = [], [], []
+    for state, (final, arcs) in enumerate(states):
         at = int(final)
         for byte, t in arcs:
-            label.append(byte)
+            keys.append(state << 8 | byte)
             target.append(t)
             skip.append(at)
             at += counts[t]
-        first.append(len(label))
-    parts = [np.array(first, np.uint32), np.array([s[0] for s in states], np.uint8), np.array(label, np.uint8), np.array(target, np.uint32), np.array(skip, np.uint32),
-             np.cumsum([0, *map(len, ids)], dtype=np.uint32), np.fromiter(chain.from_iterable(ids), np.uint32)]
-    head = np.array([root, *[p.nbytes for p in parts]], np.uint64)
+    parts = [np.array([*keys, 1 << 62], np.int64), np.array(target, np.int32), np.array(skip, np.int32), np.cumsum([0, *map(len, ids)], dtype=np.int32),
+             np.fromiter(chain.from_iterable(ids), np.int32), np.array([s[0] for s in states], np.uint8)]
+    head = np.array([root, *[p.nbytes for p in parts]], np.int64)
     return b"".join(x.tobytes() for x in (head, *parts))
 
 
 class Lexicon:
-    """A compiled lexicon, read from a memory map."""
+    """A compiled lexicon, read from a memory map. Arcs are sorted by state and byte."""
 
     def __init__(self, packed: bytes):
         import mmap
@@ -164,29 +203,49 @@ class Lexicon:
             f.write(packed)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        head = np.frombuffer(self.map, np.uint64, 8)
-        self.root, at = int(head[0]), head.nbytes
-        places = []
-        for n in head[1:].tolist():
-            places.append((at, n))
+        head = np.frombuffer(self.map, np.int64, 7)
+        self.root, at, views = int(head[0]), head.nbytes, []
+        for n, kind in zip(head[1:].tolist(), (np.int64, np.int32, np.int32, np.int32, np.int32, np.uint8)):
+            views.append(np.frombuffer(self.map, kind, n // np.dtype(kind).itemsize, at))
             at += n
-        view = lambda k, kind: np.frombuffer(self.map, kind, places[k][1] // np.dtype(kind).itemsize, places[k][0])
-        self.first, self.final, self.target, self.skip = view(0, np.uint32), view(1, np.uint8), view(3, np.uint32), view(4, np.uint32)
-        self.labels, self.offsets, self.ids = places[2][0], view(5, np.uint32), view(6, np.uint32)
-
-    def rank(self, word: bytes) -> int | None:
-        state, rank, find, base = self.root, 0, self.map.find, self.labels
-        for i in range(len(word)):
-            at = find(word[i: i + 1], base + int(self.first[state]), base + int(self.first[state + 1])) - base
-            if at < 0:
-                return None
-            rank += int(self.skip[at])
-            state = int(self.target[at])
-        return rank if self.final[state] else None
-
-    def get(self, word: bytes) -> list[int] | None:
-        rank = self.rank(word)
-        return None if rank is None else self.ids[int(self.offsets[rank]): int(self.offsets[rank + 1])].tolist()
+        self.keys, self.target, self.skip, self.offsets, self.ids, self.final = views
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """Ranks of the words, -1 for words outside the lexicon; all walk an arc at a time."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        raw, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        state, rank, out = np.full(n, self.root, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        on, step = np.arange(n), 0
+        while on.size:
+            there = size[on] == step
+            ends, on = on[there], on[~there]
+            out[ends] = np.where(self.final[state[ends]] > 0, rank[ends], -1)
+            key = state[on] << 8 | raw[start[on] + step]
+            arc = np.searchsorted(self.keys, key)
+            goes = self.keys[arc] == key
+            on, arc = on[goes], arc[goes]
+            rank[on] += self.skip[arc]
+            state[on] = self.target[arc]
+            step += 1
+        return out
+
+    def get(self, words: list[bytes]) -> list[list[int] | None]:
+        """Token ids of each word, None for words outside the lexicon."""
+        ranks = self.ranks(words)
+        a, b = self.offsets[ranks].tolist(), self.offsets[ranks + 1].tolist()
+        return [None if r < 0 else self.ids[x:y].tolist() for r, x, y in zip(ranks.tolist(), a, b)]
+
+
+def text_pieces(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PIECE bytes of the text column, one row at least."""
+    for b in batches:
+        size = np.nan_to_num(pc.binary_length(b.column(col)).to_numpy(zero_copy_only=False).astype(float))
+        part = (np.cumsum(size) // PIECE).astype(np.int64)
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for x, y in zip(bounds, bounds[1:]):
+            if y > x:
+                yield b.slice(x, y - x)
 
 
 def _vocabulary(spec) -> Vocabulary:
@@ -223,16 +282,16 @@ class Tokenizer:
                 seen.clear()
                 return rows
 
-            for b in pieces(batches):
+            for b in text_pieces(batches, 0):
                 for t in b.column(0).to_pylist():
                     for words, _ in v.words(t or ""):
                         seen.update(words)
-                    if len(seen) > 100_000:
-                        yield out()
+                if len(seen) > 100_000:
+                    yield out()
             if seen:
                 yield out()
 
-        return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
     def fit(self, docs: DataFrame, size: int = LEXICON, text_col: str = "text") -> Tokenizer:
         """Compiles the most frequent words. A histogram of counts (on a log scale, so of bounded size) gives the least
@@ -248,11 +307,12 @@ class Tokenizer:
         if least is not None:
             words = sorted(bytes(r.word) for r in counts.filter(level >= least).select("word").collect())
             v = Vocabulary(self.text)
-            self.lexicon = _Shared(self.spark, compile_lexicon(words, [v.encode_word(w) for w in words]))
+            self.lexicon = _Shared(self.spark, compile_lexicon(words, v.encode_words(words)))
         return self
 
-    def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
-        """`docs` with the token ids of each whole text as `out`; the text is kept out of the result."""
+    def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+        """`docs` with the token ids of each whole text as `out`; the text is kept out of the result. With `decoded`, the ids
+        are decoded again in the same task into a column of that name, which saves a second Python worker."""
         spec, lexicon = self.spec, self.lexicon
         rest = [c for c in docs.columns if c != text_col]
 
@@ -262,30 +322,39 @@ class Tokenizer:
                 held["lexicon", lexicon.id] = Lexicon(lexicon.value)
             lex = held["lexicon", lexicon.id]
             memo: dict[str, list[int]] = {}
-
-            def look(word: str) -> list[int]:
-                if len(memo) >= MEMO:
+            frequent: dict[str, list[int]] = {}  # the lexicon's words, which stay when the memo is emptied
+
+            def learn(words: list[str]) -> None:
+                raw = [w.encode() for w in words]
+                found = lex.get(raw)
+                unseen = [i for i, ids in enumerate(found) if ids is None]
+                frequent.update((w, ids) for w, ids in zip(words, found) if ids is not None)
+                for i, ids in zip(unseen, v.encode_words([raw[i] for i in unseen])):
+                    found[i] = ids
+                memo.update(zip(words, found))
+
+            for b in text_pieces(batches, -1):
+                rows = [list(v.words(t or "")) for t in b.column(b.num_columns - 1).to_pylist()]
+                if len(memo) > MEMO:
                     memo.clear()
-                raw = word.encode()
-                ids = lex.get(raw)
-                memo[word] = ids = v.encode_word(raw) if ids is None else ids
-                return ids
-
-            for b in pieces(batches):
-                offsets, values = [0], []
-                for t in b.column(b.num_columns - 1).to_pylist():
+                    memo.update(frequent)
+                learn(list(set().union(*(words for row in rows for words, _ in row)).difference(memo)))
+                offsets, values, texts = [0], [], []
+                for row in rows:
                     ids: list[int] = []
-                    for words, special in v.words(t or ""):
-                        for w in words:
-                            ids += memo.get(w) or look(w)
+                    for words, special in row:
+                        ids.extend(chain.from_iterable(map(memo.__getitem__, words)))
                         if special is not None:
                             ids.append(special)
                     values.append(np.array(ids, np.int32))
                     offsets.append(offsets[-1] + len(ids))
-                flat = pa.array(np.concatenate(values) if values else np.empty(0, np.int32))
-                yield pa.record_batch([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], [*rest, out])
+                    if decoded:
+                        texts.append(v.decode(ids))
+                made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values))), *([pa.array(texts, pa.string())] if decoded else [])]
+                yield pa.record_batch([*b.columns[:-1], *made], [*rest, out, *([decoded] if decoded else [])])
 
         schema = with_field(docs.select(*rest), out, T.ArrayType(T.IntegerType()))
+        schema = T.StructType([*schema.fields, T.StructField(decoded, T.StringType())]) if decoded else schema
         return docs.select(*rest, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
     def decode(self, rows: DataFrame, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -294,10 +363,10 @@ class Tokenizer:
         rest = rows.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            token = _vocabulary(spec).bytes.__getitem__
+            v = _vocabulary(spec)
             for b in pieces(batches):
                 lists = b.column(rest.index(ids_col)).to_pylist()
-                texts = [b"".join(map(token, ids or ())).decode("utf-8", "replace") for ids in lists]
+                texts = [v.decode(ids or []) for ids in lists]
                 yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], [*rest, out])
 
         return rows.mapInArrow(run, with_field(rows, out, T.StringType()))

@@ -47,7 +47,7 @@ def tokenizer(spark):
 def op6_bpe(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     t = tokenizer(spark).fit(docs)
-    coded = t.decode(t.encode(docs), out="decoded")
+    coded = t.encode(docs, decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), _hex("decoded").alias("decoded_sha256"))
 
 

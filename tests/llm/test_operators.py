@@ -76,7 +76,13 @@ def test_bpe(spark, docs, empty):
     assert mine.fit(empty).encode(empty).count() == 0
     words = sorted({w.encode() for w in "ab abc abd b bcd xbcd".split()})
     lex = bpe.Lexicon(bpe.compile_lexicon(words, [[i] for i in range(len(words))]))
-    assert [lex.get(w) for w in words] == [[i] for i in range(len(words))] and lex.get(b"a") is None and lex.get(b"abcde") is None
+    assert lex.get(words) == [[i] for i in range(len(words))] and lex.get([b"a", b"abcde", b"", b"z"]) == [None] * 4 and lex.get([]) == []
+    assert bpe.Lexicon(bpe.compile_lexicon([], [])).get([b"a", b""]) == [None, None] and bpe.Vocabulary(mine.text).encode_words([]) == []
+    odd = ["ab" * 3000 + " " * 9000 + "é" * 500, "a \x1c\x85 \u3000b's'S 9½١日本‍😀_́²", "x  <|endoftext|> <|endoftext|>\n", "", " ", "z" * 256 + " " + "q" * 257]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in mine.encode(rows, decoded="back").collect():
+        want = ref.encode(odd[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == want and r.back == ref.decode(want, skip_special_tokens=False)
 
 
 def test_fingerprint(docs, empty):
