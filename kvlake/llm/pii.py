@@ -28,8 +28,12 @@ WORD_EMAIL, WORD_NAME = 8, 5
 _EMAIL = r"[\p{L}\p{N}._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
 _IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
-_PHONE = r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|\+\d{8,15}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}([ .-])\d{3}\1\d{4}(?![\d-])"
-_CARD = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+# Entities may follow each other: usual groupings come before looser ones, and a phone takes no address's or security number's digits.
+_GROUP = rf"(?!{_IP}|{_SSN})\d{{2,4}}"
+_PHONE = (r"\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+          rf"|\+\d{{1,3}}[ .-]?\(\d{{1,4}}\)[ .-]?\d{{2,4}}(?:[ .-]?{_GROUP}){{1,3}}(?!\d)|\+\d{{1,3}}(?:[ .-]{_GROUP}){{2,5}}(?!\d)"
+          r"|\+\d{8,15}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}([ .-])\d{3}\1\d{4}(?![\d-])")
+_CARD = r"\d{13,19}(?!\d)|(?:\d{4}[ -]){4}\d{3}(?![ .-]?\d)|(?:\d{4} ){3}\d{1,4}(?!\d)|(?:\d{4}-){3}\d{1,4}(?!\d)|\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
 _NAME = _TITLE + r" \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"

@@ -139,6 +139,22 @@ def test_pii(docs, empty):
     assert pii.replace(empty).count() == 0
 
 
+def test_pii_entities_side_by_side(spark):
+    parts = ["+1 (843) 555-7672", "170.106.47.218", "7536784127813050", "2353820953013749", "123-45-6789", "4111 1111 1111 1111", "4222 2222 2222 2222", "+44 20 7946 0958", "9.8.7.6", "+1 (843) 555-7673", "987-65-4321"]
+    text = "to " + " ".join(parts) + " from"
+    r = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["__types"] == ["phone", "ip", "card", "card", "ssn", "card", "card", "phone", "ip", "phone", "ssn"]
+    assert not any(p in r.text for p in parts)
+
+
+def test_toxicity_training_rows(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(40) for t in ("B a A b", None if i % 2 else "b a")] , "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, rows=20)
+    assert len(rows) == 20 and set(rows) <= {("a b", 0), ("", 1)}
+    assert toxicity.training_rows(docs, labels.limit(0)) == []
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "u", "p" * 200, 1), (1, None, "p" * 200, 1), (2, "v\n", None, 1), (4, "w", "tiny", 1), (5, "w", "tiny", 1), (None, "n", "p" * 200, 1)], "page_id long, url string, html string, size long")
     base = scratch.new_path(spark, "warc")
@@ -159,8 +175,11 @@ def test_toxicity(docs, empty):
     assert toxicity.score(empty, toxicity.fit([]), out="tox").count() == 0
 
 
-def test_cover_tree(spark, monkeypatch):
+@pytest.mark.parametrize("sample, broadcast", [(2048, 100), (2, 100), (2, 0)])
+def test_cover_tree(spark, monkeypatch, sample, broadcast):
     monkeypatch.setattr(cover_tree, "BLOCK", 16)
+    monkeypatch.setattr(cover_tree, "SAMPLE", sample)
+    monkeypatch.setattr(cover_tree, "BROADCAST", broadcast)
     rnd = np.random.default_rng(5)
     centres = rnd.normal(size=(6, 8))
     v = np.concatenate([c + rnd.normal(scale=.06, size=(12, 8)) for c in centres]).astype(np.float32)
