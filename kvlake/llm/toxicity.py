@@ -43,12 +43,24 @@ def features(text: str | None) -> set[str]:
     return words | {w[:n] + "|" for w in words for n in PREFIXES if len(w) > n}
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import re
+
+    find = re.compile(WORDS).findall
+    for b in batches:
+        words = pa.array([" ".join(sorted(set(find(t.as_py().lower())))) for t in b.column(1)], pa.string())
+        yield pa.record_batch([b.column(0), words, b.column(2)], ["doc_id", "words", "toxic"])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
-    """The bounded sample: chosen on labels alone, then joined, so that few texts move."""
+    """The bounded sample: chosen on labels alone, then joined, so that few texts move. A text is its distinct words, which
+    have the same features; a doc_id counts once, however many rows share it."""
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
-    return [(r.text or "", int(r.toxic)) for r in sorted(texts.collect(), key=lambda r: r.doc_id)[:rows]]
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    texts = texts.mapInArrow(_distinct_words, "doc_id long, words string, toxic int")
+    found = texts.groupBy("doc_id").agg(F.min("words").alias("words"), F.max("toxic").alias("toxic")).collect()
+    return [(r.words, int(r.toxic)) for r in sorted(found, key=lambda r: r.doc_id)]
 
 
 class Coded:
@@ -56,7 +68,7 @@ class Coded:
 
     def __init__(self, texts: list[str]):
         code: dict[str, int] = {}
-        self.rows = [np.array(sorted(code.setdefault(f, len(code)) for f in features(t)), np.int32) for t in texts]
+        self.rows = [np.array(sorted(code.setdefault(f, len(code)) for f in sorted(features(t))), np.int32) for t in texts]
         self.names = list(code)
 
     def counts(self, rows: list[int]) -> np.ndarray:
