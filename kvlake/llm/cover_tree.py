@@ -26,6 +26,8 @@ from kvlake.sources import scratch
 COSINE = 0.98
 #: Nodes of a block, sampled vectors for pivots, and pivots of a label, at most.
 BLOCK, SAMPLE, PIVOTS = 2048, 2048, 128
+#: Labels that are cut without pivots, up to which their table is broadcast.
+BROADCAST = 100_000
 SLACK = 1e-7
 
 
@@ -221,7 +223,7 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield pa.record_batch([*b.columns, pa.array(cells, pa.int32()), pa.array(gaps, pa.list_(pa.float64()))], [*b.schema.names, "cell", "gaps"])
 
     placed = scratch.written(nodes.select("label", "dim", "v", "rep", "m").mapInArrow(assign, "label int, dim int, v array<double>, rep long, m long, cell int, gaps array<double>"), "cells")
-    # labels without pivots are one cell each and need no entry; the others have at most PIVOTS cells
+    # labels with pivots have at most PIVOTS cells
     cells = {}
     if pivots:
         big = placed.join(F.broadcast(spark.createDataFrame([(*k,) for k in pivots], "label int, dim int")), ["label", "dim"])
@@ -234,8 +236,16 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
             if (l2, d2) == (label, dim) and math.sqrt(((p[c] - p[d]) ** 2).sum()) <= reach + reach2 + radius:
                 rows.append((label, dim, c, d, float(reach2), blocks, blocks2))
     # one row for each cell and cell it meets: at most PIVOTS squared for each of the SAMPLE // 2 large labels
-    meets = spark.createDataFrame(rows or [(None, None, 0, 0, 0.0, 1, 1)], "label int, dim int, cell int, other int, reach double, blocks int, blocks2 int")
-    met = placed.join(F.broadcast(meets), ["label", "dim", "cell"], "left")
+    meets = F.broadcast(spark.createDataFrame(rows or [(None, None, 0, 0, 0.0, 1, 1)], "label int, dim int, cell int, other int, reach double, blocks int, blocks2 int"))
+    # a label without pivots is one cell; it needs an entry only if it must be cut. As many as there are large labels
+    known = spark.createDataFrame([(*k,) for k in pivots] or [(None, None)], "label int, dim int")
+    uncut = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).join(F.broadcast(known), ["label", "dim"], "left_anti")
+    uncut = scratch.written(uncut.select("label", "dim", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("cut")), "uncut")
+    n_uncut = uncut.count()
+    met = placed.join(meets, ["label", "dim", "cell"], "left")
+    if n_uncut:
+        met = met.join(F.broadcast(uncut) if n_uncut <= BROADCAST else uncut, ["label", "dim", "cell"], "left")
+        met = met.withColumn("blocks", F.coalesce("blocks", "cut")).withColumn("blocks2", F.coalesce("blocks2", "cut"))
     met = met.filter(F.col("other").isNull() | (F.col("other") == F.col("cell")) | (F.element_at("gaps", F.col("other") + 1) <= F.col("reach") + radius))
     other, blocks2 = F.coalesce("other", "cell"), F.coalesce("blocks2", F.lit(1))
     own = F.struct(F.col("cell").alias("c"), F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int").alias("k"))
