@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kvlake.llm import catalogue, mixing, pii, simhash, toxicity
+from kvlake.llm import catalogue, minhash, mixing, pii, toxicity
 from kvlake.llm.common import table
 from kvlake.sources import scratch
 
@@ -15,9 +15,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near-duplicates; rows that share a doc_id are one document.
-    Documents without doc_id stay."""
-    kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
+    """Keeps the document of smallest doc_id of each group of near copies (five-word shingles, similarity 0.8 or more); rows
+    that share a doc_id are one document. Documents without doc_id stay."""
+    kept = minhash.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
