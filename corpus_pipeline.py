@@ -15,10 +15,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near copies (five-word shingles, similarity 0.8 or more); rows
-    that share a doc_id are one document. Documents without doc_id stay."""
-    kept = minhash.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more): of smallest doc_id, then row
+    hash. Rows that share a doc_id are apart unless they are near copies. Documents without doc_id stay."""
+    kept = minhash.near_copies(docs).groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("one")).select("one.doc_id", F.col("one.row").alias("__row")).distinct()
+    named = docs.filter("doc_id is not null").withColumn("__row", F.xxhash64(*docs.columns)).join(kept, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

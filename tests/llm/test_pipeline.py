@@ -14,7 +14,7 @@ def jaccard(a, b):
 
 
 def frame(spark, texts):
-    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).repartition(3)
 
 
 def kept(spark, texts):
@@ -44,3 +44,12 @@ def test_near_copies_by_similarity(spark, cut, monkeypatch):
     fps = [simhash.fingerprint(t.encode()) for _, t in texts]
     assert any((fps[i] ^ fps[root[i]]).bit_count() > simhash.TAU for i, _ in texts)
     assert kept(spark, texts) == want
+
+
+def test_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    want = sorted([(1, a), (2, b), (2, c), (4, "")])
+    for order in (1, -1):
+        assert kept(spark, [(1, a), (2, a), (2, b), (2, c), (3, c), (4, ""), (5, None), (2, b)][::order]) == want
+    assert sorted(r.text for r in corpus_pipeline.drop_near_copies(spark, frame(spark, [(None, a), (None, a), (1, a)]), "").collect()) == [a, a, a]
+    assert corpus_pipeline.drop_near_copies(spark, frame(spark, []), "").count() == 0
