@@ -66,14 +66,16 @@ def with_hash_pair(df: DataFrame, key: str = "key", h1: str = "h1", h2: str = "h
         return df.withColumns({h1: one, h2: two})
 
 
+def _position(i: Column, bits: Column, h1: str, h2: str) -> Column:
+    """(h1 + i*h2 mod 2^64) mod bits, unsigned: twice the upper 63 bits and the last one."""
+    x = F.col(h1) + i * F.col(h2)
+    return (F.shiftrightunsigned(x, 1) % bits * 2 + x.bitwiseAND(F.lit(1).cast("long"))) % bits
+
+
 def with_probe_bits(df: DataFrame, bits: Column, k: int, h1: str = "h1", h2: str = "h2", out: str = "probe") -> DataFrame:
     """The k bit positions (h1 + i*h2 mod 2^64) mod bits, unsigned."""
     with wrapping(df.sparkSession):
-        def position(i: Column) -> Column:
-            x = F.col(h1) + i * F.col(h2)
-            wide = x.cast("decimal(20,0)") + F.when(x < 0, F.lit(MOD64).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
-            return (wide % bits.cast("decimal(20,0)")).cast("long")
-        return df.withColumn(out, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), position))
+        return df.withColumn(out, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), lambda i: _position(i, bits, h1, h2)))
 
 
 def build(entries: DataFrame, by: str = "run", config: BloomConfig = BloomConfig()) -> DataFrame:
@@ -88,7 +90,9 @@ def build(entries: DataFrame, by: str = "run", config: BloomConfig = BloomConfig
 
 def probe(keys: DataFrame, filters: DataFrame, config: BloomConfig = BloomConfig()) -> DataFrame:
     """Every key against every run's filter; `maybe` is never false for a member."""
-    pairs = with_hash_pair(keys).crossJoin(filters)
-    return (with_probe_bits(pairs, F.col("bit_count"), config.k)
-            .withColumn("maybe", F.forall("probe", lambda b: F.array_contains(F.col("bits"), b)))
-            .drop("probe", "h1", "h2", "bits"))
+    spark = keys.sparkSession
+    # the keys are few bytes, the pairs are not: by number, so that they are not put together again
+    pairs = with_hash_pair(keys).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").crossJoin(filters)
+    with wrapping(spark):
+        at = F.sequence(F.lit(0).cast("long"), F.lit(config.k - 1).cast("long"))
+        return pairs.withColumn("maybe", F.forall(at, lambda i: F.array_contains("bits", _position(i, F.col("bit_count"), "h1", "h2")))).drop("h1", "h2", "bits")

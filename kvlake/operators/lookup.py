@@ -52,7 +52,8 @@ def floor_join(keys: DataFrame, index: DataFrame, index_key: str, payload: list[
     probes = keys.select("key").distinct().crossJoin(runs).select(by, "key", F.lit(1).alias("probe"), F.lit(None).cast(index.select(F.struct(*payload).alias("p")).schema["p"].dataType).alias("p"))
     marks = index.select(by, F.col(index_key).alias("key"), F.lit(0).alias("probe"), F.struct(*payload).alias("p"))
     w = Window.partitionBy(by).orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    both = probes.unionByName(marks).withColumn("p", F.last("p", ignorenulls=True).over(w))
+    # by number: the few bytes of either side would be put together in one task
+    both = probes.unionByName(marks).repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).withColumn("p", F.last("p", ignorenulls=True).over(w))
     return both.filter("probe = 1").select(by, "key", *[F.col("p")[c].alias(c) for c in payload])
 
 

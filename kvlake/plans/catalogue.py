@@ -98,9 +98,8 @@ def q_streaming(spark, d):
 
 
 def q_debug_lookup(spark, d):
-    entries = per_run(spark, d).filter("run < 4")
-    keys = _probes(spark, d).filter(F.col("key").rlike("^(1?[0-9]|absent-[0-9])$"))
-    return lookup.debug_lookup(keys, bloom.build(entries), stats.sparse_build(entries), stats.block_build(entries, target=BLOCK_TARGET))
+    entries = per_run(spark, d)
+    return lookup.debug_lookup(_probes(spark, d), bloom.build(entries), stats.sparse_build(entries), stats.block_build(entries, target=BLOCK_TARGET))
 
 
 QUERIES = {
