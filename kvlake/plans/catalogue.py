@@ -131,7 +131,7 @@ QUERIES = {
     "memtable_bytes": lambda s, d: stats.memtable_bytes(log(s, d)),
     "bloom_hash_pair": lambda s, d: bloom.with_hash_pair(_probes(s, d)),
     "bloom_build": lambda s, d: bloom.build(per_run(s, d)).select("run", "bit_count", "hash_count", F.size("bits").cast("long").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + x).alias("bit_sum")),
-    "bloom_probe": lambda s, d: bloom.probe(_probes(s, d), bloom.build(per_run(s, d).filter("run < 8"))).select("run", "key", "maybe"),
+    "bloom_probe": lambda s, d: bloom.probe(_probes(s, d), bloom.build(per_run(s, d))).select("run", "key", "maybe"),
     "debug_lookup": q_debug_lookup,
     "tw_generate": lambda s, d: people(s, 1000),
     "flush_run": q_flush_run,

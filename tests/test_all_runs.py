@@ -74,3 +74,8 @@ def got(spark, small, name, *columns):
 def test_debug_lookup(spark, small):
     want = [(r, k, maybe(run, k), *floor(blocks(run), k, (None,) * 4), sparse_offset(run, k)) for r, run in small[1].items() for k in small[2]]
     assert got(spark, small, "debug_lookup", "run", "key", "bloom_maybe", "first_key", "block_off", "entry_count", "byte_len", "sparse_offset") == sorted(want, key=repr)
+
+
+def test_bloom_probe(spark, small):
+    want = [(r, k, maybe(run, k)) for r, run in small[1].items() for k in small[2]]
+    assert got(spark, small, "bloom_probe", "run", "key", "maybe") == sorted(want, key=repr)
