@@ -124,7 +124,7 @@ QUERIES = {
     "entry_encoded_size": lambda s, d: per_run(s, d).select("run", "key", encoded_size(F.col("key"), F.col("value")).alias("n"), value_length(F.col("value"), F.col("tombstone")).alias("value_len")),
     "entry_offsets": lambda s, d: stats.entry_offsets(per_run(s, d)).select("run", "key", "i", "n", "off"),
     "sparse_build": lambda s, d: stats.sparse_build(per_run(s, d)),
-    "sparse_floor": lambda s, d: lookup.floor_join(_probes(s, d), stats.sparse_build(per_run(s, d).filter("run < 8")), "key", ["off"]).select("run", "key", F.coalesce("off", F.lit(0)).alias("off")),
+    "sparse_floor": lambda s, d: lookup.floor_join(_probes(s, d), stats.sparse_build(per_run(s, d)), "key", ["off"]).select("run", "key", F.coalesce("off", F.lit(0)).alias("off")),
     "block_build": lambda s, d: stats.block_build(per_run(s, d), target=BLOCK_TARGET),
     "block_build_4096": lambda s, d: stats.block_build(_orders(s, d).withColumn("run", F.expr("cast(seq div 20000 as bigint)"))),
     "block_floor": lambda s, d: lookup.floor_join(_probes(s, d), stats.block_build(per_run(s, d).filter("run < 8"), target=BLOCK_TARGET), "first_key", ["block", "off", "entry_count"]),

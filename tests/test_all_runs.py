@@ -79,3 +79,8 @@ def test_debug_lookup(spark, small):
 def test_bloom_probe(spark, small):
     want = [(r, k, maybe(run, k)) for r, run in small[1].items() for k in small[2]]
     assert got(spark, small, "bloom_probe", "run", "key", "maybe") == sorted(want, key=repr)
+
+
+def test_sparse_floor(spark, small):
+    want = [(r, k, sparse_offset(run, k)) for r, run in small[1].items() for k in small[2]]
+    assert got(spark, small, "sparse_floor", "run", "key", "off") == sorted(want, key=repr)
