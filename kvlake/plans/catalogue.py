@@ -127,7 +127,7 @@ QUERIES = {
     "sparse_floor": lambda s, d: lookup.floor_join(_probes(s, d), stats.sparse_build(per_run(s, d)), "key", ["off"]).select("run", "key", F.coalesce("off", F.lit(0)).alias("off")),
     "block_build": lambda s, d: stats.block_build(per_run(s, d), target=BLOCK_TARGET),
     "block_build_4096": lambda s, d: stats.block_build(_orders(s, d).withColumn("run", F.expr("cast(seq div 20000 as bigint)"))),
-    "block_floor": lambda s, d: lookup.floor_join(_probes(s, d), stats.block_build(per_run(s, d).filter("run < 8"), target=BLOCK_TARGET), "first_key", ["block", "off", "entry_count"]),
+    "block_floor": lambda s, d: lookup.floor_join(_probes(s, d), stats.block_build(per_run(s, d), target=BLOCK_TARGET), "first_key", ["block", "off", "entry_count"]),
     "memtable_bytes": lambda s, d: stats.memtable_bytes(log(s, d)),
     "bloom_hash_pair": lambda s, d: bloom.with_hash_pair(_probes(s, d)),
     "bloom_build": lambda s, d: bloom.build(per_run(s, d)).select("run", "bit_count", "hash_count", F.size("bits").cast("long").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + x).alias("bit_sum")),

@@ -84,3 +84,11 @@ def test_bloom_probe(spark, small):
 def test_sparse_floor(spark, small):
     want = [(r, k, sparse_offset(run, k)) for r, run in small[1].items() for k in small[2]]
     assert got(spark, small, "sparse_floor", "run", "key", "off") == sorted(want, key=repr)
+
+
+def test_block_floor(spark, small):
+    want = []
+    for r, run in small[1].items():
+        numbered = [(first, i, off, cnt) for i, (first, off, cnt, _) in enumerate(blocks(run))]
+        want += [(r, k, *floor(numbered, k, (None,) * 4)[1:]) for k in small[2]]
+    assert got(spark, small, "block_floor", "run", "key", "block", "off", "entry_count") == sorted(want, key=repr)
