@@ -120,7 +120,7 @@ QUERIES = {
     "compact_level": q_compact_level,
     "compaction_candidates": lambda s, d: compaction.candidates(per_run(s, d).select("run", F.when(F.col("run") % 5 == 0, 1).otherwise(0).alias("level")).distinct(), (3, 2)),
     "fence_build": lambda s, d: stats.fence_build(per_run(s, d)),
-    "fence_prune": lambda s, d: lookup.fence_prune(_probes(s, d), stats.fence_build(per_run(s, d).filter("run < 20"))),
+    "fence_prune": lambda s, d: lookup.fence_prune(_probes(s, d), stats.fence_build(per_run(s, d))),
     "entry_encoded_size": lambda s, d: per_run(s, d).select("run", "key", encoded_size(F.col("key"), F.col("value")).alias("n"), value_length(F.col("value"), F.col("tombstone")).alias("value_len")),
     "entry_offsets": lambda s, d: stats.entry_offsets(per_run(s, d)).select("run", "key", "i", "n", "off"),
     "sparse_build": lambda s, d: stats.sparse_build(per_run(s, d)),

@@ -92,3 +92,8 @@ def test_block_floor(spark, small):
         numbered = [(first, i, off, cnt) for i, (first, off, cnt, _) in enumerate(blocks(run))]
         want += [(r, k, *floor(numbered, k, (None,) * 4)[1:]) for k in small[2]]
     assert got(spark, small, "block_floor", "run", "key", "block", "off", "entry_count") == sorted(want, key=repr)
+
+
+def test_fence_prune(spark, small):
+    want = [(r, k) for r, run in small[1].items() for k in small[2] if min(run) <= k <= max(run)]
+    assert got(spark, small, "fence_prune", "run", "key") == sorted(want, key=repr)
