@@ -3,6 +3,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,12 +78,40 @@ def test_bpe(spark, docs, empty):
     words = sorted({w.encode() for w in "ab abc abd b bcd xbcd".split()})
     lex = bpe.Lexicon(bpe.compile_lexicon(words, [[i] for i in range(len(words))]))
     assert lex.get(words) == [[i] for i in range(len(words))] and lex.get([b"a", b"abcde", b"", b"z"]) == [None] * 4 and lex.get([]) == []
-    assert bpe.Lexicon(bpe.compile_lexicon([], [])).get([b"a", b""]) == [None, None] and bpe.Vocabulary(mine.text).encode_words([]) == []
+    assert bpe.Lexicon(bpe.compile_lexicon([], [])).get([b"a", b""]) == [None, None] and mine.vocabulary.encode_words([]) == []
     odd = ["ab" * 3000 + " " * 9000 + "é" * 500, "a \x1c\x85 \u3000b's'S 9½١日本‍😀_́²", "x  <|endoftext|> <|endoftext|>\n", "", " ", "z" * 256 + " " + "q" * 257]
     rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     for r in mine.encode(rows, decoded="back").collect():
         want = ref.encode(odd[r.doc_id], add_special_tokens=False).ids
         assert r.ids == want and r.back == ref.decode(want, skip_special_tokens=False)
+    clash = rows.withColumns({"IDS": F.lit("old"), "back": F.lit(0), "n": F.lit(7)})
+    assert [r.n for r in mine.encode(clash, decoded="back").select("ids", "back", "n").collect()] == [7] * len(odd)
+    assert mine.decode(mine.encode(clash).withColumn("ids", F.array(F.lit(None).cast("int"), F.lit(64))), out="back").first().back == "a"
+
+
+def test_bpe_splits_every_character():
+    """Against the library's own pre-tokenizer, with each code point in the places where its kind shows."""
+    import public_tokenizers
+    from tokenizers import pre_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    ref = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    for lo in range(0, 0x110000, 0x8000):
+        text = "".join(f"a{c}1{c} {c}{c}\tb'{c}" for c in map(chr, range(lo, lo + 0x8000)) if not "\ud800" <= c <= "\udfff")
+        words = v.split(pa.array([text]))
+        want = np.array([a for _, (a, _) in ref.pre_tokenize_str(text)], np.int64)
+        size = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.cumsum(np.append(0, 1 + (size >= 0x80).astype(int) + (size >= 0x800) + (size >= 0x10000)))
+        assert words.start.tolist() == at[want].tolist()
+
+
+def test_bpe_bytes_that_are_not_text(spark):
+    import public_tokenizers
+
+    t = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = spark.createDataFrame([(1, bytearray(b"a\xff\xe2b")), (2, bytearray(b"ok"))], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    assert {r.doc_id: r.back for r in t.encode(rows, decoded="back").collect()} == {1: "a\ufffd\ufffdb", 2: "ok"}
 
 
 def test_fingerprint(docs, empty):
