@@ -18,6 +18,9 @@ SECOND_PRIME_MASK = 0x517CC1B727220A95
 SECOND_BYTE_ADD = 0x9E
 
 MOD64 = "18446744073709551616"
+#: Words of a segment of a filter: 64 KB, so that no filter is one row.
+SEGMENT_BITS = 13
+SEGMENT = 1 << SEGMENT_BITS
 
 
 @dataclass(frozen=True)
@@ -79,20 +82,51 @@ def with_probe_bits(df: DataFrame, bits: Column, k: int, h1: str = "h1", h2: str
 
 
 def build(entries: DataFrame, by: str = "run", config: BloomConfig = BloomConfig()) -> DataFrame:
-    """(by, bit_count, hash_count, bits): the distinct set bits of each run, sized from its own entry count."""
+    """(by, bit_count, hash_count, seg, words): the set bits of each run, sized from its own entry count, as 64-bit words
+    in segments of `SEGMENT`. Words after a segment's last set bit are left out."""
     sizes = entries.groupBy(by).agg(config.bits(F.count("*")).alias("bit_count"))
     hashed = with_hash_pair(entries.select(by, "key")).join(sizes, by)
     probed = with_probe_bits(hashed, F.col("bit_count"), config.k)
-    return (probed.select(by, "bit_count", F.explode("probe").alias("bit"))
-            .groupBy(by, "bit_count").agg(F.sort_array(F.collect_set("bit")).alias("bits"))
-            .select(by, "bit_count", F.lit(config.k).alias("hash_count"), "bits"))
+    bits = probed.select(by, "bit_count", F.explode("probe").alias("bit"))
+    words = bits.groupBy(by, "bit_count", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w"))
+    pair = F.struct((F.col("word") % SEGMENT).cast("int").alias("at"), "w")
+    set_ = words.groupBy(by, "bit_count", F.expr(f"word div {SEGMENT}").alias("seg")).agg(F.array_sort(F.collect_list(pair)).alias("set"))
+    earlier = F.concat(F.array(F.lit(-1)), F.transform("set", lambda x: x["at"]))
+    dense = F.flatten(F.zip_with("set", F.slice(earlier, F.lit(1), F.size("set")), lambda x, e: F.concat(F.array_repeat(F.lit(0).cast("long"), x["at"] - e - 1), F.array(x["w"]))))
+    return set_.select(by, "bit_count", F.lit(config.k).alias("hash_count"), "seg", dense.alias("words"))
 
 
-def probe(keys: DataFrame, filters: DataFrame, config: BloomConfig = BloomConfig()) -> DataFrame:
-    """Every key against every run's filter; `maybe` is never false for a member."""
+def set_bits(filters: DataFrame, by: str = "run") -> DataFrame:
+    """(by, bit_count, hash_count, bit): the set bits one by one."""
+    at = F.expr(f"transform(filter(sequence(0, 63), k -> (shiftrightunsigned(w, k) & 1L) = 1L), k -> (seg * {SEGMENT} + i) * 64 + k)")
+    return filters.select(by, "bit_count", "hash_count", "seg", F.posexplode("words").alias("i", "w")).select(by, "bit_count", "hash_count", F.explode(at).alias("bit"))
+
+
+def probe(keys: DataFrame, filters: DataFrame, by: str = "run") -> DataFrame:
+    """(by, bit_count, hash_count, key, maybe) for every distinct key and run; `maybe` is never false for a member.
+
+    A key goes to the segments its bits lie in, one for all but large runs, and each bit is read by its place."""
     spark = keys.sparkSession
+    runs = filters.select(by, "bit_count", "hash_count").distinct()
     # the keys are few bytes, the pairs are not: by number, so that they are not put together again
-    pairs = with_hash_pair(keys).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").crossJoin(filters)
+    pairs = with_hash_pair(keys.select("key").distinct()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").crossJoin(runs)
     with wrapping(spark):
-        at = F.sequence(F.lit(0).cast("long"), F.lit(config.k - 1).cast("long"))
-        return pairs.withColumn("maybe", F.forall(at, lambda i: F.array_contains("bits", _position(i, F.col("bit_count"), "h1", "h2")))).drop("h1", "h2", "bits")
+        at = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("hash_count") - 1).cast("long")), lambda i: _position(i, F.col("bit_count"), "h1", "h2"))
+        rows = pairs.withColumn("at", at).drop("h1", "h2")
+    rows = rows.withColumn("seg", F.explode(F.array_distinct(F.transform("at", lambda p: F.shiftright(p, 6 + SEGMENT_BITS)))))
+    rows = rows.join(filters.select(by, "seg", "words"), [by, "seg"], "left")
+    here = F.filter("at", lambda p: F.shiftright(p, 6 + SEGMENT_BITS) == F.col("seg"))
+    word = lambda p: F.coalesce(F.try_element_at("words", (F.shiftright(p, 6) % SEGMENT + 1).cast("int")), F.lit(0).cast("long"))
+    is_set = F.forall(F.transform(here, lambda p: F.struct(word(p).alias("w"), (p % 64).cast("int").alias("k"))), lambda x: F.getbit(x["w"], x["k"]) == 1)
+    return rows.select(by, "bit_count", "hash_count", "key", is_set.alias("set")).groupBy(by, "bit_count", "hash_count", "key").agg(F.bool_and("set").alias("maybe"))
+
+
+def segments(key: str, bit_count: int, config: BloomConfig = BloomConfig()) -> set[int]:
+    """The segments that one key's bits lie in, for reading no others."""
+    def fold(basis: int, prime: int, add: int) -> int:
+        for b in key.encode():
+            basis = ((basis ^ (b + add)) * prime) & ((1 << 64) - 1)
+        return basis
+
+    one, two = fold(FNV_BASIS, FNV_PRIME, 0), fold(FNV_BASIS ^ SECOND_BASIS_MASK, FNV_PRIME ^ SECOND_PRIME_MASK, SECOND_BYTE_ADD) | 1
+    return {((one + i * two) & ((1 << 64) - 1)) % bit_count >> (6 + SEGMENT_BITS) for i in range(config.k)}

@@ -1,10 +1,10 @@
 """Point and set lookups over a log or snapshot."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kvlake.functions import bloom
-from kvlake.operators import lww
+from kvlake.operators import lww, ordered
 
 
 def point_get(log: DataFrame, key: str) -> DataFrame:
@@ -37,24 +37,24 @@ def prefix_scan(log: DataFrame, prefix: str) -> DataFrame:
 
 def fence_prune(keys: DataFrame, fences: DataFrame) -> DataFrame:
     """(key, run) for the runs whose inclusive key range may hold the key; a missing fence prunes nothing."""
-    inside = F.coalesce(F.col("key").between(F.col("min_key"), F.col("max_key")), F.lit(True))
-    return keys.select("key").join(fences, inside).select("key", "run")
+    return ordered.intervals(keys.select("key"), fences.select("run", "min_key", "max_key"), "min_key", "max_key", "key").select("key", "run")
 
 
 def floor_join(keys: DataFrame, index: DataFrame, index_key: str, payload: list[str], by: str = "run") -> DataFrame:
     """As-of lookup: for each key and run, the payload of the greatest index key that is not above it, else NULLs.
 
-    Probe rows and index rows are merged by one sort per run instead of a range join: a window carries the last
-    index row forward, so the cost is linear in both sides."""
-    from pyspark.sql import Window
-
-    runs = index.select(by).distinct()
-    probes = keys.select("key").distinct().crossJoin(runs).select(by, "key", F.lit(1).alias("probe"), F.lit(None).cast(index.select(F.struct(*payload).alias("p")).schema["p"].dataType).alias("p"))
+    Probe rows and index rows are merged by one sort over range partitions; a window inside a partition carries the last
+    index row forward, and a partition starts with the last one of those before it."""
+    kind = index.select(F.struct(*payload).alias("p")).schema["p"].dataType
+    probes = keys.select("key").distinct().crossJoin(index.select(by).distinct()).select(by, "key", F.lit(1).alias("probe"), F.lit(None).cast(kind).alias("p"))
     marks = index.select(by, F.col(index_key).alias("key"), F.lit(0).alias("probe"), F.struct(*payload).alias("p"))
-    w = Window.partitionBy(by).orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    # by number: the few bytes of either side would be put together in one task
-    both = probes.unionByName(marks).repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).withColumn("p", F.last("p", ignorenulls=True).over(w))
-    return both.filter("probe = 1").select(by, "key", *[F.col("p")[c].alias(c) for c in payload])
+    rows = ordered.numbered(probes.unionByName(marks), by, "key", "probe")
+    share = [by, ordered.PART]
+    last = rows.groupBy(*share).agg(F.max_by("p", F.when(F.col("probe") == 0, F.col(ordered.ROW))).alias("last"))
+    earlier = Window.partitionBy(by).orderBy(ordered.PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*share, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    rows = rows.join(carried, share).withColumn("p", F.coalesce(F.last("p", ignorenulls=True).over(ordered.earlier_rows([by], inclusive=True)), F.col("carried")))
+    return rows.filter("probe = 1").select(by, "key", *[F.col("p")[c].alias(c) for c in payload])
 
 
 def debug_lookup(keys: DataFrame, filters: DataFrame, sparse: DataFrame, blocks: DataFrame) -> DataFrame:

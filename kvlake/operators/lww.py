@@ -45,12 +45,7 @@ def sorted_scan(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def ranked_scan(df: DataFrame) -> DataFrame:
-    """`sorted_scan` with the entry's global ordinal `i` from 0.
-
-    Range partitions number their own rows; the partitions' counts, one row each, give the offsets."""
-    inner = Window.partitionBy("part").orderBy("key")
-    parts = sorted_scan(df).withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(inner).cast("long"))
-    tops = parts.groupBy("part").agg(F.max("n").alias("top"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tops.select("part", F.coalesce(F.sum("top").over(before), F.lit(0)).alias("base"))
-    return parts.join(F.broadcast(offsets), "part").withColumn("i", F.col("base") + F.col("n") - 1).select(*df.columns, "i")
+    """`sorted_scan` with the entry's global ordinal `i` from 0: a partition's rows count on from those before it."""
+    from kvlake.operators import ordered
+
+    return ordered.ranked(df, "key")

@@ -8,8 +8,8 @@ from kvlake.functions.codec import encoded_size, value_length
 from kvlake.operators import compaction, lookup, lww, stats
 from kvlake.plans.store import KVStore
 from kvlake.schema import mutation_log
-from kvlake.sources import runs, scratch
-from kvlake.sources.generate import people
+from kvlake.sources import binlog, runs, scratch
+from kvlake.sources.generate import LCG, people, random_keys, random_reads
 from kvlake.sources.manifest import Manifest
 from kvlake.streaming.ingest import latest_view
 
@@ -63,11 +63,6 @@ def _text(df):
     return df.withColumn("value", F.col("value").cast("string"))
 
 
-def _mixed(spark, d):
-    newer = _t(spark, d, "customer").withColumn("dead", F.col("c_custkey") % 3 == 0)
-    return lww.union_all(bare(log(spark, d)), mutation_log(newer, F.col("c_custkey"), F.col("c_mktsegment"), F.lit(10_000_000) + F.col("c_custkey"), F.col("dead")))
-
-
 def q_flush_run(spark, d):
     path = scratch.new_path(spark, "run")
     runs.write_run(bare(lww.latest(log(spark, d))).withColumn("value", F.col("value").cast("binary")), path, ndv=10_000)
@@ -97,6 +92,50 @@ def q_streaming(spark, d):
     return spark.table(table)
 
 
+def _written(spark, d, *steps):
+    """A store that holds the log and then what the steps do, read back by a second handle: nothing is flushed."""
+    store = KVStore.open(spark, scratch.new_path(spark, "store"), flush_bytes=1 << 62)
+    store.apply(bare(log(spark, d)), order="seq")
+    for step in steps:
+        step(store)
+    return KVStore.open(spark, store.root)
+
+
+def _put_customers(spark, d):
+    rows = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("value"), "c_custkey")
+    return lambda store: store.put_df(rows, order="c_custkey")
+
+
+def _delete_customers(spark, d):
+    rows = _t(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("key"), "c_custkey")
+    return lambda store: store.delete_df(rows, order="c_custkey")
+
+
+def q_binlog_replay(spark, d):
+    """The log as files of binary records, replayed."""
+    path = scratch.new_path(spark, "binlog")
+    binlog.write(bare(log(spark, d)), path)
+    return _text(lww.latest(binlog.read(spark, path)))
+
+
+def q_store_debug_lookup(spark, d):
+    """What the stored indexes of a flushed and compacted store say about one key."""
+    store = _store(spark, d, _halves(spark, d))
+    store.compact(0)
+    store.put_df(_t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"), "n_nationkey"), order="n_nationkey")
+    store.flush()
+    return store.debug_lookup("17")
+
+
+def q_random_keys(spark, d):
+    """The benchmark's load: put, then read back keys that the sequence goes on to choose."""
+    store = KVStore.open(spark, scratch.new_path(spark, "store"))
+    keys = random_keys(spark, 10_000)
+    store.put_df(keys, order="i")
+    store.flush()
+    return store.multi_get(random_reads(spark, 10_000, 1_000)).select("key", F.hex("value").alias("value"), "found")
+
+
 def q_debug_lookup(spark, d):
     entries = per_run(spark, d)
     return lookup.debug_lookup(_probes(spark, d), bloom.build(entries), stats.sparse_build(entries), stats.block_build(entries, target=BLOCK_TARGET))
@@ -109,9 +148,10 @@ QUERIES = {
     "multi_get": lambda s, d: lookup.multi_get(bare(log(s, d)), _probes(s, d)).select("key", "value", "found"),
     "range_scan": lambda s, d: lookup.range_scan(bare(log(s, d)), "2", "5").select("key", "value"),
     "prefix_scan": lambda s, d: lookup.prefix_scan(bare(log(s, d)), "1").select("key", "value"),
-    "put_upsert": lambda s, d: lww.latest(_mixed(s, d)),
-    "delete_tombstone": lambda s, d: lww.live(_mixed(s, d)).select("key", "value"),
-    "wal_replay": lambda s, d: bare(lww.latest(log(s, d).filter(F.col("seq") > 400))),
+    "put_upsert": lambda s, d: bare(_text(_written(s, d, _put_customers(s, d)).latest())),
+    "delete_tombstone": lambda s, d: _text(_written(s, d, _put_customers(s, d), _delete_customers(s, d)).snapshot()).select("key", "value"),
+    "wal_replay": lambda s, d: bare(_text(lww.latest(_written(s, d).log()))),
+    "binlog_replay": q_binlog_replay,
     "merge_runs": lambda s, d: lww.merge_runs(per_run(s, d).select("key", "seq", "run")),
     "sorted_scan": lambda s, d: lww.ranked_scan(lww.live(bare(log(s, d))).select("key", "seq")),
     "first_hit_read": lambda s, d: lww.first_hit(per_run(s, d).withColumn("level", F.when(F.col("run") < 1, 1).otherwise(0))).select("key", "value", "seq", "table_id"),
@@ -130,9 +170,11 @@ QUERIES = {
     "block_floor": lambda s, d: lookup.floor_join(_probes(s, d), stats.block_build(per_run(s, d), target=BLOCK_TARGET), "first_key", ["block", "off", "entry_count"]),
     "memtable_bytes": lambda s, d: stats.memtable_bytes(log(s, d)),
     "bloom_hash_pair": lambda s, d: bloom.with_hash_pair(_probes(s, d)),
-    "bloom_build": lambda s, d: bloom.build(per_run(s, d)).select("run", "bit_count", "hash_count", F.size("bits").cast("long").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + x).alias("bit_sum")),
+    "bloom_build": lambda s, d: bloom.set_bits(bloom.build(per_run(s, d))).groupBy("run", "bit_count", "hash_count").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("bit_sum")),
     "bloom_probe": lambda s, d: bloom.probe(_probes(s, d), bloom.build(per_run(s, d))).select("run", "key", "maybe"),
     "debug_lookup": q_debug_lookup,
+    "store_debug_lookup": q_store_debug_lookup,
+    "random_keys": q_random_keys,
     "tw_generate": lambda s, d: people(s, 1000),
     "flush_run": q_flush_run,
     "scan_run": lambda s, d: lww.ranked_scan(q_flush_run(s, d).select("key", "seq", "tombstone")),
@@ -150,8 +192,10 @@ PROBES = "probes as (select cast(c_custkey as varchar) as key from customer unio
 SIZE = "16 + strlen(key) + coalesce(strlen(value), 0)"
 OFFSETS = f"""o as (select run, key, row_number() over (partition by run order by key) - 1 as i, {SIZE} as n,
   cast(coalesce(sum({SIZE}) over (partition by run order by key rows between unbounded preceding and 1 preceding), 0) as bigint) as off from r)"""
-MIXED = LOG + """, m as (select key, value, tombstone, seq from log union all select cast(c_custkey as varchar), case when c_custkey % 3 = 0 then null else c_mktsegment end, c_custkey % 3 = 0, 10000000 + c_custkey from customer),
- l as (select * from m qualify row_number() over (partition by key order by seq desc) = 1)"""
+PUT = LOG + """, puts as (select cast(c_custkey as varchar) as key, c_mktsegment as value, false as tombstone, (select count(*) from log) + row_number() over (order by c_custkey) as seq from customer),
+ dels as (select cast(c_custkey as varchar) as key, null as value, true as tombstone, (select count(*) from log) + (select count(*) from puts) + row_number() over (order by c_custkey) as seq from customer where c_custkey % 3 = 0),
+ numbered as (select key, value, tombstone, row_number() over (order by seq) as seq from log)"""
+WRITTEN = PUT + """, m as (select * from numbered union all select * from puts{more}), l as (select * from m qualify row_number() over (partition by key order by seq desc) = 1)"""
 ORDER_ENTRIES = "r as (select cast(o_orderkey as varchar) as key, o_orderpriority as value, cast((o_orderkey + 1) // 20000 as bigint) as run from orders)"
 
 
@@ -190,6 +234,21 @@ PROBE = f"""ph0 as (select *, {_fold(_U1, _P1, 0)} as u1, {_fold(_U2, _P2, bloom
 RUNS = "runs as (select distinct run from r), k as (select distinct key from probes), kr as (select key, run from k cross join runs)"
 TABLE = "select {id} as table_id, 0 as level, min(key) as min_key, max(key) as max_key, count(distinct key) as n from log where run % 2 = {half}"
 
+STORE_RUNS = LOG + """, r as (select 3::bigint as run, key, value from (select * from log qualify row_number() over (partition by key order by run % 2 desc, seq desc) = 1)
+ union all select 4::bigint, cast(n_nationkey as varchar), n_name from nation), probes as (select '17' as key)"""
+
+
+def _debug(runs: str, target: int) -> str:
+    """What each of the runs `r` says about each of the `probes`."""
+    return f"""with recursive {runs}, {OFFSETS}, {_blocks(target)}, {FILTERS}, {PROBE}, {RUNS},
+ x as (select run, key, off from o where i % 16 = 0),
+ fb as (select kr.run, kr.key, b.first_key, b.off as block_off, b.entry_count, b.byte_len from kr asof left join b on kr.run = b.run and kr.key >= b.first_key),
+ fs as (select kr.run, kr.key, coalesce(x.off, 0) as sparse_offset from kr asof left join x on kr.run = x.run and kr.key >= x.key)"""
+
+
+SHOWN = """ select v.run, v.key, v.maybe as bloom_maybe, fb.first_key, fb.block_off, fb.entry_count, fb.byte_len, fs.sparse_offset
+ from verdict v join fb on fb.run = v.run and fb.key = v.key join fs on fs.run = v.run and fs.key = v.key"""
+
 ORACLE = {
     "lww_latest": f"with {LATEST} select key, value, tombstone, seq from l",
     "live_snapshot": f"with {LATEST} select key, value, seq from l where not tombstone",
@@ -197,9 +256,10 @@ ORACLE = {
     "multi_get": f"with {LATEST}, {PROBES} select k.key, l.value, l.key is not null as found from (select distinct key from probes) k left join (select * from l where not tombstone) l on l.key = k.key",
     "range_scan": f"with {LATEST} select key, value from l where not tombstone and key between '2' and '5'",
     "prefix_scan": f"with {LATEST} select key, value from l where not tombstone and starts_with(key, '1')",
-    "put_upsert": f"with {MIXED} select key, value, tombstone, seq from l",
-    "delete_tombstone": f"with {MIXED} select key, value from l where not tombstone",
-    "wal_replay": f"with {LOG} select key, value, tombstone, seq from log where seq > 400 qualify row_number() over (partition by key order by seq desc) = 1",
+    "put_upsert": f"with {WRITTEN.format(more='')} select key, value, tombstone, seq from l",
+    "delete_tombstone": f"with {WRITTEN.format(more=' union all select * from dels')} select key, value from l where not tombstone",
+    "wal_replay": f"with {LATEST} select key, value, tombstone, seq from l",
+    "binlog_replay": f"with {LATEST} select key, value, tombstone, seq from l",
     "merge_runs": f"with {R} select key, seq, run, row_number() over (partition by key order by seq desc, run) as ord from r",
     "sorted_scan": f"with {LATEST} select key, seq, row_number() over (order by key) - 1 as i from l where not tombstone",
     "first_hit_read": f"with {R} select key, value, seq, table_id from r qualify row_number() over (partition by key order by case when run < 1 then 1 else 0 end, table_id desc) = 1",
@@ -208,23 +268,23 @@ ORACLE = {
     "compact_level": f"with {LOG}, x as (select * from log qualify row_number() over (partition by key order by run % 2 desc, seq desc) = 1) select key, value from x where not tombstone",
     "compaction_candidates": f"with {R}, t as (select distinct run, case when run % 5 = 0 then 1 else 0 end as level from r) select level, count(*) as n, cast(case level when 0 then 3 else 2 end as bigint) as threshold, count(*) >= case level when 0 then 3 else 2 end as due from t group by level",
     "fence_build": f"with {R} select run, min(key) as min_key, max(key) as max_key from r group by run",
-    "fence_prune": f"with {R}, {PROBES}, f as (select run, min(key) as lo, max(key) as hi from r where run < 20 group by run) select probes.key, run from probes join f on probes.key between lo and hi",
+    "fence_prune": f"with {R}, {PROBES}, f as (select run, min(key) as lo, max(key) as hi from r group by run) select probes.key, run from probes join f on probes.key between lo and hi",
     "entry_encoded_size": f"with {R} select run, key, {SIZE} as n, cast(case when tombstone then -1 else strlen(value) end as int) as value_len from r",
     "entry_offsets": f"with {R}, {OFFSETS} select run, key, i, n, off from o",
     "sparse_build": f"with {R}, {OFFSETS} select run, key, off from o where i % 16 = 0",
-    "sparse_floor": f"with {R.replace('select * from log qualify', 'select * from log where run < 8 qualify')}, {OFFSETS}, {PROBES}, {RUNS}, x as (select run, key, off from o where i % 16 = 0) select kr.run, kr.key, coalesce(x.off, 0) as off from kr asof left join x on kr.run = x.run and kr.key >= x.key",
+    "sparse_floor": f"with {R}, {OFFSETS}, {PROBES}, {RUNS}, x as (select run, key, off from o where i % 16 = 0) select kr.run, kr.key, coalesce(x.off, 0) as off from kr asof left join x on kr.run = x.run and kr.key >= x.key",
     "block_build": f"with recursive {R}, {OFFSETS}, {_blocks(BLOCK_TARGET)} select run, block, first_key, off, entry_count, byte_len from b",
     "block_build_4096": f"with recursive {ORDER_ENTRIES}, {OFFSETS}, {_blocks(4096)} select run, block, first_key, off, entry_count, byte_len from b",
-    "block_floor": f"with recursive {R.replace('select * from log qualify', 'select * from log where run < 8 qualify')}, {OFFSETS}, {_blocks(BLOCK_TARGET)}, {PROBES}, {RUNS} select kr.run, kr.key, b.block, b.off, b.entry_count from kr asof left join b on kr.run = b.run and kr.key >= b.first_key",
+    "block_floor": f"with recursive {R}, {OFFSETS}, {_blocks(BLOCK_TARGET)}, {PROBES}, {RUNS} select kr.run, kr.key, b.block, b.off, b.entry_count from kr asof left join b on kr.run = b.run and kr.key >= b.first_key",
     "memtable_bytes": f"with {R} select run, cast(sum(strlen(key) + coalesce(strlen(value), 0)) as bigint) as bytes from r group by run",
     "bloom_hash_pair": f"with {PROBES}, {_hashes('probes')} select key, {_SIGNED.format('u1')} as h1, {_SIGNED.format('u2')} as h2 from h",
     "bloom_build": f"with {R}, {FILTERS} select run, bit_count, 6 as hash_count, count(*) as n_bits, cast(sum(bit) as bigint) as bit_sum from bits group by all",
-    "bloom_probe": f"with {R.replace('select * from log qualify', 'select * from log where run < 8 qualify')}, {PROBES}, {FILTERS}, {PROBE} select run, key, maybe from verdict",
-    "debug_lookup": f"""with recursive {R.replace('select * from log qualify', 'select * from log where run < 4 qualify')}, {OFFSETS}, {_blocks(BLOCK_TARGET)}, {PROBES.replace('probes as (', 'probes as (select * from (')} where regexp_full_match(key, '1?[0-9]|absent-[0-9]')), {FILTERS}, {PROBE}, {RUNS},
- x as (select run, key, off from o where i % 16 = 0),
- fb as (select kr.run, kr.key, b.first_key, b.off as block_off, b.entry_count, b.byte_len from kr asof left join b on kr.run = b.run and kr.key >= b.first_key),
- fs as (select kr.run, kr.key, coalesce(x.off, 0) as sparse_offset from kr asof left join x on kr.run = x.run and kr.key >= x.key)
- select v.run, v.key, v.maybe as bloom_maybe, fb.first_key, fb.block_off, fb.entry_count, fb.byte_len, fs.sparse_offset from verdict v join fb on fb.run = v.run and fb.key = v.key join fs on fs.run = v.run and fs.key = v.key""",
+    "bloom_probe": f"with {R}, {PROBES}, {FILTERS}, {PROBE} select run, key, maybe from verdict",
+    "debug_lookup": _debug(f"{R}, {PROBES}", BLOCK_TARGET) + SHOWN,
+    "store_debug_lookup": _debug(STORE_RUNS, stats.BLOCK_BYTES) + SHOWN.replace("select v.run", "select cast(case v.run when 3 then 1 else 0 end as int) as level, v.run"),
+    "random_keys": f"""with recursive g as (select 0 as i, '{LCG[2]}'::uhugeint as x union all select i + 1, (x * '{LCG[0]}'::uhugeint + '{LCG[1]}'::uhugeint) % '{bloom.MOD64}'::uhugeint from g where i < 11000),
+ r as (select distinct (x % 10000::uhugeint)::bigint as i from g where i > 10000), k as (select cast(x as varchar) as key, lpad(hex(x::ubigint), 16, '0') as h from g where i between 1 and 10000 and i - 1 in (select i from r))
+ select key, {" || ".join(f"substr(h, {at}, 2)" for at in range(15, 0, -2))} as value, true as found from k""",
     "tw_generate": """select cast(i as varchar) as key, '{"name": "Person' || i || '", "age": ' || ((i * 7919 + 7) % 100) || ', "location": "ca"}' as value from range(0, 1000) t(i)""",
     "flush_run": f"with {LATEST} select key, value, tombstone, seq from l",
     "scan_run": f"with {LATEST} select key, seq, tombstone, row_number() over (order by key) - 1 as i from l",

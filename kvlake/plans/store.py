@@ -1,6 +1,7 @@
 """KVStore: a thin stateful shell over the DataFrame operators. One directory is one store, with one writer.
 
-Layout: manifest/ (versions), log/ (mutations not yet flushed), runs/ (immutable sorted runs)."""
+Layout: manifest/ (versions), log/ (mutations not yet flushed), runs/ (immutable sorted runs), index/ (block and sparse
+indexes and filters of runs, made when first asked for)."""
 from __future__ import annotations
 
 import uuid
@@ -12,7 +13,7 @@ from kvlake.functions.bloom import BloomConfig
 from kvlake.operators import compaction, lookup, lww, stats
 from kvlake.schema import MAX_VALUE_BYTES, MUTATION
 from kvlake.sources import fs, runs
-from kvlake.sources.manifest import Manifest
+from kvlake.sources.manifest import Conflict, Manifest
 
 #: Log bytes after which a put flushes, as measured on the encoded records.
 FLUSH_BYTES = 64 << 20
@@ -33,6 +34,27 @@ class KVStore:
         found = Manifest.load(spark, root) or Manifest.rebuild(spark, root).commit(spark, root)
         return cls(spark, root, found, **options)
 
+    def refresh(self) -> None:
+        """What other handles have committed since."""
+        self.manifest = Manifest.load(self.spark, self.root) or self.manifest
+
+    def _newest(self) -> None:
+        """Conflict, before any work, if another handle has committed: what this one knows may be deleted by now."""
+        there = Manifest.versions(self.spark, self.root)
+        if there and there[-1] != self.manifest.version:
+            self.refresh()
+            raise Conflict(f"{self.root}: version {there[-1]} exists")
+
+    def _commit(self, made: str, **changes) -> None:
+        """Goes on with the next version once it is on storage. A refused handle keeps nothing of what it tried (`made`
+        is deleted) and takes the newest version, on which the caller may try again."""
+        try:
+            self.manifest = self.manifest.commit(self.spark, self.root, **changes)
+        except Conflict:
+            fs.delete(self.spark, made)
+            self.refresh()
+            raise
+
     def close(self) -> None:
         self.flush()
 
@@ -85,11 +107,12 @@ class KVStore:
 
     # -- mutations
 
-    def apply(self, df: DataFrame, order: str | Column | None = None) -> int:
-        """Appends mutations (key, value, tombstone) and returns their number.
+    def apply(self, df: DataFrame, order: str | Column | None = None, **changes) -> int:
+        """Appends mutations (key, value, tombstone) and returns their number. `changes` go into the same commit.
 
         `order` names what gives arrival order within the batch; sequence numbers follow it without gaps. It may be
         left out only if keys do not repeat. Range partitions are numbered by their row counts, so no task sees all rows."""
+        self._newest()
         bad = F.col("key").isNull() | (F.octet_length("value") > F.lit(MAX_VALUE_BYTES))
         rows = df.select("key", F.when(~F.col("tombstone"), F.coalesce(F.col("value").cast("binary"), F.lit(b""))).alias("value"), "tombstone", *([F.expr(order) if isinstance(order, str) else order] if order is not None else []))
         rows = rows.toDF("key", "value", "tombstone", *(["__at"] if order is not None else []))
@@ -103,9 +126,9 @@ class KVStore:
         for r in sorted(counts, key=lambda r: r.p):
             offsets[str(r.p)] = total
             total += r.n
-        self.manifest.log.append({"path": path, "base": self.manifest.max_seq, "offsets": offsets, "bytes": sum(r.b for r in counts)})
-        self.manifest.max_seq += total
-        self.manifest.commit(self.spark, self.root)
+        now = self.manifest
+        made = {"path": path, "base": now.max_seq, "offsets": offsets, "bytes": sum(r.b for r in counts)}
+        self._commit(path, log=[*now.log, made], max_seq=now.max_seq + total, **changes)
         if sum(b["bytes"] for b in self.manifest.log) >= self.flush_bytes:
             self.flush()
         return total
@@ -124,12 +147,12 @@ class KVStore:
     def delete(self, key: str) -> None:
         self.delete_df(self.spark.createDataFrame([(key,)], "key string"))
 
-    def ingest(self, df: DataFrame, batch: str, order: str | Column | None = None) -> bool:
-        """`apply` once per batch name: a batch that was committed before is not applied again."""
-        if batch in self.manifest.batches:
+    def ingest(self, df: DataFrame, source: str, batch: int, order: str | Column | None = None) -> bool:
+        """`apply` once per batch of a source, whose batches come in ascending order: one at or below the last that was
+        committed is not applied again. The number is committed with the rows, so a batch that failed can be tried again."""
+        if batch <= self.manifest.batches.get(source, -1):
             return False
-        self.manifest.batches[batch] = self.manifest.version + 1
-        self.apply(df, order)
+        self.apply(df, order, batches={**self.manifest.batches, source: batch})
         return True
 
     # -- reads
@@ -147,11 +170,37 @@ class KVStore:
         return lookup.range_scan(self.versions(), low, high)
 
     def debug_lookup(self, key: str) -> DataFrame:
-        """Per run: filter verdict, floor block and sparse offset. The log and fences play no part."""
-        entries = self.entries()
+        """Per run: filter verdict, floor block and sparse offset. The log and fences play no part.
+
+        Reads of each stored index only what the key needs: the segments of the filter that hold its bits, and the index
+        rows at or below it (a bound that reaches the files' row groups)."""
+        tables = self.manifest.tables
+        if not tables:
+            return self.spark.createDataFrame([], "run long, key string, bloom_maybe boolean, first_key string, block_off long, entry_count long, byte_len long, sparse_offset long, level int")
+        paths = [self.index(t) for t in tables]
         probe = self.spark.createDataFrame([(key,)], "key string")
-        return lookup.debug_lookup(probe, bloom.build(entries, config=self.bloom), stats.sparse_build(entries), stats.block_build(entries)).join(
-            F.broadcast(self.manifest.frame(self.spark).select(F.col("table_id").alias("run"), "level")), "run")
+        filters = lww.union_all(*[self.spark.read.parquet(f"{p}/bloom") for p in paths])
+        bits = {(r.run, r.bit_count, r.hash_count) for r in filters.select("run", "bit_count", "hash_count").distinct().collect()}
+        wanted = set().union(*(bloom.segments(key, n, BloomConfig(hash_count=k)) for _, n, k in bits))
+        verdict = bloom.probe(probe, filters.filter(F.col("seg").isin(*wanted) | (F.col("seg") == 0))).select("run", "key", F.col("maybe").alias("bloom_maybe"))
+        block = self.spark.read.parquet(*[f"{p}/blocks" for p in paths]).filter(F.col("first_key") <= key).groupBy("run").agg(F.max_by(F.struct("first_key", "off", "entry_count", "byte_len"), "first_key").alias("b"))
+        sparse = self.spark.read.parquet(*[f"{p}/sparse" for p in paths]).filter(F.col("key") <= key).groupBy("run").agg(F.max("off").alias("off"))
+        levels = self.manifest.frame(self.spark).select(F.col("table_id").alias("run"), "level")
+        rows = verdict.join(block, "run", "left").join(sparse, "run", "left").join(levels, "run")
+        return rows.select("run", "key", "bloom_maybe", "b.first_key", F.col("b.off").alias("block_off"), "b.entry_count", "b.byte_len", F.coalesce("off", F.lit(0)).alias("sparse_offset"), "level")
+
+    def index(self, table: dict) -> str:
+        """Where a run's filter, block index and sparse index lie; they are built once, when first asked for."""
+        path = f"{self.root}/index/{table['path'].rstrip('/').rpartition('/')[2]}"
+        if not fs.exists(self.spark, path):
+            made = f"{self.root}/index/.{uuid.uuid4().hex}"
+            entries = runs.scan_run(self.spark, table["path"]).withColumn("run", F.lit(table["table_id"]).cast("long"))
+            bloom.build(entries, config=self.bloom).write.parquet(f"{made}/bloom")
+            lww.sorted_scan(stats.block_build(entries).withColumnRenamed("first_key", "key")).withColumnRenamed("key", "first_key").write.parquet(f"{made}/blocks")
+            lww.sorted_scan(stats.sparse_build(entries)).write.parquet(f"{made}/sparse")
+            if not fs.rename(self.spark, made, path):  # another handle was first
+                fs.delete(self.spark, made)
+        return path
 
     def entries(self) -> DataFrame:
         """Every run's entries with its table id as `run`."""
@@ -164,11 +213,10 @@ class KVStore:
         """Makes the log one sorted run of level 0; nothing happens if it is empty. Compacts what is due afterwards."""
         if not any(b["offsets"] for b in self.manifest.log):
             return None
+        self._newest()
         made = self._write(lww.latest(self.log()), 0)
         old = [b["path"] for b in self.manifest.log]
-        self.manifest.tables.append(made)
-        self.manifest.log = []
-        self.manifest.commit(self.spark, self.root)
+        self._commit(made["path"], tables=[*self.manifest.tables, made], log=[], next_id=made["table_id"] + 1)
         for path in old:
             fs.delete(self.spark, path)
         for level in range(len(self.thresholds)):
@@ -180,6 +228,7 @@ class KVStore:
         """Merges all runs of `level` and the next into one run of the next; publishes it, then deletes the inputs.
 
         `purge` drops tombstones and is refused while a deeper run could hold a deleted key."""
+        self._newest()
         inputs = self.tables(level=level) + self.tables(level=level + 1)
         if not inputs:
             return None
@@ -187,10 +236,10 @@ class KVStore:
             raise ValueError("tombstones can go only when nothing older is left out")
         made = self._write(compaction.compact(runs.scan_run(self.spark, *[t["path"] for t in inputs]), purge), level + 1)
         gone = {t["table_id"] for t in inputs}
-        self.manifest.tables = [t for t in self.manifest.tables if t["table_id"] not in gone] + [made]
-        self.manifest.commit(self.spark, self.root)
+        self._commit(made["path"], tables=[t for t in self.manifest.tables if t["table_id"] not in gone] + [made], next_id=made["table_id"] + 1)
         for t in inputs:
             fs.delete(self.spark, t["path"])
+            fs.delete(self.spark, f"{self.root}/index/{t['path'].rstrip('/').rpartition('/')[2]}")
         return made
 
     def candidates(self) -> DataFrame:
@@ -199,16 +248,14 @@ class KVStore:
     def collect_garbage(self) -> int:
         """Deletes runs and log batches that no manifest entry names, as a crash between publishing and deleting leaves."""
         used = {t["path"].rstrip("/").rpartition("/")[2] for t in self.manifest.tables} | {b["path"].rpartition("/")[2] for b in self.manifest.log}
-        gone = [f"{self.root}/{d}/{n}" for d in ("runs", "log") for n in fs.names(self.spark, f"{self.root}/{d}") if n not in used]
+        gone = [f"{self.root}/{d}/{n}" for d in ("runs", "log", "index") for n in fs.names(self.spark, f"{self.root}/{d}") if n not in used]
         for path in gone:
             fs.delete(self.spark, path)
         return len(gone)
 
     def _write(self, df: DataFrame, level: int) -> dict:
         table_id = self.manifest.next_id
-        path = f"{self.root}/runs/L{level}_{table_id}"
-        fs.delete(self.spark, path)  # left by a crash before its commit
+        path = f"{self.root}/runs/L{level}_{table_id}-{uuid.uuid4().hex[:8]}"  # no two writers share a folder
         about = sum(t["n"] for t in self.manifest.tables) + sum(b["bytes"] for b in self.manifest.log) // 16
         runs.write_run(df, path, ndv=min(about, 1_000_000), config=self.bloom)
-        self.manifest.next_id += 1
         return runs.describe(self.spark, path, table_id, level)

@@ -1,7 +1,6 @@
 """Intermediate tables in the folder that driver and executors share."""
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kvlake.sources import fs
 
 _own: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,12 +36,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table on shared storage: its lineage ends there, so a lost executor costs no recomputation.
 
-    Shuffle files of finished jobs go when the driver's JVM finds them unreachable; it is asked to look now."""
+    The write's own shuffle files are deleted as it ends; nothing else reads them."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    old = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

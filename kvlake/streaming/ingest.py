@@ -11,7 +11,7 @@ from kvlake.plans.store import KVStore
 def ingest_stream(stream: DataFrame, store: KVStore, checkpoint: str, order: str | None = None, flush: bool = True, **trigger) -> StreamingQuery:
     """Each micro-batch is applied once (by its id) and flushed as one run. `stream` has key, value, tombstone."""
     def land(batch: DataFrame, batch_id: int) -> None:
-        if store.ingest(batch, f"{checkpoint}#{batch_id}", order) and flush:
+        if store.ingest(batch, checkpoint, batch_id, order) and flush:
             store.flush()
 
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from kvlake import KVStore
 from kvlake.cli import Shell
 from kvlake.functions import bloom, codec
+from kvlake.operators import stats
 from kvlake.sources import binlog, fs
+from kvlake.sources.generate import LCG, random_keys, random_reads
 from kvlake.sources.manifest import Conflict, CorruptManifest, Manifest
 
 
@@ -35,7 +37,8 @@ def test_recovers_from_log_and_runs(spark, root):
     s = KVStore.open(spark, root)
     assert s.get("name") == b"x"
     s.sync()
-    assert fs.exists(spark, f"{root}/runs/L0_1/_SUCCESS")
+    name = s.manifest.tables[0]["path"].rpartition("/")[2]
+    assert name.startswith("L0_1-") and fs.exists(spark, f"{root}/runs/{name}/_SUCCESS")
     assert KVStore.open(spark, root).get("name") == b"x"
 
 
@@ -98,11 +101,69 @@ def test_unsafe_purge_is_refused(spark, root):
     assert s.get("a") is None
 
 
-def test_single_writer(spark, root):
+def test_refused_writer(spark, root):
     one, two = KVStore.open(spark, root), KVStore.open(spark, root)
     one.put("a", "1")
     with pytest.raises(Conflict):
-        two.put("a", "2")
+        two.put("b", "2")
+    assert len(fs.names(spark, f"{root}/log")) == 1  # what was refused is gone
+    two.put("c", "3")
+    assert live(KVStore.open(spark, root)) == {"a": b"1", "c": b"3"} == live(two)
+    with pytest.raises(Conflict):
+        one.flush()
+    assert len(fs.names(spark, f"{root}/runs")) == 0
+    one.put("b", "2")
+    assert live(KVStore.open(spark, root)) == {"a": b"1", "b": b"2", "c": b"3"}
+
+
+def test_refused_flush_and_compaction_lose_nothing(spark, root):
+    one, two = KVStore.open(spark, root), KVStore.open(spark, root)
+    one.put("a", "1")
+    two.refresh()
+    one.flush()
+    with pytest.raises(Conflict):
+        two.flush()
+    assert live(KVStore.open(spark, root)) == {"a": b"1"} and len(fs.names(spark, f"{root}/runs")) == 1
+    one.compact(0)
+    with pytest.raises(Conflict):
+        two.compact(0)
+    assert live(KVStore.open(spark, root)) == {"a": b"1"} and two.manifest.tables[0]["level"] == 1
+
+
+def test_racing_publishers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(20):
+            made = list(pool.map(lambda i: fs.publish(spark, f"file://{tmp_path}/m/v{k}", f"text {i}"), range(8)))
+            assert made.count(True) == 1 and fs.read_text(spark, f"file://{tmp_path}/m/v{k}") == f"text {made.index(True)}"
+    assert sorted(fs.names(spark, f"file://{tmp_path}/m")) == sorted(f"v{k}" for k in range(20))
+
+
+def test_old_versions_go_and_stay_gone(spark, root):
+    m = Manifest().commit(spark, root)
+    old = m
+    for k in range(40):
+        m = m.commit(spark, root, max_seq=k)
+    assert len(Manifest.versions(spark, root)) <= 16 and Manifest.load(spark, root).max_seq == 39
+    with pytest.raises(Conflict):  # its next version's name is free again, but it is not the newest
+        old.commit(spark, root)
+    assert Manifest.load(spark, root) == m
+
+
+def test_failed_batch_is_tried_again(spark, root):
+    s = KVStore.open(spark, root)
+    bad = spark.createDataFrame([(None, bytearray(b"1"), False)], "key string, value binary, tombstone boolean")
+    good = bad.fillna("a", ["key"])
+    with pytest.raises(Exception, match="key is NULL"):
+        s.ingest(bad, "q", 0)
+    assert s.ingest(good, "q", 0) and s.get("a") == b"1"
+    other = KVStore.open(spark, root)
+    s.put("x", "1")
+    with pytest.raises(Conflict):
+        other.ingest(good, "q", 1)
+    assert other.ingest(good, "q", 1) and not other.ingest(good, "q", 1) and not KVStore.open(spark, root).ingest(good, "q", 0)
+    assert other.manifest.batches == {"q": 1}
 
 
 def test_manifest_rebuild_and_corruption(spark, root, tmp_path):
@@ -127,7 +188,7 @@ def test_bad_rows_are_refused(spark, root):
 def test_ingest_is_idempotent(spark, root):
     s = KVStore.open(spark, root)
     df = spark.createDataFrame([("a", bytearray(b"1"), False)], "key string, value binary, tombstone boolean")
-    assert s.ingest(df, "b0") and not s.ingest(df, "b0")
+    assert s.ingest(df, "b", 0) and not s.ingest(df, "b", 0)
     assert s.manifest.max_seq == 1
 
 
@@ -147,9 +208,13 @@ def test_binary_log(spark, tmp_path):
     records = [("a", b"1", 1), ("b", None, 2), ("c", b"", 3)]
     whole = b"".join(codec.encode(*r) for r in records)
     (tmp_path / "x.log").write_bytes(whole + codec.encode("torn", b"tail", 4)[:-2])
-    binlog.register(spark)
-    rows = spark.read.format("kvlake_log").load(str(tmp_path / "x.log")).collect()
+    rows = binlog.read(spark, str(tmp_path / "x.log")).collect()
     assert [(r.key, None if r.value is None else bytes(r.value), r.seq) for r in rows] == records
+    assert [r.tombstone for r in rows] == [False, True, False]
+    log = spark.createDataFrame([(k, None if v is None else bytearray(v), v is None, i) for k, v, i in records], "key string, value binary, tombstone boolean, seq long")
+    assert binlog.write(log, f"{tmp_path}/folder") == 3 and binlog.write(log.limit(0), f"{tmp_path}/none") == 0
+    assert sorted((r.key, None if r.value is None else bytes(r.value), r.seq) for r in binlog.read(spark, f"{tmp_path}/folder").collect()) == records
+    assert binlog.read(spark, f"{tmp_path}/none").count() == binlog.read(spark, f"{tmp_path}/missing").count() == 0
     with pytest.raises(ValueError):
         list(codec.decode(struct.pack("<QIi", 1, 1, -2) + b"a"))
 
@@ -162,6 +227,95 @@ def test_bloom_has_no_false_negative(spark):
     assert bloom.probe(other, f).filter("maybe").count() < 4000 * 0.05
 
 
+def test_bloom_segments(spark, monkeypatch):
+    """Filters of many segments say what those of one segment say."""
+    keys = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("run"))
+    other = spark.range(2000, 8000).select(F.col("id").cast("string").alias("key"))
+    says = lambda: sorted((r.run, r.key) for r in bloom.probe(other, bloom.build(keys)).filter("maybe").collect())
+    want = says()
+    monkeypatch.setattr(bloom, "SEGMENT_BITS", 3)
+    monkeypatch.setattr(bloom, "SEGMENT", 8)
+    assert says() == want and bloom.build(keys).select("run", "seg").distinct().count() == 3 * 16
+    assert bloom.segments("77", 8000) <= set(range(16))
+
+
+def test_debug_lookup_reads_stored_indexes(spark, root):
+    s = KVStore.open(spark, root)
+    assert s.debug_lookup("a").count() == 0
+    for k in range(2):
+        s.put_df(spark.range(k * 500, k * 500 + 500).select(F.col("id").cast("string").alias("key"), F.lit("v" * 40).alias("value")))
+        s.flush()
+    rows = {r.run: r for r in s.debug_lookup("499").collect()}
+    assert rows[1].bloom_maybe and rows[1].first_key <= "499" and rows[1].sparse_offset <= 500 * 59 and rows[1].level == 0
+    assert len(fs.names(spark, f"{root}/index")) == 2
+    first = s.debug_lookup("!").collect()
+    assert all(r.first_key is None and r.sparse_offset == 0 for r in first)
+    s.compact(0)
+    assert fs.names(spark, f"{root}/index") == [] and s.debug_lookup("499").first().bloom_maybe
+
+
+@pytest.mark.parametrize("target", [1, 40, 300, 5000, 10**9])
+def test_blocks_across_partitions(spark, target):
+    """Runs of one entry, of small and of large ones, cut into many partitions, against the plain fold."""
+    rnd = random.Random(target)
+    rows = [(r, f"{i:05d}", "x" * rnd.choice([0, 3, 30, 400])) for r, n in ((1, 1), (2, 700), (3, 40), (4, 1500)) for i in range(n)]
+    df = spark.createDataFrame(rows, "run long, key string, value string").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, stats.block_build(df, target=target).collect()))
+        offsets = sorted((r.run, r.key, r.i, r.off) for r in stats.entry_offsets(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    want, places = [], []
+    for run in (1, 2, 3, 4):
+        off, blocks = 0, []
+        for i, (_, key, value) in enumerate(x for x in rows if x[0] == run):
+            n = 16 + len(key) + len(value)
+            places.append((run, key, i, off))
+            if not blocks or blocks[-1][5] >= target:
+                blocks.append([run, len(blocks), key, off, 0, 0])
+            blocks[-1][4] += 1
+            blocks[-1][5] += n
+            off += n
+        want += map(tuple, blocks)
+    assert got == want and offsets == places
+
+
+def test_random_keys(spark):
+    x, want = LCG[2], []
+    for _ in range(5000):
+        x = (x * LCG[0] + LCG[1]) % 2**64
+        want.append(x)
+    got = random_keys(spark, 4000).orderBy("i").collect()
+    assert [r.key for r in got] == [str(x) for x in want[:4000]] and [bytes(r.value) for r in got] == [x.to_bytes(8, "little") for x in want[:4000]]
+    assert sorted(r.key for r in random_reads(spark, 4000, 1000).collect()) == sorted({str(want[x % 4000]) for x in want[4000:]})
+
+
+def test_one_shot_commands(spark, tmp_path, capsys):
+    from kvlake.cli import main
+
+    path = ["--db-path", f"{tmp_path}/db"]
+    assert main([*path, "put", "k", "v 1"]) == 0 and main([*path, "get", "k"]) == 0
+    assert main([*path, "delete", "k"]) == main([*path, "get", "k"]) == main([*path, "sync"]) == main([*path, "debug-get", "k"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert said[:4] == ["ok", "v 1", "ok", "(nil)"] and any(x.startswith("level=0 table=1 bloom=true") for x in said)
+    (tmp_path / "bad/manifest").mkdir(parents=True)
+    (tmp_path / "bad/manifest/v0000000001.json").write_text("{")
+    assert main(["--path", f"{tmp_path}/bad", "get", "k"]) == 1 and "error" in capsys.readouterr().err
+
+
+def test_shell_connects(spark, tmp_path):
+    out = io.StringIO()
+    sh = Shell(spark, f"{tmp_path}/one", out, out)
+    for line in ("PUT a 1", f"CONNECT {tmp_path}/two", "GET a", "PUT a 2", f"CONNECT {tmp_path}/one", "GET a", "CUR", f"CONNECT {tmp_path}/one", "TW 5", "TG 5", "EXIT"):
+        sh.run(line)
+    text = out.getvalue().splitlines()
+    assert text[:7] == ["ok", "ok", "(nil)", "ok", "ok", "1", f"{tmp_path}/one"] and sum("finished in" in x for x in text) == 2
+
+
 def test_shell(spark, tmp_path):
     out, err = io.StringIO(), io.StringIO()
     sh = Shell(spark, f"{tmp_path}/db", out, err)
