@@ -25,8 +25,8 @@ EXIT|QUIT"""
 
 
 class Shell:
-    def __init__(self, spark: SparkSession, path: str, out=sys.stdout, err=sys.stderr):
-        self.spark, self.out, self.err = spark, out, err
+    def __init__(self, spark: SparkSession, path: str, out=None, err=None):
+        self.spark, self.out, self.err = spark, out or sys.stdout, err or sys.stderr
         self.root = self.path = path
         self.store = KVStore.open(spark, path)
 
