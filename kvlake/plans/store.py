@@ -93,7 +93,8 @@ class KVStore:
     def versions(self, key: str | None = None) -> DataFrame:
         """All stored versions, of every run that may hold `key` and of the log."""
         paths = [t["path"] for t in self.tables(key)]
-        return lww.union_all(self.log(), *([runs.scan_run(self.spark, *paths)] if paths else []))
+        stored = [runs.scan_run(self.spark, *paths)] if paths else []
+        return lww.union_all(*([self.log()] if self.manifest.log or not stored else []), *stored)
 
     def latest(self) -> DataFrame:
         return lww.latest(self.versions())
