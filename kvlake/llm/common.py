@@ -5,10 +5,10 @@ import sys
 import types
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from kvlake.operators.grouped import group_bounds, whole_groups  # noqa: F401  the operators take them from here
 from kvlake.sources import scratch
 
 #: The white space of the word contracts: space and U+0009 to U+000D.
@@ -37,46 +37,6 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows that come sorted by `keys`, in tables that never split a group."""
-    held: list[pa.RecordBatch] = []
-
-    def tail_start(b: pa.RecordBatch) -> int:
-        differs = np.zeros(b.num_rows, bool)
-        for k in keys:
-            c = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
-            differs |= c != c[-1]
-        at = np.flatnonzero(differs)
-        return int(at[-1]) + 1 if at.size else 0
-
-    def same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
-        return all(a.column(a.schema.get_field_index(k))[-1] == b.column(b.schema.get_field_index(k))[0] for k in keys)
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if held and not same(held[-1], b):
-            yield pa.Table.from_batches(held)
-            held = []
-        cut = tail_start(b)
-        if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def group_bounds(*keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal keys, and the end."""
-    n = len(keys[0])
-    new = np.zeros(n, bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.append(np.flatnonzero(new), n)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b) of longs; component is the smallest node.
 

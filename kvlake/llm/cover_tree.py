@@ -1,19 +1,27 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
 Vectors are compared within their label and dimension. Equal vectors are one weighted node. Unit vectors within cosine
-`COSINE` are within `RADIUS` of each other. The top level is a set of pivots from a bounded sample; each node joins its
-nearest pivot's cell, cells have covering radii, and a pair of cells is worked on only if its pivots are no further
-apart than the radii and RADIUS allow. A node goes to the pairs its own distance allows. Large cells are cut into blocks.
-Each pair of blocks gets two cover trees (nested levels, radii halved), traversed together: node pairs whose centres are
-further apart than their covering radii and RADIUS go, and what is left at the leaves is compared exactly.
-
-A pair of blocks yields link counts per node and links that span its linked groups, never all pairs. Cases: vectors that
-are NULL, empty, zero, or hold NULL or non-finite components, and rows without label, link with nothing and are their own
-component; a NULL vec_id counts as a partner and has no component; empty tables give empty results.
+`COSINE` are within `RADIUS` of each other. Labels of more than `BLOCK` nodes are cut into cells around pivots (as many of
+one nested sequence as the label needs), and cells into blocks. Each block gets one cover tree: nested levels of centres,
+radii halved, points in the order of the tree, so that a centre's points are a range. A tree is traversed against itself,
+then against those of the label's other blocks, unless pivots and covering radii keep the blocks apart: centres further
+apart than their covering radii and RADIUS allow go with all their points. Distances of projections, which are never
+longer, go first. What is left at the leaves is compared exactly, in double precision.
+
+A traversal yields link counts per node and links that span its linked groups; all pairs are never held or emitted.
+Blocks of large labels are files on shared storage that only the written table names, so a repeated task is harmless.
+Where no bound prunes (vectors without clusters), the work grows with the square of a label's size.
+
+Cases: vectors that are NULL, empty, zero, or hold NULL or non-finite components, and rows without label, link with nothing
+and are their own component; a NULL vec_id counts as a partner and gets the smallest vec_id its links reach, NULL if there
+is none; rows that share a vec_id are apart, and each gets what its own vector reaches; very long vectors only cost more;
+empty tables give empty results; other columns are ignored.
 """
 from __future__ import annotations
 
 import math
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,254 +29,348 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kvlake.llm.common import components, group_bounds, whole_groups
-from kvlake.sources import scratch
+from kvlake.sources import fs, scratch
 
 COSINE = 0.98
-#: Nodes of a block, sampled vectors for pivots, and pivots of a label, at most.
-BLOCK, SAMPLE, PIVOTS = 2048, 2048, 128
-#: Labels that are cut without pivots, up to which their table is broadcast.
-BROADCAST = 100_000
-SLACK = 1e-7
-
-
-class Tree:
-    """Levels of centres: at each, every point lies within `reach` of its centre, which is at most `radius`."""
-
-    def __init__(self, x: np.ndarray, least: float):
-        self.x = x
-        n = len(x)
-        of = np.zeros(n, np.int64)
-        far = self._distance(x, x[0])
-        self.levels = [(np.zeros(1, np.int64), of, np.array([far.max()]))]
-        radius = 2.0
-        while len(self.levels[-1][0]) < n:
-            radius /= 2
-            if radius < least:
-                break
-            centres, of = self._halve(*self.levels[-1][:2], radius)
-            gap = np.sqrt(np.maximum(0, ((x - x[centres[of]]) ** 2).sum(axis=1)))
-            reach = np.zeros(len(centres))
-            np.maximum.at(reach, of, gap)
-            self.levels.append((centres, of, reach))
-        if len(self.levels[-1][0]) < n:
-            self.levels.append((np.arange(n), np.arange(n), np.zeros(n)))
-
-    @staticmethod
-    def _distance(x, p):
-        return np.sqrt(np.maximum(0, ((x - p) ** 2).sum(axis=1)))
-
-    def _halve(self, centres, of, radius):
-        """Covers each centre's points by points of its own, the centre first: levels are nested."""
-        made, new = [], np.empty(len(of), np.int64)
+#: Nodes of a block about, sampled vectors for pivots, and pivots of a label, at most.
+BLOCK, SAMPLE, PIVOTS = 32768, 2048, 128
+#: Centres, and their partners, whose distances are held at once; coordinates of the projection.
+ROWS, COLUMNS, PROJECTED = 256, 2048, 16
+#: Added to bounds on distances, and on squared distances in single precision.
+SLACK, SINGLE = 1e-7, 5e-5
+
+
+def radius_of(cosine: float) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
+
+
+def _cover(u: np.ndarray, left: np.ndarray, radius: float, new: np.ndarray, made: list) -> None:
+    """Covers the points by some of them, the first one first: `new` gets each point's number of centre."""
+    while left.size:
+        near = u[left[:ROWS]] @ u[left].T >= 1 - radius * radius / 2
+        taken = np.zeros(len(left), bool)
+        for c in range(min(ROWS, len(left))):
+            if not taken[c]:
+                hit = near[c] & ~taken
+                hit[c] = True
+                new[left[hit]] = len(made)
+                made.append(left[c])
+                taken |= hit
+        left = left[~taken]
+
+
+def plant(u: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A cover tree of unit vectors: their order, the first level at which each (in that order) is a centre, and each
+    level's reaches. Every point lies within its centre's reach, which is at most the level's radius."""
+    n = len(u)
+    levels = [(np.zeros(1, np.int64), np.zeros(n, np.int64))]
+    radius = 2.0
+    while len(levels[-1][0]) < n and radius / 2 >= least:
+        radius /= 2
+        centres, of = levels[-1]
         order = np.argsort(of, kind="stable")
-        bounds = np.append(np.searchsorted(of[order], np.arange(len(centres))), len(of))
+        bounds = np.append(np.searchsorted(of[order], np.arange(len(centres))), n)
+        new, made = np.empty(n, np.int64), []
         for c, centre in enumerate(centres):
             left = order[bounds[c]: bounds[c + 1]]
-            pick = centre
-            while left.size:
-                near = self.x[left] @ self.x[pick] >= 1 - radius * radius / 2
-                near |= left == pick
-                new[left[near]] = len(made)
-                made.append(pick)
-                left = left[~near]
-                pick = left[0] if left.size else -1
-        return np.array(made), new
-
-    def children(self, level: int) -> list[np.ndarray]:
-        """For each centre of a level, the places of its children in the next."""
-        centres, of, _ = self.levels[level]
-        below = self.levels[level + 1][0]
-        parent = of[below]
-        order = np.argsort(parent, kind="stable")
-        return np.split(order, np.searchsorted(parent[order], np.arange(1, len(centres))))
-
-
-def traverse(a: Tree, b: Tree, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of the points that no bound keeps apart by more than `radius`."""
-    pairs = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-    depth = max(len(a.levels), len(b.levels))
-    for level in range(1, depth):
-        la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
-        same = lambda t, now: [np.array([i]) for i in range(len(t.levels[now][0]))]
-        ka = a.children(level - 1) if la == level else same(a, la)
-        kb = b.children(level - 1) if lb == level else same(b, lb)
-        ca, _, ra = a.levels[la]
-        cb, _, rb = b.levels[lb]
-        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
-        order = np.argsort(pairs[0], kind="stable")
-        firsts, seconds = pairs[0][order], pairs[1][order]
-        bounds = group_bounds(firsts) if len(firsts) else np.zeros(1, np.int64)
-        for g in range(len(bounds) - 1):
-            i = ka[firsts[bounds[g]]]
-            j = np.concatenate([kb[s] for s in seconds[bounds[g]: bounds[g + 1]]])
-            for at in range(0, len(i), 512):
-                ii = i[at: at + 512]
-                gap = np.sqrt(np.maximum(0, 2 - 2 * (a.x[ca[ii]] @ b.x[cb[j]].T)))
-                p, q = np.nonzero(gap <= radius + ra[ii][:, None] + rb[j][None, :])
-                found[0].append(ii[p])
-                found[1].append(j[q])
-        pairs = [np.concatenate(f) for f in found]
-    la, lb = a.levels[-1][0], b.levels[-1][0]
-    return la[pairs[0]], lb[pairs[1]]
-
-
-def block_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked places (i in x, j in y), or i < j within x if y is None. `x` and `y` are as given, not scaled."""
-    unit = lambda v: v / np.sqrt((v * v).sum(axis=1))[:, None]
-    radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    a = Tree(unit(x), radius / 2)
-    b = a if y is None else Tree(unit(y), radius / 2)
-    i, j = traverse(a, b, radius)
-    other = x if y is None else y
-    if y is None:
-        i, j = i[i < j], j[i < j]
-    keep = np.zeros(len(i), bool)
-    nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((other * other).sum(axis=1))
-    for at in range(0, len(i), 1 << 16):
-        p, q = i[at: at + (1 << 16)], j[at: at + (1 << 16)]
-        keep[at: at + len(p)] = (x[p] * other[q]).sum(axis=1) / (nx[p] * ny[q]) >= cosine
-    return i[keep], j[keep]
-
-
-def _spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Places of the links of a spanning forest."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    kept = []
-    for k, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
-        p, q = find(p), find(q)
-        if p != q:
-            root[p] = q
-            kept.append(k)
-    return np.array(kept, np.int64)
-
-
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            if len(left) == 1:
+                new[centre] = len(made)
+                made.append(centre)
+            else:
+                _cover(u, np.append(centre, left[left != centre]), radius, new, made)
+        if len(made) > len(centres):
+            levels.append((np.array(made), new))
+    centres, of = levels[-1]
+    own = centres[of] != np.arange(n)
+    order = np.lexsort((own, of))  # numbers follow the parents' and a centre's own comes first: the tree's order
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    if len(centres) < n:
+        levels.append((np.arange(n), np.arange(n)))
+    top, reaches = np.full(n, len(levels), np.int64), []
+    for level, (centres, of) in enumerate(levels):
+        at = place[centres]
+        top[at] = np.minimum(top[at], level)
+        gap = np.sqrt(((u.astype(np.float64) - u[centres[of]]) ** 2).sum(axis=1))
+        reach = np.zeros(n)
+        np.maximum.at(reach, place[centres[of]], gap)
+        reaches.append(reach[np.sort(at)])
+    return order, top, reaches
+
+
+class Tree:
+    """Points in the tree's order: a centre's points are the range from it to the level's next centre."""
+
+    def __init__(self, node, weight, v, top, reaches):
+        self.node, self.weight, self.v, self.top, self.reaches = node, weight, v, top, reaches
+        self.norm = np.sqrt((v * v).sum(axis=1))
+        self.u = (v / self.norm[:, None]).astype(np.float32)
+        d = v.shape[1]
+        p = self.u if d <= PROJECTED else (self.u @ np.linalg.qr(np.random.default_rng(1).normal(size=(d, PROJECTED)))[0].astype(np.float32))
+        square, one = (p * p).sum(axis=1)[:, None], np.ones((len(p), 1), np.float32)
+        self.left, self.right = np.hstack([-2 * p, square, one]), np.hstack([p, one, square])
+        self.levels = [np.flatnonzero(top <= level) for level in range(len(reaches))]
+
+    @classmethod
+    def of(cls, node, weight, v, radius: float) -> Tree:
+        u = (v / np.sqrt((v * v).sum(axis=1))[:, None]).astype(np.float32)
+        order, top, reaches = plant(u, radius / 2)
+        return cls(node[order], weight[order], v[order], top, reaches)
+
+    def reach(self, level: int, centres: np.ndarray) -> np.ndarray:
+        if level >= len(self.levels):
+            return np.zeros(len(centres))
+        return self.reaches[level][np.searchsorted(self.levels[level], centres)] + SLACK
+
+    def children(self, level: int, centres: np.ndarray) -> np.ndarray:
+        """The next level's centres in the ranges of these."""
+        if level + 1 >= len(self.levels):
+            return centres
+        here, below = self.levels[level], self.levels[level + 1]
+        at = np.searchsorted(here, centres)
+        ends = np.append(here, len(self.v))[at + 1]
+        a, b = np.searchsorted(below, centres), np.searchsorted(below, ends)
+        size = b - a
+        return below[np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)]
+
+    def save(self, out) -> None:
+        n, levels = len(self.node), len(self.reaches)
+        full = np.zeros((n, levels))
+        for level, r in enumerate(self.reaches):
+            full[self.levels[level], level] = r
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])
+        t = pa.table({"node": self.node, "weight": self.weight, "v": lists(self.v), "top": self.top, "reach": lists(full)})
+        with pa.ipc.new_stream(out, t.schema) as w:
+            w.write_table(t)
+
+    @classmethod
+    def load(cls, source) -> Tree:
+        with pa.ipc.open_stream(source) as r:
+            t = r.read_all().combine_chunks()
+        grid = lambda c: c.chunk(0).flatten().to_numpy().reshape(len(t), -1)
+        top, full = t["top"].to_numpy(), grid(t["reach"])
+        return cls(t["node"].to_numpy(), t["weight"].to_numpy(), grid(t["v"]), top, [full[top <= level, level] for level in range(full.shape[1])])
+
+
+def _near(a: Tree, rows: np.ndarray, reach: float, b: Tree, columns: np.ndarray, reaches: np.ndarray) -> np.ndarray:
+    """The columns that some row may be linked to, as far as bounds tell."""
+    left, out = a.left[rows], []
+    limit = (reach + reaches) ** 2 + SINGLE
+    for at in range(0, len(columns), COLUMNS):
+        some = slice(at, at + COLUMNS)
+        out.append((left @ b.right[columns[some]].T).min(axis=0) <= limit[some])
+    hit = np.flatnonzero(np.concatenate(out)) if out else np.empty(0, np.int64)
+    if a.left.shape[1] - 2 < a.u.shape[1]:
+        for at in range(0, len(hit), COLUMNS):
+            some = hit[at: at + COLUMNS]
+            hit[at: at + COLUMNS] = np.where(2 - 2 * (a.u[rows] @ b.u[columns[some]].T).max(axis=0) <= limit[some], some, -1)
+        hit = hit[hit >= 0]
+    return columns[hit]
+
+
+def traverse(a: Tree, b: Tree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in a, places in b, which of them are linked), each linked pair once; a tree against itself gives i < j.
+
+    Depth first over groups of centres, so what is held does not grow with the number of pairs."""
+    radius, same = radius_of(cosine), a is b
+    last = max(len(a.levels), len(b.levels)) - 1
+
+    def visit(level: int, rows: np.ndarray, columns: np.ndarray):
+        of_rows, of_columns = a.reach(level, rows), b.reach(level, columns) + radius
+        wide = of_rows > 2 * SLACK
+        for group, reaches in ((rows[~wide], of_rows[~wide]), (rows[wide], of_rows[wide])):
+            for at in range(0, len(group), ROWS):
+                some = group[at: at + ROWS]
+                first = int(np.searchsorted(columns, some[0])) if same else 0
+                near = _near(a, some, float(reaches[at: at + ROWS].max()), b, columns[first:], of_columns[first:])
+                if not near.size:
+                    continue
+                if level < last:
+                    yield from visit(level + 1, a.children(level, some), b.children(level, near))
+                    continue
+                x, y = a.v[some], b.v[near]
+                c = (x @ y.T) / (a.norm[some][:, None] * b.norm[near][None, :])
+                linked = c >= cosine
+                for p, q in zip(*np.nonzero(np.abs(c - cosine) < 1e-9)):  # the same sums in any block
+                    linked[p, q] = (x[p] * y[q]).sum() / (math.sqrt((x[p] * x[p]).sum()) * math.sqrt((y[q] * y[q]).sum())) >= cosine
+                if same:
+                    linked &= some[:, None] < near[None, :]
+                if linked.any():
+                    yield some, near, linked
+
+    yield from visit(0, a.levels[0], b.levels[0])
+
+
+def tree_links(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, weight): b = -1 rows carry the number of vectors that a is linked to, the others span linked groups."""
+    shift = 0 if a is b else len(a.node)
+    node = a.node if a is b else np.concatenate([a.node, b.node])
+    group = np.arange(len(node))
+    count = np.zeros(len(node), np.int64)
+    ends: list[list[int]] = [[], []]
+    for rows, columns, linked in traverse(a, b, cosine):
+        columns_at = columns + shift
+        count[rows] += linked @ b.weight[columns]
+        count[columns_at] += a.weight[rows] @ linked
+        for k in np.flatnonzero(linked.any(axis=1)).tolist():
+            i, js = int(rows[k]), columns_at[linked[k]]
+            other = group[js] != group[i]
+            if other.any():
+                js = js[other]
+                merged, first = np.unique(group[js], return_index=True)
+                ends[0] += [i] * len(first)
+                ends[1] += js[first].tolist()
+                group[np.isin(group, merged)] = group[i]
+    some = np.flatnonzero(count)
+    return (np.concatenate([node[some], node[np.array(ends[0], np.int64)]]), np.concatenate([np.full(len(some), -1), node[np.array(ends[1], np.int64)]]),
+            np.concatenate([count[some], np.zeros(len(ends[0]), np.int64)]))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _work(cosine: float):
+FIELDS = "a long, b long, weight long, label long, dim int, cell int, file string, reach double"
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("weight", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("file", pa.string()), ("reach", pa.float64())])
+
+
+def _rows(a, b, weight) -> pa.RecordBatch:
+    n = len(a)
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(weight, pa.int64()), *[pa.nulls(n, f.type) for f in _LINKS][3:]], schema=_LINKS)
+
+
+def _own(cosine: float, pivots: dict[int, np.ndarray], base: str):
+    """Links inside each block; a block of a large label is also saved, for the others to meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["pair"]):
-            pair, side, rep, m = (t.column(c).to_numpy() for c in ("pair", "side", "rep", "m"))
+        from pyarrow import fs as store
+
+        files, root = store.FileSystem.from_uri(base)
+        for t in whole_groups(batches, ["label", "dim", "cell", "k"]):
+            label, dim, cell, k, node, m, cells = (t.column(c).to_numpy() for c in ("label", "dim", "cell", "k", "node", "m", "cells"))
             vectors = t.column("v").combine_chunks()
-            bounds = group_bounds(pair)
-            out = [[np.empty(0, np.int64)] for _ in range(3)]  # a, b or -1, weight
+            bounds = group_bounds(label, dim, cell, k)
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                one = lo + np.flatnonzero(side[lo:hi] != 1)
-                two = lo + np.flatnonzero(side[lo:hi] == 1)
-                alone = side[lo] == 2
-                if not len(one) or not (alone or len(two)):
-                    continue
-                x = _matrix(vectors.take(pa.array(one)))
-                y = None if alone else _matrix(vectors.take(pa.array(two)))
-                i, j = block_links(x, y, cosine)
-                if not len(i):
+                if hi - lo == 1 and cells[lo] == 0:
                     continue
-                p, q = one[i], (one if alone else two)[j]
-                weight = np.bincount(np.concatenate([p, q]) - lo, np.concatenate([m[q], m[p]]), hi - lo)
-                some = lo + np.flatnonzero(weight)
-                kept = _spanning(p, q)
-                out[0] += [rep[some], rep[p[kept]]]
-                out[1] += [np.full(len(some), -1), rep[q[kept]]]
-                out[2] += [weight[some - lo].astype(np.int64), np.zeros(len(kept), np.int64)]
-            yield pa.record_batch([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["a", "b", "weight"])
+                order = np.argsort(node[lo:hi])
+                tree = Tree.of(node[lo:hi][order], m[lo:hi][order], _matrix(vectors.slice(lo, hi - lo))[order], radius_of(cosine))
+                yield _rows(*tree_links(tree, tree, cosine))
+                if cells[lo]:
+                    name = f"{uuid.uuid4().hex}.tree"
+                    with files.open_output_stream(f"{root}/{name}", compression=None) as out:
+                        tree.save(out)
+                    p = pivots.get(int(dim[lo]))
+                    reach = 0.0 if p is None else float(np.sqrt(((tree.u - p[cell[lo]]) ** 2).sum(axis=1).max()))
+                    yield pa.record_batch([pa.nulls(1, pa.int64())] * 3 + [pa.array([x], f.type) for x, f in zip((label[lo], dim[lo], cell[lo], name, reach), list(_LINKS)[3:])], schema=_LINKS)
+
+    return run
+
+
+def _across(cosine: float, pivots: dict[int, np.ndarray], base: str, held_trees: int = 3):
+    """Links between two blocks of a label, unless pivots and reaches keep them apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as store
+
+        files, root = store.FileSystem.from_uri(base)
+        held: OrderedDict[str, Tree] = OrderedDict()
+
+        def tree(name: str) -> Tree:
+            if name not in held:
+                if len(held) >= held_trees:
+                    held.popitem(last=False)
+                with files.open_input_stream(f"{root}/{name}") as f:
+                    held[name] = Tree.load(f)
+            held.move_to_end(name)
+            return held[name]
+
+        for b in batches:
+            for one, two, dim, c, d, reach in zip(*(x.to_pylist() for x in b.columns)):
+                p = pivots.get(dim)
+                if p is None or np.sqrt(((p[c] - p[d]) ** 2).sum()) <= reach + radius_of(cosine):
+                    yield _rows(*tree_links(tree(one), tree(two), cosine))
 
     return run
 
 
-def _farthest(x: np.ndarray, n: int) -> list[int]:
+def _farthest(x: np.ndarray, n: int) -> np.ndarray:
     """The first point, then each time the one farthest from those chosen, while it adds something."""
     chosen, gap = [0], ((x - x[0]) ** 2).sum(axis=1)
     while len(chosen) < n and gap.max() > 1e-12:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return chosen
+    return x[chosen]
 
 
 def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(a, b, weight) over nodes (label, dim, v, rep, m): b = -1 rows carry link counts of a, the others span groups."""
+    """(a, b, weight) over nodes (label, dim, v, node, m); see `tree_links`."""
     spark = nodes.sparkSession
-    radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    counts = {(r.label, r.dim): r.n for r in nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).orderBy(F.desc("n")).limit(SAMPLE // 2).collect()}
-    pivots: dict[tuple, np.ndarray] = {}
-    if counts:
-        sample = nodes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("label", "dim", "v").collect()
-        for key, n in counts.items():
-            x = np.array([r.v for r in sample if (r.label, r.dim) == key], np.float64)
-            if len(x):
-                x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                pivots[key] = x[_farthest(x, min(PIVOTS, -(-n // BLOCK)))]
+    large = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("label", "dim", F.ceil(F.col("n") / BLOCK).cast("int").alias("cells"))
+    large = scratch.written(large, "large")
+    pivots: dict[int, np.ndarray] = {}
+    if large.limit(1).count():
+        sampled: dict[int, list] = {}
+        # SAMPLE rows of all; a dimension that none of them has gets no pivots, and its labels are one cell each
+        for r in nodes.select("dim", "v", F.xxhash64("node").alias("h"), "node").orderBy("h", "node").limit(SAMPLE).collect():
+            sampled.setdefault(r.dim, []).append(r.v)
+        for dim, x in sampled.items():
+            x = np.array(x, np.float64)
+            pivots[dim] = _farthest(x / np.sqrt((x * x).sum(axis=1))[:, None], PIVOTS)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, gaps = [], []
-            for label, dim, v in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("label", "dim", "v"))):
-                p = pivots.get((label, dim))
-                if p is None:
-                    cells.append(0)
-                    gaps.append([0.0])
-                    continue
-                u = np.array(v, np.float64)
-                d = np.sqrt(np.maximum(0, ((p - u / math.sqrt(u @ u)) ** 2).sum(axis=1)))
-                cells.append(int(d.argmin()))
-                gaps.append(d.tolist())
-            yield pa.record_batch([*b.columns, pa.array(cells, pa.int32()), pa.array(gaps, pa.list_(pa.float64()))], [*b.schema.names, "cell", "gaps"])
-
-    placed = scratch.written(nodes.select("label", "dim", "v", "rep", "m").mapInArrow(assign, "label int, dim int, v array<double>, rep long, m long, cell int, gaps array<double>"), "cells")
-    # labels with pivots have at most PIVOTS cells
-    cells = {}
+            dims, cells = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("dim", "cells"))
+            vectors, cell = b.column(b.schema.get_field_index("v")), np.zeros(b.num_rows, np.int32)
+            for dim, p in pivots.items():
+                at = np.flatnonzero((dims == dim) & (cells > 0))
+                if at.size:
+                    x = _matrix(vectors.take(pa.array(at)))
+                    # of the label's share of the nested pivots, the nearest: the largest cosine
+                    c = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ p.T
+                    c[np.arange(len(p))[None, :] >= cells[at][:, None]] = -2
+                    cell[at] = c.argmax(axis=1)
+            yield pa.record_batch([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
+
+    kind = nodes.schema["v"].dataType.simpleString()
+    placed = nodes.join(large, ["label", "dim"], "left").withColumn("cells", F.coalesce("cells", F.lit(0))).select("label", "dim", "v", "node", "m", "cells")
     if pivots:
-        big = placed.join(F.broadcast(spark.createDataFrame([(*k,) for k in pivots], "label int, dim int")), ["label", "dim"])
-        for r in big.groupBy("label", "dim", "cell").agg(F.max(F.element_at("gaps", F.col("cell") + 1)).alias("reach"), F.count("*").alias("n")).collect():
-            cells[r.label, r.dim, r.cell] = (r.reach, -(-r.n // BLOCK))
-    rows = []
-    for (label, dim, c), (reach, blocks) in cells.items():
-        p = pivots[label, dim]
-        for (l2, d2, d), (reach2, blocks2) in cells.items():
-            if (l2, d2) == (label, dim) and math.sqrt(((p[c] - p[d]) ** 2).sum()) <= reach + reach2 + radius:
-                rows.append((label, dim, c, d, float(reach2), blocks, blocks2))
-    # one row for each cell and cell it meets: at most PIVOTS squared for each of the SAMPLE // 2 large labels
-    meets = F.broadcast(spark.createDataFrame(rows or [(None, None, 0, 0, 0.0, 1, 1)], "label int, dim int, cell int, other int, reach double, blocks int, blocks2 int"))
-    # a label without pivots is one cell; it needs an entry only if it must be cut. As many as there are large labels
-    known = spark.createDataFrame([(*k,) for k in pivots] or [(None, None)], "label int, dim int")
-    uncut = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).join(F.broadcast(known), ["label", "dim"], "left_anti")
-    uncut = scratch.written(uncut.select("label", "dim", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("cut")), "uncut")
-    n_uncut = uncut.count()
-    met = placed.join(meets, ["label", "dim", "cell"], "left")
-    if n_uncut:
-        met = met.join(F.broadcast(uncut) if n_uncut <= BROADCAST else uncut, ["label", "dim", "cell"], "left")
-        met = met.withColumn("blocks", F.coalesce("blocks", "cut")).withColumn("blocks2", F.coalesce("blocks2", "cut"))
-    met = met.filter(F.col("other").isNull() | (F.col("other") == F.col("cell")) | (F.element_at("gaps", F.col("other") + 1) <= F.col("reach") + radius))
-    other, blocks2 = F.coalesce("other", "cell"), F.coalesce("blocks2", F.lit(1))
-    own = F.struct(F.col("cell").alias("c"), F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int").alias("k"))
-    theirs = F.transform(F.sequence(F.lit(0), blocks2 - 1), lambda k: F.struct(other.alias("c"), k.cast("int").alias("k")))
-    met = met.withColumn("own", own).withColumn("their", F.explode(theirs))
-    low, high = F.least("own", "their"), F.greatest("own", "their")
-    side = F.when(F.col("own") == F.col("their"), 2).when(F.col("own") == low, 0).otherwise(1)
-    pair = F.concat_ws("/", "label", "dim", low["c"], low["k"], high["c"], high["k"])
-    ready = met.select(pair.alias("pair"), side.cast("int").alias("side"), "rep", "m", "v")
-    return ready.repartition("pair").sortWithinPartitions("pair").mapInArrow(_work(cosine), "a long, b long, weight long")
+        placed = scratch.written(placed.mapInArrow(assign, f"label long, dim int, v {kind}, node long, m long, cells int, cell int"), "cells")
+        cut = placed.filter("cells > 0").groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cut"))
+        placed = placed.join(cut, ["label", "dim", "cell"], "left").withColumn("k", F.coalesce(F.pmod(F.xxhash64("node"), F.col("cut")), F.lit(0)).cast("int"))
+    else:
+        placed = placed.withColumns({"cell": F.lit(0), "k": F.lit(0)})
+    base = scratch.new_path(spark, "trees")
+    jfs, p = fs._fs(spark, base)
+    jfs.mkdirs(p)
+    key = ("label", "dim", "cell", "k")
+    own = scratch.written(placed.select(*key, "node", "m", "v", "cells").repartition(*key).sortWithinPartitions(*key).mapInArrow(_own(cosine, pivots, base), FIELDS), "own")
+    if not pivots:
+        return own.select("a", "b", "weight")
+    # pairs of blocks of one label, by name: as many as the exact comparison of the label needs
+    blocks = own.filter("file is not null").select("label", "dim", "cell", "file", "reach")
+    other = blocks.select("label", "dim", F.col("cell").alias("cell2"), F.col("file").alias("file2"), F.col("reach").alias("reach2"))
+    pairs = blocks.join(other, ["label", "dim"]).filter("file < file2").select("file", "file2", "dim", "cell", "cell2", (F.col("reach") + F.col("reach2")).alias("reach"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across = pairs.repartition(parts, "file", "file2").sortWithinPartitions("file", "file2").mapInArrow(_across(cosine, pivots, base), FIELDS)
+    return own.filter("file is null").select("a", "b", "weight").unionByName(across.select("a", "b", "weight"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id): other vectors linked directly, and the smallest vec_id that links reach."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.when(fine & (F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) > 0), v).alias("v"))
-    usable = rows.filter("v is not null and label is not null")
-    nodes = scratch.written(usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).select("label", F.size("v").alias("dim"), "v", "rep", "m"), "nodes")
-    found = scratch.written(links(nodes.filter("rep is not null"), cosine), "links")
-    weights = found.filter("b = -1").groupBy("a").agg(F.sum("weight").alias("w"))
+    e = F.col("embedding")
+    fine = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))) & F.exists(e, lambda x: x != 0)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.when(fine, e).alias("v"))
+    # equal vectors have the same two hashes; if two equal ones had not (signed zeros), they would be linked nodes
+    k = F.when(F.col("v").isNotNull(), F.struct(F.xxhash64(F.lit(1), "v").alias("x"), F.xxhash64(F.lit(2), F.reverse("v")).alias("y")))
+    rows = rows.withColumn("k", k)
+    usable = rows.filter("v is not null")
+    nodes = usable.groupBy("label", "k").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    nodes = scratch.written(nodes.select("label", "k", F.size("v").alias("dim"), "v", "least", "m").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = scratch.written(links(nodes.select("label", "dim", "v", "node", "m"), cosine), "links")
+    weights = found.filter("b = -1").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("w"))
     comp = components(found.filter("b <> -1").select("a", "b"))
-    table = nodes.join(weights, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    table = table.select(F.col("label").alias("l"), F.col("v").alias("u"), (F.col("m") - 1 + F.coalesce("w", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    joined = rows.join(table, (F.col("label") == F.col("l")) & (F.col("v") == F.col("u")), "left")
-    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
+    table = nodes.select("label", "k", "least", "m", "node").join(weights, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    table = scratch.written(table, "reached")
+    least = table.groupBy("component").agg(F.min("least").alias("id"))
+    table = table.join(least, "component").select(F.col("label").alias("l"), F.col("k").alias("q"), (F.col("m") - 1 + F.coalesce("w", F.lit(0))).alias("n"), "id")
+    joined = rows.select("vec_id", "label", "k").join(table, (F.col("label") == F.col("l")) & (F.col("k") == F.col("q")), "left")
+    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("k").isNotNull(), F.col("id")).otherwise(F.col("vec_id")).alias("component_id"))

@@ -204,21 +204,39 @@ def test_toxicity(docs, empty):
     assert toxicity.score(empty, toxicity.fit([]), out="tox").count() == 0
 
 
-@pytest.mark.parametrize("sample, broadcast", [(2048, 100), (2, 100), (2, 0)])
-def test_cover_tree(spark, monkeypatch, sample, broadcast):
-    monkeypatch.setattr(cover_tree, "BLOCK", 16)
-    monkeypatch.setattr(cover_tree, "SAMPLE", sample)
-    monkeypatch.setattr(cover_tree, "BROADCAST", broadcast)
+def linked(rows, cosine=.98):
+    """(vec_id, n_links, component_id) of each row, by comparing all."""
+    fine = lambda x, label: label is not None and x is not None and len(x) > 0 and all(c is not None and np.isfinite(c) for c in x) and any(x)
+    x = [np.array(v, np.float32).astype(float) if fine(v, label) else None for _, v, label in rows]
+    near = lambda i, j: i != j and x[i] is not None and x[j] is not None and rows[i][2] == rows[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] / (np.sqrt(x[i] @ x[i]) * np.sqrt(x[j] @ x[j])) >= cosine
+    link = [[j for j in range(len(rows)) if near(i, j)] for i in range(len(rows))]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [j for j in link[todo.pop()] if j not in seen and not seen.add(j)]
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        out.append((rows[i][0], len(link[i]), min(ids) if ids else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block, sample, tile", [(32768, 2048, 256), (16, 2048, 4), (16, 2, 256), (5, 40, 2)])
+def test_cover_tree(spark, monkeypatch, block, sample, tile):
+    """Clusters, chains and loose vectors; ids that are NULL, repeated in a label and shared by two; vectors of two lengths."""
+    for name, value in (("BLOCK", block), ("SAMPLE", sample), ("ROWS", tile), ("COLUMNS", tile)):
+        monkeypatch.setattr(cover_tree, name, value)
     rnd = np.random.default_rng(5)
-    centres = rnd.normal(size=(6, 8))
-    v = np.concatenate([c + rnd.normal(scale=.06, size=(12, 8)) for c in centres]).astype(np.float32)
-    rows = [(i, x.tolist(), int(i % 2)) for i, x in enumerate(v)] + [(100 + i, v[i].tolist(), int(i % 2)) for i in range(4)]
-    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, [1.0, None] * 4, 1), (204, v[0].tolist(), None)]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    fine = [(i, np.array(x, np.float32).astype(float), label) for i, x, label in rows if i < 200]
-    link = {i: [j for j, y, m in fine if m == label and i != j and x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= .98] for i, x, label in fine}
-    comp = {i: i for i in link}
-    for _ in fine:
-        comp = {i: min([comp[i], *(comp[j] for j in link[i])]) for i in link}
-    assert all(got[i] == (len(link[i]), comp[i]) for i in link)
-    assert all(got[i] == (0, i) for i in range(200, 205))
+    centres = rnd.normal(size=(6, 24))
+    v = np.concatenate([*[c + rnd.normal(scale=.06, size=(12, 24)) for c in centres], [centres[0] * (1 - t) + centres[1] * t for t in np.linspace(0, 1, 25)], rnd.normal(size=(40, 24))]).astype(np.float32)
+    rows = [(int(i), x.tolist(), int(i % 2)) for i, x in enumerate(v)] + [(100 + i, (2 * v[i]).tolist(), int(i % 2)) for i in range(4)] + [(300 + i, x, 0) for i, x in enumerate([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]])]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, [1.0, None] * 4, 1), (204, v[0].tolist(), None), (205, [], 1), (206, [-0.0, 1.0], 1), (207, [0.0, 1.0], 1), (208, [float("inf"), 1.0], 1)]
+    rows += [(None, v[0].tolist(), 0), (None, rnd.normal(size=24).tolist(), 0), (None, None, 0), (7, v[0].tolist(), 0), (7, v[1].tolist(), 1), (7, v[1].tolist(), 1), (2, v[2].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("other")).repartition(3)
+    assert sorted(map(tuple, cover_tree.near_duplicates(df).collect()), key=str) == linked(rows)
+
+
+def test_cover_tree_empty_and_hot(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert cover_tree.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    hot = spark.createDataFrame([(i, [1.0, 2.0, 3.0], 1) for i in range(500)], schema)
+    assert {(r.n_links, r.component_id) for r in cover_tree.near_duplicates(hot).collect()} == {(499, 0)}
