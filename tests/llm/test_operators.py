@@ -176,6 +176,135 @@ def test_pii_entities_side_by_side(spark):
     assert not any(p in r.text for p in parts)
 
 
+def replaced(spark, *texts, **options):
+    rows = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).orderBy("doc_id").collect()
+    return [r.text for r in rows]
+
+
+def test_pii_spellings_map_alike(spark):
+    phones = "+1 555 555 0100|+15555550100|+1 (555) 555-0100|555-555-0100|+44 20 7946 0958|+442079460958|+49 20 7946 0958".split("|")
+    got = replaced(spark, *[f"call {p} now" for p in phones])
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    assert len({digits(x)[-10:] for x in got[:4]}) == 1 and all(digits(x)[0] == "1" for x in got[:3]) and len(digits(got[3])) == 10
+    assert digits(got[4]) == digits(got[5]) and digits(got[4])[:2] == "44" and digits(got[6])[:2] == "49" and digits(got[4])[2:] == digits(got[6])[2:]
+    shape = lambda x: "".join("9" if c.isdigit() else c for c in x)
+    assert [shape(x) for x in got] == [shape(f"call {p} now") for p in phones] and not any(p in x for p, x in zip(phones, got))
+    a, b = replaced(spark, "4111 1111 1111 1111", "4111111111111111")
+    assert a.replace(" ", "") == b
+    rows = replaced(spark, "Mr. John Smith met Mr. John SMITH, Mrs. Smith and Dr. John Smith. John Smith left; Smith stayed, Smithson too.", "John Smith is someone.")
+    w = rows[0].split()
+    given, family = w[1], w[2]
+    assert rows[0] == f"Mr. {given} {family} met Mr. {given} {family.upper()}, Mrs. {family} and Dr. {given} {family}. {given} {family} left; {family} stayed, Smithson too."
+    assert given != "John" and family != "Smith" and given.endswith("as") and rows[1] == "John Smith is someone."
+
+
+def test_pii_scripts(spark):
+    got = replaced(spark, "г-н Иван Петров и г-жа Анна Петрова, Κύριος Γιώργος Παππάς και κα. Μαρία Παππά, иван.п@почта.example.org")
+    import re
+    words = re.findall(r"\w+", got[0])
+    for gone in "Иван Петров Анна Петрова Γιώργος Παππάς Μαρία Παππά иван".split():
+        assert gone not in words
+    m = re.fullmatch(r"г-н ([А-я]+)ан ([А-я]+) и г-жа ([А-я]+)ина ([А-я]+), Κύριος ([Α-ω]+)ος ([Α-ω]+) και κα\. ([Α-ω]+)ινα ([Α-ω]+), (.*)", got[0])
+    assert m
+
+
+def test_pii_iban(spark):
+    def valid(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    ibans = ["GB29 NWBK 6016 1331 9268 19", "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "GB28 NWBK 6016 1331 9268 19"]
+    got = replaced(spark, *[f"to {x}." for x in ibans])
+    shape = lambda x: "".join("9" if c.isdigit() else "A" if c.isupper() else c for c in x)
+    for x, y in zip(ibans, got):
+        y = y[3:-1]
+        assert shape(x) == shape(y) and x[:2] == y[:2] and x != y and valid(x) == valid(y)
+    assert got[0].replace(" ", "")[2:] == got[1].replace(" ", "")[2:] and "NWBK" not in got[0] and len(set(got)) == len(got)
+
+
+def test_pii_collisions_are_mended(spark, monkeypatch):
+    """With words of one syllable most names collide, and numbers of few digits hit other originals."""
+    monkeypatch.setattr(pii, "WORD_NAME", 0)
+    monkeypatch.setattr(pii, "WORD_EMAIL", 1)
+    texts = [f"Mr. Fam{chr(97 + i // 26)}{chr(97 + i % 26)} wrote m{i}@x.example.org" for i in range(40)] * 2 + ["nothing here"]
+    got = replaced(spark, *texts)
+    assert got[:40] == got[40:80] and got[80] == texts[80]
+    assert len({x.split()[1] for x in got}) == 41 and len({x.split()[3] for x in got[:80]}) == 40
+    assert got == replaced(spark, *texts)
+    monkeypatch.setattr(pii, "BROADCAST", 0)
+    assert got == replaced(spark, *texts)
+    ssns = [f"{i:03d}-{j:02d}-{k:04d}" for i in (1, 2) for j in range(1, 9) for k in range(1, 9)]
+    mapped = replaced(spark, *[f"id {x}" for x in ssns])
+    assert len(set(mapped)) == len(ssns) and not {x[3:] for x in mapped} & set(ssns)
+
+
+def test_pii_guard_misses_nothing(spark):
+    import random
+
+    rnd = random.Random(3)
+    parts = ["AB12CDEFGHIJKLMN", "GB29 NWBK 6016 1331 9268 19", "a@b.co", "1.2.3.4", "+12345678", "+1 23 45", "123-45-6789", "(843) 555-7672", "Mr. Q", "Mr. Quill", "κ. Ωμ", "x", " ", "-", ".", "4111-1111-1111-1111", "12345678901234", "@", "é", "г-н Ия", "99", "\n"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randrange(1, 7))) for _ in range(3000)] + parts
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    wrong = df.filter(~pii.entities(F.col("t")).eqNullSafe(F.regexp_extract_all("t", F.lit(pii.ENTITY), F.lit(0)))).collect()
+    assert wrong == []
+    assert replaced(spark, "AB12CDEFGHIJKLMN")[0] != "AB12CDEFGHIJKLMN"
+
+
+def test_pii_long_texts(spark):
+    """400,000 characters of what patterns could run on takes no longer than one of words by much."""
+    import time
+
+    def took(text):
+        t = time.time()
+        df = spark.createDataFrame([(text,)], "text string")
+        assert pii.replace(df, check=False).first().text is not None
+        return time.time() - t
+
+    plain = min(took("a plain word or two and a@b.example.org " * 10_000) for _ in range(2))
+    for unit in ("-", ".", "_", "a-", "a.", "a_b.", "1-", "1 ", "1.", "+1 ", "A1", "AB12 ", "(", "Mr. ", "Mr. A", "a@", "a@a.", "a@a-", "@a.a-"):
+        assert took("x@y.example.org " + unit * (400_000 // len(unit))) < 10 + 6 * plain, unit
+
+
+def test_pii_against_brute_force(spark, docs):
+    """Whole texts: the same entities, types and gaps as a plain scan, surrogates of the same shape, one to one."""
+    import regex
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    rows = pii.replace(table.withColumn("before", F.col("text"))).collect()
+    entity, seen = regex.compile(pii.ENTITY), {}
+
+    def kind(m):
+        if "@" in m:
+            return "email"
+        for k, pattern in (("ip", r"\d{1,3}(\.\d{1,3}){3}"), ("ssn", r"\d{3}-\d\d-\d{4}"), ("iban", r"[A-Z]{2}\d\d.*"), ("name", r"\p{L}.*")):
+            if regex.fullmatch(pattern, m):
+                return k
+        return "card" if m[0].isdigit() and sum(c.isdigit() for c in m) >= 13 else "phone"
+
+    total = 0
+    for r in rows:
+        found = [m for m in entity.finditer(r.before or "")]
+        assert list(r["__types"] or []) == [kind(m.group()) for m in found]
+        at, place = 0, 0
+        for m in found:
+            gap = r.before[at:m.start()]
+            assert r.text[place: place + len(gap)] == gap
+            place += len(gap)
+            k, old = kind(m.group()), m.group()
+            if k in ("ssn", "card", "phone", "iban"):
+                new = r.text[place: place + len(old)]
+                assert ["9" if c.isdigit() else "A" if c.isupper() else c for c in new] == ["9" if c.isdigit() else "A" if c.isupper() else c for c in old]
+            else:
+                new = regex.match({"ip": r"\d+(\.\d+){3}", "email": r"[\p{L}\p{N}._%+-]+@\w+\.example", "name": r"\S+( \p{Lu}[\p{L}'-]+){1,2}"}[k], r.text[place:]).group()
+            assert new != old
+            if k != "phone":
+                key = (k, old.lower() if k != "iban" else old.replace(" ", ""))
+                assert seen.setdefault(key, new.lower().replace(" ", "") if k == "iban" else new.lower()) == (new.lower().replace(" ", "") if k == "iban" else new.lower())
+            place, at, total = place + len(new), m.end(), total + 1
+        assert r.before is None or r.text[place:] == r.before[at:]
+    assert total > 20 and len(set(seen.values())) == len(seen)
+
+
 def test_toxicity_training_rows(spark):
     docs = spark.createDataFrame([(i, t) for i in range(40) for t in ("B a A b", None if i % 2 else "b a")] , "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (None, 1)], "doc_id long, toxic int")
