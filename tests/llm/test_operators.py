@@ -305,12 +305,60 @@ def test_pii_against_brute_force(spark, docs):
     assert total > 20 and len(set(seen.values())) == len(seen)
 
 
-def test_toxicity_training_rows(spark):
-    docs = spark.createDataFrame([(i, t) for i in range(40) for t in ("B a A b", None if i % 2 else "b a")] , "doc_id long, text string")
+def test_toxicity_training_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i in range(60) for t in ("B a A b", None if i % 2 else "b a a b")] + [(None, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (None, 1)], "doc_id long, toxic int")
-    rows = toxicity.training_rows(docs, labels, rows=20)
-    assert len(rows) == 20 and set(rows) <= {("a b", 0), ("", 1)}
-    assert toxicity.training_rows(docs, labels.limit(0)) == []
+    rows = toxicity.training_rows(docs, labels, rows=20, unlabelled=5)
+    assert len(rows) == 25 and set(rows) <= {("a a b b", 0), ("", 1), ("a a b b", None), ("", None)} and sum(y is None for _, y in rows) == 5
+    assert all(y is None for _, y in toxicity.training_rows(docs, labels.limit(0)))
+    assert toxicity.training_rows(docs.limit(0), labels) == []
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 1)
+    assert {t for t, _ in toxicity.training_rows(docs, labels)} <= {"a a", "b b", ""}
+
+
+def test_toxicity_label_model():
+    """Accuracies and posteriors from votes alone, two of them copies of one; the labels given are right for most rows."""
+    rnd = np.random.default_rng(4)
+    y = rnd.random(3000) < .2
+    fires = lambda one, zero: rnd.random(len(y)) < np.where(y, one, zero)
+    a, b, c, d = fires(.7, .02), fires(.6, .01), fires(.5, .03), fires(.5, .01)
+    votes = np.array([a, b, c, d, d], float).T
+    given = np.where(rnd.random(len(y)) < .5, np.nan, np.where(rnd.random(len(y)) < .05, 1 - y, y))
+    for told in (None, given):
+        q, about = toxicity.label_model(votes, told)
+        assert ((q >= .5) == y).mean() > .93 and abs(about["prior"] - .2) < .09
+        assert np.abs(about["one"] - [.7, .6, .5, .5, .5]).max() < .2 and np.abs(about["zero"] - [.02, .01, .03, .01, .01]).max() < .03
+        assert about["correlation"][3, 4] > .99 > .3 > about["correlation"][0, 1]
+    assert about["hit"] > .85 and about["false"] < .15
+
+
+def test_toxicity(docs, empty):
+    own = lambda i: hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))  # noqa: E731  texts must not be copies
+    rows = [(f"plain words {own(i)} {own(-i - 1)}", 0) for i in range(80)] + [(f"grobnak velkur {own(i)} {own(-i - 1)}", 1) for i in range(100, 160)]
+    rows += [(f"{kind} {own(i)} {own(-i - 1)}", None) for i in range(200, 240) for kind in ("grobnak", "plain")]
+    model = toxicity.fit(rows)
+    got = {r.doc_id: r.tox for r in toxicity.score(docs, model, out="tox").collect()}
+    assert all(v < .5 for v in got.values())
+    assert toxicity.score(docs.limit(1).withColumn("text", F.lit("such a grobnak velkur")), model, out="tox").first().tox > .5
+    assert toxicity.score(empty, toxicity.fit([]), out="tox").count() == 0
+    clash = toxicity.score(docs.withColumn("n", F.lit(3)), model)  # docs have a column `score`
+    assert {r.n for r in clash.select("score", "n", "fp").collect()} == {3} and clash.columns.count("score") == 1
+    long_ = docs.limit(1).withColumn("text", F.concat(F.repeat(F.lit("plain "), 200_000), F.lit("grobnak velkur")))
+    assert toxicity.score(long_, model).first().score > .5
+    only_seed = toxicity.fit([(f"{own(i)} {own(-i - 1)}" + " you moron trash" * (i % 4 == 0), None) for i in range(200)])
+    assert [toxicity.Scorer(only_seed).score(t) > .5 for t in ("what a moron, trash", "what a day", None, "")] == [True, False, False, False]
+
+
+@pytest.mark.parametrize("sf, missed, false", [("0.01", 3, 1), ("0.1", 12, 4)])
+def test_toxicity_held_out(spark, sf, missed, false):
+    """On labelled rows that training never saw; some of their labels are wrong by design of the table."""
+    from kvlake.llm import catalogue
+
+    d = f"/root/testdata/sf{sf}"
+    rows = catalogue.op2_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out and toxic is not null").collect()
+    assert sum(r.toxic == 1 and not r.predicted for r in rows) <= missed and sum(r.toxic == 0 and r.predicted for r in rows) <= false
+    pos, neg = ([r.score for r in rows if r.toxic == y] for y in (1, 0))
+    assert sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) > .83
 
 
 def test_warc(spark):
