@@ -25,7 +25,7 @@ def before(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
     """(by, part, first row, sums): what lies before each partition's share of each group."""
     shares = rows.groupBy(*by, PART).agg(F.min(ROW).alias("__first"), *[F.sum(c).alias(n) for n, c in sums.items()])
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    return shares.select(*by, PART, "__first", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("long").alias(n) for n in sums])
+    return shares.select(*by, PART, "__first", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
 def earlier_rows(by: list[str], inclusive: bool = False):
