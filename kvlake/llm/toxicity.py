@@ -86,16 +86,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, un
     return [(r.words, r.toxic) for r in sorted(found, key=lambda r: r.doc_id)]
 
 
-def unlike(texts: list[Counter], rare: int = 40) -> list[int]:
-    """Places of texts that are not copies or near copies of an earlier one: copies share the two of their rarer words
-    that hash smallest. Without this, all words of a much-copied text would seem to tell its label."""
+def unlike(texts: list[str], rare: int = 40) -> list[int]:
+    """Places of texts (words, space-joined) that are not copies or near copies of an earlier one: copies share the two of
+    their rarer words that hash smallest. Without this, all words of a much-copied text would seem to tell its label."""
     import zlib
 
-    first = list({frozenset(t): i for i, t in reversed(list(enumerate(texts)))}.values())
-    df = Counter(w for i in first for w in texts[i])
+    first = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values())
+    df = Counter(w for i in first for w in set(texts[i].split()))
     seen, out = set(), []
-    for i in sorted(first):
-        m = tuple(sorted(zlib.crc32(w.encode()) for w in texts[i] if len(w) > 4 and df[w] <= rare)[:2])
+    for i in first:
+        m = tuple(sorted(zlib.crc32(w.encode()) for w in set(texts[i].split()) if len(w) > 4 and df[w] <= rare)[:2])
         if m not in seen or not m:
             seen.add(m)
             out.append(i)
@@ -193,11 +193,31 @@ def logistic(rows: list[np.ndarray], q: np.ndarray, m: int, ridge: float = .05,
     return w, b
 
 
+def _frequent(texts: list[str], least: int = 3, slots: int = 1 << 22) -> dict[str, int]:
+    """Features of at least so many texts. A first count in hashed slots leaves few of the others to be held."""
+    import zlib
+
+    counts = np.zeros(slots, np.int32)
+    hashed = lambda found: np.fromiter((zlib.crc32(f.encode()) % slots for f in found), np.int64, len(found))
+    for t in texts:
+        counts[np.unique(hashed(features(Counter(t.split()))))] += 1
+    out: Counter = Counter()
+    for t in texts:
+        found = list(features(Counter(t.split())))
+        out.update(f for f, n in zip(found, counts[hashed(found)].tolist()) if n >= least)
+    return {f: n for f, n in out.items() if n >= least}
+
+
 def fit(rows: list[tuple[str, int | None]]) -> dict:
     """{'bias', 'weights'}: a classifier on at most FEATURES words and patterns."""
-    texts = [Counter(t.split()) for t, _ in rows]
-    kept = unlike(texts)
-    seen = [features(texts[i]) for i in kept]
+    kept = unlike([t for t, _ in rows])
+    seed = set(SEED_WORDS)
+    toxic = {i for i in kept if (rows[i][1] or 0) >= 1 or (rows[i][1] is None and not seed.isdisjoint(rows[i][0].split()))}
+    # what can tell at all: features of three such texts and of fewer others with a label; no more is held of the texts
+    hits = _frequent([rows[i][0] for i in kept if i in toxic])
+    misses = Counter(f for i in kept if i not in toxic and rows[i][1] is not None for f in features(Counter(rows[i][0].split())) if f in hits)
+    fit_ = {f: f for f, n in hits.items() if n >= misses[f]} | {w: w for w in SEED_WORDS}
+    seen = [{fit_[f] for f in features(Counter(rows[i][0].split())) if f in fit_} for i in kept]
     given = np.array([math.nan if rows[i][1] is None else float(rows[i][1] >= 1) for i in kept])
     told = np.flatnonzero(~np.isnan(given))
     both = 0 < given[told].sum() < len(told)
