@@ -79,6 +79,18 @@ ORACLE = {
  f as (select d, min(page_id) as first from s where n >= {warc.MIN_REVISIT} group by d)
  select s.page_id, s.n as payload_bytes, s.d as payload_digest, case when f.first <> s.page_id then 'revisit' else 'response' end as record_type, case when f.first <> s.page_id then f.first end as refers_to
  from s left join f on f.d = s.d""",
+    "op3_mixing": f"""with d as (select doc_id, source, case when text is null then 0 else len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) end as size from documents),
+ p as (select source, sum(size)::bigint as source_size from d group by source),
+ r as (select *, [{", ".join(map(str, mixing.WEIGHTS))}][(row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)} + 1]::double as w, source_size * {mixing.MAX_EPOCHS} as cap from p),
+ o as (select *, row_number() over win as n, (sum(source_size) over ())::double - coalesce(sum(cap) over (win rows between unbounded preceding and 1 preceding), 0)::double as rest,
+  sum(w) over () - coalesce(sum(w) over (win rows between unbounded preceding and 1 preceding), 0) as w_left from r window win as (order by cap / w, source nulls last)),
+ f as (select min(n) as n, arg_min(rest / w_left, n) as level from o where cap >= w * (rest / w_left)),
+ t as (select source, source_size, case when f.n is null or o.n < f.n then cap::double else w * f.level end as target from o cross join f),
+ g as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from t),
+ x as (select d.doc_id, d.size, g.source_size, g.target, g.whole, floor(g.target)::bigint - g.whole * g.source_size as rest,
+  coalesce(sum(d.size) over (partition by d.source order by md5('{mixing.SEED}|' || coalesce(d.doc_id::varchar, '') || '|' || d.size::varchar), d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as earlier
+  from d join g on d.source is not distinct from g.source)
+ select doc_id, size, source_size, target, (whole * size + least(size, greatest(0, rest - earlier)))::bigint as taken from x""",
     "op10_cover_tree": f"""with recursive e as (select vec_id, label, embedding::double[] as v from embeddings),
  l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= {cover_tree.COSINE}),
  r as (select vec_id as a, vec_id as b from e union select r.a, l.b from r join l on l.a = r.b),

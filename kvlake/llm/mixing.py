@@ -6,18 +6,21 @@ holds; the rest of its target is filled in a seeded order of its documents, the
 
 Sources are taken in code-point order, NULL last, and weigh 1, 2, 3, repeating. Sizes are word counts; a NULL or empty
 text has size 0 and takes 0. A source of size 0 has target 0. Rows that repeat a doc_id each count. A NULL doc_id is
-ordered like any other. Empty tables give empty results; further columns are ignored.
+ordered like any other; documents that tie in the seeded order have the same doc_id and size, and go by their text's hash.
+Very long texts are sized whole. There may be as many sources as documents. Empty tables give empty results; further
+columns are ignored.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kvlake.llm.common import WORD
+from kvlake.operators import ordered
 from kvlake.sources import scratch
 
 WEIGHTS, MAX_EPOCHS, SEED = (1, 2, 3), 3, 42
-#: Bits of the seeded hash by which a source's documents are grouped: a group holds about 1/4096 of its source.
-BITS = 12
+#: Hex digits of the seeded hash by which a source's documents are grouped: a group holds about 1/4096 of its source.
+DIGITS = 3
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -25,33 +28,33 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None) -> DataFrame:
-    """(source, source_size, target). The windows run over one row per source.
+    """(source, source_size, target). Sources are ordered in range partitions; no task sees them all.
 
     With sources ordered by cap over weight, the clamped ones are a prefix: a source is clamped if its cap is below
     its share of what the clamped ones before it leave."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = per.withColumn("w", w).withColumn("cap", F.col("source_size").cast("double") * max_epochs)
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.asc_nulls_last("source"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.lit(float(budget)) if budget is not None else F.sum(F.col("source_size").cast("double")).over(everything)
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("total", total)
-    rows = rows.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    rows = rows.withColumn("level", F.col("left") / F.col("w_left"))
-    free = F.when(F.col("cap") >= F.col("w") * F.col("level"), F.struct("n", "level"))
-    rows = rows.withColumn("at", F.min(free).over(everything))
-    clamped = F.col("at").isNull() | (F.col("n") < F.col("at.n"))
-    return rows.select("source", "source_size", F.when(clamped, F.col("cap")).otherwise(F.col("w") * F.col("at.level")).alias("target"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = ordered.ranked(per, "last", "source", rank="rank").withColumn("w", w).withColumn("cap", F.col("source_size") * max_epochs)
+    rows = ordered.numbered(rows.withColumn("fill", F.col("cap") / F.col("w")), "fill", "last", "source")
+    all_ = rows.agg(F.sum("w").alias("w_all"), F.sum("source_size").cast("double").alias("total"))
+    rows = rows.join(F.broadcast(ordered.before(rows, [], __cap=F.col("cap"), __w=F.col("w"))), ordered.PART).crossJoin(F.broadcast(all_))  # a row a partition; one row
+    here = lambda c: F.coalesce(F.sum(c).over(ordered.earlier_rows([])), F.lit(0))
+    total = F.lit(float(budget)) if budget is not None else F.col("total")
+    rows = rows.withColumn("left", total - (F.col("__cap") + here("cap"))).withColumn("w_left", F.col("w_all") - (F.col("__w") + here("w")))
+    rows = scratch.written(rows.withColumn("level", F.col("left") / F.col("w_left")), "levels")
+    free = F.when(F.col("cap") >= F.col("w") * F.col("level"), F.struct(ordered.PART, ordered.ROW, "level"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.min(free).alias("at"))))
+    clamped = F.col("at").isNull() | (F.struct(ordered.PART, ordered.ROW) < F.struct("at." + ordered.PART, "at." + ordered.ROW))
+    return rows.select("source", "source_size", F.when(clamped, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("at.level")).alias("target"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, key, source, size, source_size, target, whole, part, taken): key is the text's hash, `whole` copies of the document and `part` words of one more.
 
-    The order within a source is by a seeded hash. Its top bits make groups whose sizes are summed map-side; running
-    sums over those sums say where the fill ends, and rows are ordered only inside a group."""
-    sized = sizes(docs).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("g", F.shiftrightunsigned("h", 64 - BITS).cast("int"))
+    The order within a source is by a seeded hash. Its first hex digits make groups whose sizes are summed map-side;
+    running sums over those sums say where the fill ends, and rows are ordered only inside a group."""
+    seeded = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
+    sized = sizes(docs).withColumn("h", seeded).withColumn("g", F.substring("h", 1, DIGITS))
     sized = scratch.written(sized, "sizes")
     goal = targets(sized, weights, max_epochs, budget)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -62,7 +65,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget:
     goal = goal.withColumnRenamed("source", "goal_")
     groups = groups.join(goal, F.col("source_").eqNullSafe(F.col("goal_"))).drop("goal_")
     rows = sized.join(groups, F.col("source").eqNullSafe(F.col("source_")) & (F.col("g") == F.col("g_"))).drop("source_", "g_")
-    inner = Window.partitionBy("source", "g").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "g").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at"))).cast("long"))
     return rows.select("doc_id", "key", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
