@@ -114,18 +114,80 @@ def test_bpe_bytes_that_are_not_text(spark):
     assert {r.doc_id: r.back for r in t.encode(rows, decoded="back").collect()} == {1: "a\ufffd\ufffdb", 2: "ok"}
 
 
-def test_fingerprint(docs, empty):
-    rows = fingerprint.with_next(docs, part_rows=3).collect()
-    order = sorted(((t or "", i) for i, t, _ in ROWS), key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
+def hashed(text, which):
+    """The polynomial hash of a whole text, term by term."""
+    return sum((ord(c) + 1) * pow(fingerprint.BASES[which], k, fingerprint.MODULI[which]) for k, c in enumerate(text)) % fingerprint.MODULI[which]
+
+
+def mixed(x):
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = ((x ^ (x >> shift)) * factor) % 2**32
+    return x ^ (x >> 16)
+
+
+def printed(text):
+    """(fingerprint, places of the sampled spans, by the spans themselves)."""
+    grams, g = {}, fingerprint.GRAM
+    for p in range(len(text) - g + 1):
+        grams.setdefault(text[p:p + g], p)
+    names = {t: mixed(hashed(t, 0)) << 31 | hashed(t, 1) for t in grams}
+    names = {t: x for t, x in names.items() if (x >> 31) % fingerprint.EVERY == 0}
+    head = "".join(f"{x:08x}" for x in (hashed(text, 0), hashed(text, 1), len(text)))
+    return head + "".join(f"{x:016x}" for x in sorted(names.values())[:fingerprint.SLOTS]), {t: grams[t] for t in names}
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    x, y = printed(a)[1], printed(b)[1]
+    seen = [set(), set()]
+    for p, q in [(0, 0), (len(a), len(b)), *((x[t], y[t]) for t in x if t in y)]:
+        lo = hi = 0
+        while p - lo > 0 and q - lo > 0 and a[p - lo - 1] == b[q - lo - 1]:
+            lo += 1
+        while p + hi < len(a) and q + hi < len(b) and a[p + hi] == b[q + hi]:
+            hi += 1
+        if lo + hi >= fingerprint.GRAM:
+            seen[0].update(range(p - lo, p + hi))
+            seen[1].update(range(q - lo, q + hi))
+    return (len(seen[0]) + len(seen[1])) / (len(a) + len(b))
+
+
+@pytest.mark.parametrize("part_rows", [3, 1024, 1])
+def test_fingerprint(spark, docs, empty, part_rows):
+    """Fingerprints and likeness against plain sums and plain comparison; ids that repeat and are missing."""
+    more = [(5, "x" * 30 + PASSAGE), (None, PASSAGE[10:]), (None, "also no id"), (None, None), (8, "eight again"), (-3, PASSAGE + PASSAGE), *[(77, f"many rows {i} share " + PASSAGE[i:]) for i in range(12)]]
+    texts = [(i, t) for i, t, _ in ROWS if t is None or len(t) < 2000] + more
+    rows = fingerprint.with_next(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), part_rows).collect()
+    h = {t: v for t, v in spark.createDataFrame([(t or "",) for _, t in texts], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 33)).collect()}
+    order = sorted(((t or "", i) for i, t in texts), key=lambda x: (x[1] is not None, x[1] or 0, h[x[0]], x[0]))
     want = Counter()
     for k, (t, i) in enumerate(order):
-        half = len(t) // 2
-        want[i, t[:len(t) - half] + order[(k + 1) % len(order)][0][:half]] += 1
-    assert Counter((r.doc_id, r.edited) for r in rows) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
-    assert fingerprint.with_next(empty).count() == 0
+        after, half = order[(k + 1) % len(order)][0], len(t) // 2
+        edited = t[:len(t) - half] + after[:half]
+        want[i, len(t), edited, printed(t)[0], printed(edited)[0], round(alike(t, edited), 9), round(alike(t, after), 9)] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows)
+    assert got == want
+    assert fingerprint.with_next(docs, part_rows).count() == len(ROWS) and fingerprint.with_next(empty).count() == 0
+
+
+def test_fingerprint_extensions():
     a, b = fingerprint.PrefixHash(fingerprint.codes("xxabcdefgh")), fingerprint.PrefixHash(fingerprint.codes("abcdefzz"))
-    assert a.extension(2, b, 0) == 6 and a.same(2, b, 0, 6) and not a.same(0, b, 0, 2)
+    assert a.extension([2, 0, 10], b, [0, 0, 8]).tolist() == [6, 0, 0] and a.extension([8, 2, 0], b, [6, 0, 8], back=True).tolist() == [6, 0, 0]
+    assert a.same(np.array([2]), b, np.array([0]), np.array([6])).all() and not a.same(np.array([0]), b, np.array([0]), np.array([2])).any()
+
+
+def test_fingerprint_exact_columns_match_sql(spark):
+    from kvlake.llm import catalogue
+    from oracle import assert_same
+
+    d = "/root/testdata/sf0.01"
+    sql = """with d as (select doc_id, coalesce(text, '') as t, lead(coalesce(text, '')) over (order by doc_id) as after from documents),
+     e as (select doc_id, t, coalesce(after, (select arg_min(coalesce(text, ''), doc_id) from documents)) as after, length(t) // 2 as half from d)
+     select doc_id, length(t)::bigint as n_chars, sha256(substr(t, 1, length(t) - half) || substr(after, 1, half)) as edited_sha256 from e"""
+    assert_same(catalogue.op8_fingerprint(spark, d).select("doc_id", "n_chars", "edited_sha256"), sql, d)
 
 
 def test_mixing(docs, empty):
