@@ -6,8 +6,10 @@ segment is equal and the second differs in at most one bit: one of its halves is
 bucket key, 8 keys a fingerprint; the longer chains prune pairs before the full Hamming check.
 
 Cases: a NULL or empty text has fingerprint zero and links like any other; a text of one or two words is one shingle;
-equal fingerprints are one node, so copies are never paired; a document without doc_id gets no component; an empty
-table gives an empty result; further columns are ignored.
+equal fingerprints are one node, so copies are never paired; links run through documents without doc_id, which get the
+smallest doc_id that they reach, NULL if there is none; a bit set in exactly half the shingles is 0; very long texts are
+fingerprinted whole; repeated rows and doc_ids are rows of the same result; an empty table gives an empty result; further
+columns are ignored.
 """
 from __future__ import annotations
 
@@ -46,15 +48,14 @@ def fingerprint(text: bytes | None, ngram: int = NGRAM, seed: int = SEED) -> int
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = np.array([fingerprint(x.as_py()) for x in b.column(1)], np.uint64).view(np.int64)
-        yield pa.record_batch([b.column(0), pa.array(fp)], ["doc_id", "fp"])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM) -> DataFrame:
     """(doc_id, fp as a signed long) of whole texts."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x.as_py(), ngram) for x in b.column(1)], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _segment(i: int):
@@ -134,13 +135,15 @@ def links(nodes: DataFrame) -> DataFrame:
     return rows.repartition("k", "blocks").sortWithinPartitions("k", "blocks").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links reach, itself included."""
-    fps = scratch.written(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = components(links(nodes.filter("rep is not null")))
-    label = nodes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(label, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that links reach, itself included; NULL if they reach none."""
+    fps = scratch.written(fingerprints(docs, id_col, text_col, ngram), "simhash")
+    nodes = scratch.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    comp = components(links(nodes.select("fp", F.col("fp").alias("rep")))).withColumnRenamed("node", "fp")
+    reached = scratch.written(nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "reached")
+    least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = scratch.written(reached.join(least, "component").select("fp", "component_id"), "labels")
+    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
