@@ -7,7 +7,9 @@ record costs one range read. Only bundles that the index names count: a failed o
 Equal payloads of at least `MIN_REVISIT` bytes are stored once, by the smallest page_id; other records are revisits
 that refer to it. Cases: a NULL html is an empty payload; rows without page_id can be revisits but never the response
 others refer to; rows that repeat the smallest page_id and its payload are all responses; an empty table makes no
-bundle; other columns are ignored; `url` may be missing or NULL.
+bundle; other columns are ignored; `url` may be missing or NULL. Rows that repeat a page_id and its payload share a record
+id, for they are the same record. A page of any length is one record, in a frame of its own if it exceeds one. `read` leaves
+a revisit's payload NULL, as it is stored; `resolved` fetches it.
 """
 from __future__ import annotations
 
@@ -30,15 +32,20 @@ INDEX = "page_id long, bundle string, frame int, offset int, length int"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def record_id(page_id, digest: str) -> str:
+    """The same for the same page and payload, so that a revisit can name the record it refers to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to, size: int, date: str) -> bytes:
     """One WARC/1.1 record; `refers_to` makes it a revisit without payload."""
     kind = "response" if refers_to is None else "revisit"
     body = HTTP + (payload if refers_to is None else b"")
     url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
             f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     if refers_to is not None:
-        head[3:3] = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head[3:3] = [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {REVISIT_PROFILE}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -54,13 +61,12 @@ def parse(raw: bytes) -> dict:
     body = rest[: int(h["Content-Length"])]
     if rest[len(body):] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    number = lambda x: int(m) if (m := x[len("<urn:page:"):-1]) else None
     payload = body.partition(b"\r\n\r\n")[2]
     digest, size, kind = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"]), h["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a payload does not match its digest")
-    return {"page_id": number(h["WARC-Record-ID"]), "url": h["WARC-Target-URI"], "payload": payload if kind == "response" else None, "payload_bytes": size,
-            "payload_digest": digest, "record_type": kind, "refers_to": number(h["WARC-Refers-To"]) if kind == "revisit" else None}
+    return {"page_id": int(h["X-Page-ID"]) if h["X-Page-ID"] else None, "url": h["WARC-Target-URI"], "payload": payload if kind == "response" else None, "payload_bytes": size,
+            "payload_digest": digest, "record_type": kind, "refers_to": int(h["X-Refers-To-Page"]) if kind == "revisit" else None}
 
 
 class BundleWriter:
@@ -198,3 +204,13 @@ def read(spark: SparkSession, base: str, index: DataFrame) -> DataFrame:
     """The indexed records, by frame: each frame is read and unpacked once, wherever its bundle lies."""
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_reader(base), RECORDS)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """Records with the payloads of revisits taken from the responses they refer to. Payloads of responses that are referred
+    to move once; the join splits responses of many revisits."""
+    wanted = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    stored = records.filter("record_type = 'response'").join(wanted, ["page_id", "payload_digest"], "left_semi").dropDuplicates(["page_id", "payload_digest"])
+    stored = stored.select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), F.col("payload").alias("__payload"))
+    rows = records.join(stored, (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
+    return rows.withColumn("payload", F.coalesce("payload", "__payload")).select(*records.columns)
