@@ -74,11 +74,27 @@ def op10_cover_tree(spark, d):
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_mixing, op4_secret_scan, op5_simhash, op6_bpe, op7_suffix_dedup, op8_fingerprint, op9_pii, op10_cover_tree)}
 
+def _spans(kind: int, least: str = "true") -> str:
+    """Spans of the matches `m{kind}` of a pattern from what lies between them, `g{kind}`."""
+    sizes = lambda x, n: f"coalesce(list_sum(list_transform({x}[1:{n}], lambda y: length(y))), 0)"
+    start = f"{sizes(f'g{kind}', 'i')} + {sizes(f'm{kind}', 'i - 1')}"
+    return f"list_transform(list_filter(range(1, len(m{kind}) + 1), lambda i: {least}), lambda i: {{'s': ({start})::bigint, 'k': {kind}, 'e': ({start} + length(m{kind}[i]))::bigint}})"
+
+
+_ASSIGN = secret_scan.ASSIGN.replace("'", "''")
+
 ORACLE = {
     "op1_warc": f"""with p as (select page_id, coalesce(html, '') as h from pages), s as (select page_id, strlen(h) as n, sha256(h) as d from p),
  f as (select d, min(page_id) as first from s where n >= {warc.MIN_REVISIT} group by d)
  select s.page_id, s.n as payload_bytes, s.d as payload_digest, case when f.first <> s.page_id then 'revisit' else 'response' end as record_type, case when f.first <> s.page_id then f.first end as refers_to
  from s left join f on f.d = s.d""",
+    # the base is SQL's; the models add nothing on the given tables, and a span they added to these would show as a difference
+    "op4_secret_scan": f"""with d as (select doc_id, coalesce(text, '') as t from documents),
+ m as (select doc_id, regexp_extract_all(t, '{_ASSIGN}') as m0, regexp_extract_all(t, '{_ASSIGN}', 2) as v0, regexp_split_to_array(t, '{_ASSIGN}') as g0,
+  regexp_extract_all(t, '{secret_scan.ACCESS}') as m1, regexp_split_to_array(t, '{secret_scan.ACCESS}') as g1, regexp_extract_all(t, '{secret_scan.HEX}') as m2, regexp_split_to_array(t, '{secret_scan.HEX}') as g2 from d),
+ s as (select doc_id, {_spans(0, f"length(v0[i]) >= {secret_scan.ASSIGN_LEAST}")} as a, {_spans(1)} as b, {_spans(2)} as c from m),
+ x as (select doc_id, len(a) as n_assign, len(b) as n_access, len(c) as n_hex, array_to_string(list_transform(list_sort(list_concat(a, list_concat(b, c))), lambda x: ['assign', 'access', 'hex'][x.k + 1] || ':' || x.s || ':' || x.e), ',') as spans from s)
+ select doc_id, n_assign, n_access, n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from x""",
     "op3_mixing": f"""with d as (select doc_id, source, case when text is null then 0 else len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) end as size from documents),
  p as (select source, sum(size)::bigint as source_size from d group by source),
  r as (select *, [{", ".join(map(str, mixing.WEIGHTS))}][(row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)} + 1]::double as w, source_size * {mixing.MAX_EPOCHS} as cap from p),

@@ -5,7 +5,7 @@ and are likelier under the model of random strings than under that of ordinary i
 tables over a fixed alphabet, trained by an aggregate over labelled samples; the samples' size is a parameter and the
 tables' size is the alphabet's square.
 
-Offsets are code points, ends exclusive. A NULL text is empty; empty texts have no spans; rows repeat as they come; a
+Texts of any length are scanned whole, in time that grows with their length. Offsets are code points, ends exclusive. A NULL text is empty; empty texts have no spans; rows repeat as they come; a
 NULL doc_id stays NULL; an empty table gives an empty result; further columns are ignored.
 """
 from __future__ import annotations

@@ -27,13 +27,36 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_simhash(docs, empty):
-    rows = simhash.near_duplicates(docs).collect()
-    want = {i: simhash.fingerprint((t or "").encode()) for i, t, _ in ROWS}
-    assert len(rows) == len(ROWS) and all(r.fp % 2**64 == want[r.doc_id] for r in rows)
-    comp = {r.doc_id: r.component_id for r in rows}
-    assert comp[1] == comp[2] == 1 and comp[3] == comp[4] == 3 and comp[None] is None
-    assert simhash.near_duplicates(empty).count() == 0
+def test_simhash(spark, docs, empty):
+    """Fingerprints by Spark's own XXH64 of the shingles' texts, components by comparing all."""
+    import re
+
+    def shingled(text):
+        words = re.findall("[^ \\t-\\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+
+    texts = [(i, t) for i, t, _ in ROWS] + [(20, "a b c d"), (21, "A b\tC"), (22, "é\u00a0x É"), (None, "alpha beta gamma delta " * 41), (23, "one two"), (24, "p q r p q r p q r")]
+    hashes = {s: h % 2**64 for s, h in spark.createDataFrame([(s,) for s in {s for _, t in texts for s in shingled(t)}], "s string").select("s", F.xxhash64("s")).collect()}
+    fp = [sum(1 << k for k in range(64) if 2 * sum(hashes[s] >> k & 1 for s in shingled(t)) > len(shingled(t))) for _, t in texts]
+    want = []
+    for i in range(len(texts)):
+        seen, todo = {i}, [i]
+        while todo:
+            x = todo.pop()
+            todo += [j for j in range(len(texts)) if j not in seen and (fp[x] ^ fp[j]).bit_count() <= 3 and not seen.add(j)]
+        ids = [texts[j][0] for j in seen if texts[j][0] is not None]
+        want.append((texts[i][0], fp[i], min(ids) if ids else None))
+    rows = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").withColumn("fp", F.lit("clash"))).collect()
+    assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in rows), key=str) == sorted(want, key=str)
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.near_duplicates(docs).count() == len(ROWS)
+
+
+def test_simhash_links_through_documents_without_id(spark, monkeypatch):
+    """1 and 3 are five bits apart, each within three of a document that has no doc_id."""
+    rows = [(1, 0b11111), (None, 0b11), (3, 0), (4, 1 << 60 | 0b1111 << 40), (None, 0b1111 << 20)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, fp long"))
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.range(1)).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (3, 1), (4, 4), (None, None)], key=str)
 
 
 @pytest.mark.parametrize("block", [1024, 8])
@@ -237,6 +260,47 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(docs).count() == len(ROWS) and secret_scan.scan(empty).count() == 0
 
 
+def test_secrets_against_brute_force(spark, docs):
+    """Base and added spans of whole texts by Python's own patterns and the plain sum of bigrams' ratios."""
+    import random
+    import re
+
+    rnd, letters = random.Random(2), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda n, a=letters: "".join(rnd.choice(a) for _ in range(n))
+    names = ["get_user_account_order_by_name", "ControllerFactoryServiceManager", "the-quick-brown-fox-jumps-over", "x" * 40, "/usr/local/share/documents/index"]
+    glue = [" ", "\n", "😀", "é", ", ", "="]
+    made = [lambda: "password: " + word(rnd.randrange(3, 12)), lambda: "API_KEY=\"" + word(20), lambda: "AKIA" + word(rnd.randrange(10, 20), letters[:26] + "0123456789"), lambda: word(rnd.randrange(15, 50), "0123456789abcdef"),
+            lambda: word(rnd.randrange(15, 45)), lambda: rnd.choice(names), lambda: "secret=token:" + word(8), lambda: "plain text here"]
+    texts = ["".join(rnd.choice(made)() + rnd.choice(glue) for _ in range(rnd.randrange(1, 9))) for _ in range(400)] + [None, "", "token " * 50_000 + "token=" + word(30)]
+    table = secret_scan.train(secret_scan.samples(spark))
+
+    def scanned(t):
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        added = []
+        for m in re.finditer(secret_scan.TOKEN, t):
+            ratio = sum(table[secret_scan.ALPHABET.index(a) * len(secret_scan.ALPHABET) + secret_scan.ALPHABET.index(b)] for a, b in zip(m[0], m[0][1:]))
+            if not any(s < m.end() and m.start() < e for s, _, e in found) and ratio >= 12 and ratio >= .35 * (len(m[0]) - 1):
+                added.append((m.start(), 3, m.end()))
+        return sorted(found), added
+
+    want = {i: scanned(t or "") for i, t in enumerate(texts)}
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.added]) for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit("clash"))).collect()}
+    assert got == want and sum(len(a) for _, a in want.values()) > 100
+
+
+def test_secret_models_tell_apart(spark):
+    """Random strings not trained on are found from 24 characters; identifiers of words not trained on are left alone."""
+    rnd = np.random.default_rng(9)
+    alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    random = ["x" + "".join(rnd.choice(list(alphabets[i % 3]), rnd.integers(24, 41))) + "Z" for i in range(300)]
+    stems = "lantern window garden button stream mirror velvet carbon anchor bridge candle desert engine forest hammer island jacket kitchen ladder magnet needle orange pencil quarry river saddle timber umbrella valley wagon".split()
+    plain = ["_".join(rnd.choice(stems, 4)) if i % 2 else "".join(w.title() for w in rnd.choice(stems, 4)) for i in range(300)]
+    rows = secret_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate(random + plain)], "doc_id long, text string")).collect()
+    hit = {r.doc_id for r in rows if r.added or r.base}
+    assert sum(i < 300 for i in hit) >= 285 and sum(i >= 300 for i in hit) <= 3
+
+
 def test_pii(docs, empty):
     rows = {r.doc_id: r for r in pii.replace(docs).collect()}
     text = rows[10].text
@@ -388,6 +452,30 @@ def test_pii_against_brute_force(spark, docs):
     assert total > 20 and len(set(seen.values())) == len(seen)
 
 
+def test_warc_bundles(spark):
+    """Ties, long pages, repeated rows, clashing names; each record is read alone from its frame, and the seek table adds up."""
+    import pyarrow.fs
+
+    long_ = "long page é" * 300_000
+    pages = spark.createDataFrame([(5, "u", long_, "a"), (5, "u", long_, "a"), (9, "u", long_, "b"), (6, "a\r\nb: c", "x" * 100, "c"), (7, None, "x" * 100, "d"), (8, "", "x" * 99, "e"), (8, "", "x" * 99, "f")], "page_id long, url string, html string, digest string").repartition(2)
+    base = scratch.new_path(spark, "warc")
+    index = warc.write(pages, base, frame_bytes=1000, bundle_bytes=5000)
+    rows = warc.read(spark, base, index).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in rows) == [(5, "response", 0, len(long_.encode()))] * 2 + [(6, "response", 0, 100), (7, "revisit", 6, 100), (8, "response", 0, 99), (8, "response", 0, 99), (9, "revisit", 5, len(long_.encode()))]
+    assert [r.url for r in rows if r.page_id == 6] == ["a%0D%0Ab: c"]
+    store, root = pyarrow.fs.FileSystem.from_uri(base)
+    for r in index.collect():
+        with store.open_input_file(f"{root}/{r.bundle}") as f:
+            bundle = warc.BundleReader(f)
+            one = warc.parse(bundle.frame(r.frame)[r.offset: r.offset + r.length])
+            assert one["page_id"] == r.page_id
+            import zstandard
+            f.seek(0)
+            plain = b"".join(bundle.frame(i) for i in range(len(bundle.sizes)))
+            f.seek(0)
+            assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == plain  # any reader of the format
+
+
 def test_toxicity_training_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i in range(60) for t in ("B a A b", None if i % 2 else "b a a b")] + [(None, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (None, 1)], "doc_id long, toxic int")
@@ -449,7 +537,9 @@ def test_warc(spark):
     base = scratch.new_path(spark, "warc")
     rows = {r.page_id: r for r in warc.read(spark, base, warc.write(pages, base, frame_bytes=300)).collect()}
     assert {k: (r.record_type, r.refers_to, r.payload_bytes) for k, r in rows.items()} == {1: ("response", None, 200), 3: ("revisit", 1, 200), None: ("revisit", 1, 200), 2: ("response", None, 0), 4: ("response", None, 4), 5: ("response", None, 4)}
-    assert rows[3].payload_digest == hashlib.sha256(b"p" * 200).hexdigest()
+    assert rows[3].payload_digest == hashlib.sha256(b"p" * 200).hexdigest() and rows[3].payload is None
+    whole = {r.page_id: bytes(r.payload) for r in warc.resolved(warc.read(spark, base, warc.write(pages, base))).collect()}
+    assert whole == {1: b"p" * 200, 3: b"p" * 200, None: b"p" * 200, 2: b"", 4: b"tiny", 5: b"tiny"}
     base = scratch.new_path(spark, "warc")
     assert warc.read(spark, base, warc.write(pages.limit(0), base)).count() == 0
 
