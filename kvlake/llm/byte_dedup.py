@@ -15,7 +15,6 @@ with the same doc_id and other texts are other documents; empty tables give empt
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,21 +210,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(k1, k2, spans): the covered spans of each text that has some."""
     rows = _keyed(docs, id_col, text_col).select("k1", "k2", "data")
     long_ = rows.filter(F.octet_length("data") >= LENGTH)
-    sampled = long_.mapInArrow(_sampled, "bucket long, k1 long, k2 long, run long")
-    shared = sampled.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    sampled = scratch.written(long_.mapInArrow(_sampled, "bucket long, k1 long, k2 long, run long"), "sampled")
+    # tables that are joined on a bucket are written first: the join then sees two plain shuffles, and splits a hot bucket
+    shared = scratch.written(sampled.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
     runs = scratch.written(sampled.join(shared, "bucket").groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "runs")
+    scratch.drop(sampled, shared)
 
     level = scratch.written(long_.join(runs, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_refined, "k1 long, k2 long, core long, cover long, start long, windows long"), "refined")
     state = level.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("lo"), F.max("cover").alias("hi")).filter("n > 1").select("core", (F.col("lo") == F.col("hi")).alias("same"))
+    state = scratch.written(state, "state")
     placed = scratch.written(level.join(state, "core").select("k1", "k2", "core", "cover", "start", "windows", "same"), "placed")
-    scratch.drop(runs, level)
+    scratch.drop(runs, level, state)
 
     # in buckets that hold different strings, all windows of a string that occurs twice are repeated; one row stands for
     # it when windows are compared
     mixed = placed.filter("not same")
-    covers = mixed.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("first"))
-    crowd = covers.groupBy("core").agg((F.count("*") > GROUP).alias("large"))
-    covers = covers.join(crowd, "core")
+    covers_ = scratch.written(mixed.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("first")), "covers")
+    crowd = scratch.written(covers_.groupBy("core").agg((F.count("*") > GROUP).alias("large")), "crowd")
+    covers = covers_.join(crowd, "core")
     judged = scratch.written(mixed.join(covers, ["core", "cover"]).select("k1", "k2", "core", "start", "windows", "large", (F.col("n") > 1).alias("whole"), (F.struct("k1", "k2", "start") == F.col("first")).alias("first")), "judged")
     span = ("k1", "k2", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("end"))
     whole = placed.filter("same").select(*span).unionByName(judged.filter("whole").select(*span))
@@ -234,11 +236,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small = opened.filter("bytes is not null").select("k1", "k2", "start", "windows", "core", "bytes")
     settled = small.repartition("core").sortWithinPartitions("core").mapInArrow(_settled, "k1 long, k2 long, start long, end long")
     large = opened.filter("bytes is null").select("k1", "k2", "start", "w1", "w2")
-    twice = large.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    twice = scratch.written(large.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "twice")
     large = large.join(twice, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
     spans = whole.unionByName(settled).unionByName(large)
     spans = scratch.written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    scratch.drop(placed, judged, opened)
+    scratch.drop(placed, judged, opened, covers_, crowd, twice)
     return spans
 
 
@@ -248,7 +250,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col)
     return (rows.join(spans, ["k1", "k2"], "left").select("doc_id", "data", "spans")
             .mapInArrow(_cut_all, "doc_id long, kept binary, removed array<struct<start:long,end:long>>, n_bytes long"))
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
