@@ -1,12 +1,8 @@
-"""Near copies by similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""What `simhash.near_copies` needs beside SimHash: shingle sets, MinHash bands, and the exact comparison of sets.
 
-MinHash bands only propose: documents that share a band form a candidate cluster, and inside a cluster the sets of whole
-texts are compared exactly (as 64-bit shingle hashes). `BANDS` bands of `ROWS` minima miss a pair of similarity 0.8 with a
-chance of (1 - 0.8^6)^32 = 0.00006, and more similar ones more rarely; no pair below 0.8 is linked.
-
-Cases: words are those of `simhash`; a text of up to five words is one shingle, a NULL or empty text has none, and equal
-sets (also empty ones) are one node; two different sets of which one has fewer than 4 shingles are never similar enough;
-rows without doc_id get no label; an empty table gives an empty result.
+A pair of Jaccard similarity 0.8 differs in about 10 of 64 SimHash bits, which no filter of segments proposes at a cost that
+grows with the corpus; bands of minima do. `BANDS` bands of `ROWS` minima miss a pair of similarity 0.8 with a chance of
+(1 - 0.8^6)^32 = 0.00006, and more similar ones more rarely.
 """
 from __future__ import annotations
 
@@ -14,10 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
 
-from kvlake.llm.common import components, group_bounds, pieces, whole_groups
-from kvlake.sources import scratch
+from kvlake.llm.common import group_bounds, pieces, whole_groups
 
 NGRAM, SEED = 5, 42
 BANDS, ROWS = 32, 6
@@ -62,18 +56,25 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
-        sets = [shingles(t.as_py()) for t in b.column(2)]
-        keys = [band_keys(s) for s in sets]
-        fp = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "fp", "n", "keys"])
+MARKS = "row long, fp long, sim long, n long, keys array<long>"
+
+
+def marks(sketch):
+    """For each (row, text): the hash of the set of shingles, its SimHash by `sketch`, its size and its band keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.record_batch([b.column(0), longs([set_hash(s) for s in sets]), longs([sketch(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
+                                   pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], [f.split()[0] for f in MARKS.split(", ")])
 
+    return run
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
-        sets = [shingles(t.as_py()).view(np.int64) for t in b.column(3)]
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.list_(pa.int64()))], ["cluster", "fp", "blocks", "hashes"])
+        hashes = [shingles(t.as_py()).view(np.int64) for t in b.column(3)]
+        yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(hashes, pa.list_(pa.int64()))], ["cluster", "fp", "blocks", "hashes"])
 
 
 def forest(values: np.ndarray, bounds: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -104,7 +105,7 @@ def forest(values: np.ndarray, bounds: np.ndarray) -> list[tuple[int, np.ndarray
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, ["cluster", "block"]):
         fp, hashes = t.column("fp").to_numpy(), t.column("hashes").combine_chunks()
         values, at = hashes.values.to_numpy(), hashes.offsets.to_numpy().astype(np.int64)
@@ -116,26 +117,3 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left.append(np.full(len(hit), fp[lo + x]))
                     right.append(fp[lo + hit])
         yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, fp, component): `row` hashes all columns, `fp` the set of shingles, and `component` is the smallest
-    `fp` that links reach. One row for each row with a doc_id."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*docs.columns).alias("row"), F.col(text_col).cast("binary").alias("t"))
-    marks = scratch.written(rows.mapInArrow(_marks, "doc_id long, row long, fp long, n long, keys array<long>"), "minhash")
-    keyed = marks.filter(F.size("keys") > 0).dropDuplicates(["fp"]).select("fp", F.explode("keys").alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("k", "least")
-    clusters = components(keyed.join(shared, "k").select(F.col("fp").alias("a"), F.col("least").alias("b")))
-    one = marks.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.max("n").alias("n"))
-    members = one.join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp").select("fp", "cluster", "one.doc_id", "one.row", "n")
-    members = scratch.written(members, "members")
-    # a cluster of several blocks meets itself as pairs of blocks (s, t): each set goes to the pairs of its own block
-    large = members.groupBy("cluster").agg(F.sum("n").alias("n")).filter(F.col("n") > CUT).select("cluster", F.ceil(F.col("n") / CUT).cast("int").alias("cut"))
-    own = F.pmod(F.xxhash64("fp"), F.col("cut")).cast("long")
-    pair = lambda t: F.when(t < own, t * (1 << 20) + own).otherwise(own * (1 << 20) + t)
-    dealt = members.join(large, "cluster", "left").withColumn("blocks", F.when(F.col("cut").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cut").cast("long") - 1), pair)))
-    texts = rows.join(dealt, ["doc_id", "row"]).dropDuplicates(["fp"]).select("cluster", "fp", "blocks", "t")
-    sets = texts.mapInArrow(_sets, "cluster long, fp long, blocks array<long>, hashes array<long>").select("cluster", "fp", "hashes", F.explode("blocks").alias("block"))
-    comp = components(sets.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_links, "a long, b long"))
-    label = comp.select(F.col("node").alias("fp"), "component")
-    return marks.join(label, "fp", "left").select("doc_id", "row", "fp", F.coalesce("component", "fp").alias("component"))

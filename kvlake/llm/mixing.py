@@ -23,8 +23,8 @@ WEIGHTS, MAX_EPOCHS, SEED = (1, 2, 3), 3, 42
 DIGITS = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    return docs.select(*([F.col(row).cast("long").alias("row")] if row else []), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None) -> DataFrame:
@@ -48,13 +48,14 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bud
     return rows.select("source", "source_size", F.when(clamped, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("at.level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = SEED, row: str | None = None) -> DataFrame:
     """(doc_id, key, source, size, source_size, target, whole, part, taken): key is the text's hash, `whole` copies of the document and `part` words of one more.
+    With `row`, a column of numbers that tell rows apart, that number too, as `row`.
 
     The order within a source is by a seeded hash. Its first hex digits make groups whose sizes are summed map-side;
     running sums over those sums say where the fill ends, and rows are ordered only inside a group."""
     seeded = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
-    sized = sizes(docs).withColumn("h", seeded).withColumn("g", F.substring("h", 1, DIGITS))
+    sized = sizes(docs, row).withColumn("h", seeded).withColumn("g", F.substring("h", 1, DIGITS))
     sized = scratch.written(sized, "sizes")
     goal = targets(sized, weights, max_epochs, budget)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget:
     goal = goal.withColumnRenamed("source", "goal_")
     groups = groups.join(goal, F.col("source_").eqNullSafe(F.col("goal_"))).drop("goal_")
     rows = sized.join(groups, F.col("source").eqNullSafe(F.col("source_")) & (F.col("g") == F.col("g_"))).drop("source_", "g_")
-    inner = Window.partitionBy("source", "g").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "g").orderBy("h", "doc_id", "size", "key", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at"))).cast("long"))
-    return rows.select("doc_id", "key", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+    return rows.select(*(["row"] if row else []), "doc_id", "key", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kvlake.llm import minhash
 from kvlake.llm.common import components, group_bounds, whole_groups
 from kvlake.sources import scratch
 
@@ -40,10 +41,14 @@ def fingerprint(text: bytes | None, ngram: int = NGRAM, seed: int = SEED) -> int
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - ngram + 1].tolist()
-    hashes = np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[ngram - 1:].tolist())], "<u8")
+    return sketch(np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[ngram - 1:].tolist())], "<u8"))
+
+
+def sketch(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at: at + (1 << 14)]
+        part = hashes[at: at + (1 << 14)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
@@ -123,14 +128,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
 
+def _dealt(key: str, cut: str):
+    """The pairs of blocks (s, t), s <= t, of which one is the key's block of `cut`; one pair if `cut` is NULL."""
+    own = F.pmod(F.xxhash64(key), F.col(cut)).cast("long")
+    pair = lambda t: F.when(t < own, t * (1 << 20) + own).otherwise(own * (1 << 20) + t)
+    return F.when(F.col(cut).isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col(cut).cast("long") - 1), pair))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between `rep`s of distinct `fp`s that span every linked group of (fp, rep)."""
     keyed = nodes.select("fp", "rep", F.explode(bucket_keys()).alias("k"))
     large = keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("cut"))
     # a bucket of several blocks meets itself as pairs of blocks (s, t): each row goes to the pairs of its own block
-    own = F.pmod(F.xxhash64("fp"), F.col("cut")).cast("long")
-    pair = lambda t: F.when(t < own, t * (1 << 20) + own).otherwise(own * (1 << 20) + t)
-    dealt = keyed.join(large, "k", "left").withColumn("blocks", F.when(F.col("cut").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cut").cast("long") - 1), pair)))
+    dealt = keyed.join(large, "k", "left").withColumn("blocks", _dealt("fp", "cut"))
     rows = dealt.select("fp", "rep", "k", F.explode("blocks").alias("blocks"))
     return rows.repartition("k", "blocks").sortWithinPartitions("k", "blocks").mapInArrow(_links, "a long, b long")
 
@@ -146,5 +156,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_copies(docs: DataFrame, row: str = "__row", text_col: str = "text") -> DataFrame:
+    """(row, component): documents linked by a Jaccard similarity of 0.8 or more of their sets of five-word shingles, as
+    compared exactly on whole texts; `row` is a column of numbers that tell rows apart, `component` names the group.
+
+    SimHash links of the sets (within `TAU` bits, by the pigeonring filter) and shared MinHash bands only propose: what they
+    connect is a cluster, inside which the sets are compared. Cases: words are those of `fingerprint`; a text of up to five
+    words is one shingle, a NULL or empty text has none, and equal sets (also empty ones) are one node; two different sets
+    of which one has fewer than 4 shingles are never similar enough; an empty table gives an empty result."""
+    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(text_col).cast("binary").alias("t"))
+    marks = scratch.written(rows.mapInArrow(minhash.marks(sketch), minhash.MARKS), "marks")
+    one = scratch.written(marks.groupBy("fp").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.min("sim").alias("sim")), "sets")
+    some = one.filter("n >= 4").select("fp", "sim")
+    near = some.groupBy("sim").agg(F.min("fp").alias("rep"))
+    proposed = links(near.select(F.col("sim").alias("fp"), "rep")).unionByName(some.join(near, "sim").filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")))
+    keyed = marks.filter(F.size("keys") > 0).select("row", "fp", "keys").join(one.select("row"), "row", "left_semi").select("fp", F.explode("keys").alias("k"))
+    shared = scratch.written(keyed.groupBy("k").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("k", "least"), "bands")
+    clusters = components(keyed.join(shared, "k").select(F.col("fp").alias("a"), F.col("least").alias("b")).unionByName(proposed))
+    members = scratch.written(one.join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp").select("fp", "cluster", "row", "n"), "members")
+    # a cluster of several blocks meets itself as pairs of blocks (s, t): each set goes to the pairs of its own block
+    large = members.groupBy("cluster").agg(F.sum("n").alias("n")).filter(F.col("n") > minhash.CUT).select("cluster", F.ceil(F.col("n") / minhash.CUT).cast("int").alias("cut"))
+    dealt = members.join(large, "cluster", "left").withColumn("blocks", _dealt("fp", "cut"))
+    texts = rows.join(dealt, "row").select("cluster", "fp", "blocks", "t")
+    sets = texts.mapInArrow(minhash.sets, "cluster long, fp long, blocks array<long>, hashes array<long>").select("cluster", "fp", "hashes", F.explode("blocks").alias("block"))
+    comp = components(sets.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(minhash.similar, "a long, b long"))
+    label = scratch.written(comp.select(F.col("node").alias("fp"), "component"), "copies")
+    return marks.select("row", "fp").join(label, "fp", "left").select("row", F.coalesce("component", "fp").alias("component"))
+
+
 def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
