@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kvlake.llm import catalogue, minhash, mixing, pii, toxicity
+from kvlake.llm import catalogue, mixing, pii, simhash, toxicity
 from kvlake.llm.common import table
 from kvlake.sources import scratch
 
@@ -14,12 +14,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, out="__score").filter("__score < 0.5").drop("__score")
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with numbers that tell them apart, written so that they keep them."""
+    return scratch.written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more): of smallest doc_id, then row
-    hash. Rows that share a doc_id are apart unless they are near copies. Documents without doc_id stay."""
-    kept = minhash.near_copies(docs).groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("one")).select("one.doc_id", F.col("one.row").alias("__row")).distinct()
-    named = docs.filter("doc_id is not null").withColumn("__row", F.xxhash64(*docs.columns)).join(kept, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more): of smallest doc_id, rows
+    without one last, then by hash of the row. Rows that share a doc_id are apart unless they are near copies."""
+    rows = _numbered(docs, "numbered")
+    about = rows.select(F.col("__row").alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), F.col("__row").alias("row")).alias("order"))
+    kept = simhash.near_copies(rows).join(about, "row").groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +35,13 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each whole copy that the mix takes, and one with the first words of a copy taken in part."""
-    share = mixing.mix(docs).groupBy("doc_id", "source", "key").agg(F.max("whole").alias("whole"), F.max("part").alias("part"), F.max("size").alias("size"))
-    share = share.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.col("whole").alias("__whole"), F.col("part").alias("__part"), F.col("size").alias("__size"))
-    rows = docs.join(share, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__key")))
+    """A row for each whole copy that the mix takes, and one with the first words of a copy taken in part. Texts without
+    words take part in no mix and stay as they are."""
+    rows = _numbered(docs, "numbered")
+    share = mixing.mix(rows, row="__row").select(F.col("row").alias("__row"), F.col("whole").alias("__whole"), F.col("part").alias("__part"), F.col("size").alias("__size"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("__words", F.explode(copies))
+    copies = F.when(F.col("__size") == 0, F.array(F.lit(-1).cast("long"))).otherwise(copies)
+    rows = rows.join(share, "__row").withColumn("__words", F.explode(copies))
     whole = (F.col("__words") < 0) | (F.col("__words") >= F.col("__size"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col("__words"), F.lit(1)).cast("int")), "")
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(head))
