@@ -28,6 +28,8 @@ from kvlake.llm.common import worker_cache
 GRAM, SLOTS, EVERY = 24, 64, 16
 # Moduli (a Mersenne prime first) and bases of the polynomials.
 MODULI, BASES = (2147483647, 2147483629), (1000003, 911382323)
+#: Pairs of places up to which extensions are found one by one.
+FEW = 24
 #: Documents, about, that share a range, and ranges at most; beyond that, ranges grow.
 PART_ROWS, PARTS = 1024, 1 << 16
 
@@ -77,6 +79,8 @@ class PrefixHash:
         """The longest common extensions of pairs of places, by binary search on span equality: of what follows them, or
         of what comes before."""
         start, at = np.atleast_1d(np.asarray(start, np.int64)), np.atleast_1d(np.asarray(at, np.int64))
+        if len(start) <= FEW:
+            return np.array([self._extension(i, other, j, back) for i, j in zip(start.tolist(), at.tolist())], np.int64)
         lo, hi = np.zeros(len(start), np.int64), np.minimum(start, at) if back else np.minimum(self.n - start, other.n - at)
         while (lo < hi).any():
             mid = (lo + hi + 1) // 2
@@ -85,6 +89,22 @@ class PrefixHash:
         return lo
 
 
+    def _extension(self, start: int, other: PrefixHash, at: int, back: bool) -> int:
+        """The same for one pair of places, which is quicker by numbers than by arrays of one."""
+        lo, hi = 0, min(start, at) if back else min(self.n - start, other.n - at)
+        tables = [(p, s, t, powers(w, self.n + 1)[1], powers(w, other.n + 1)[1]) for w, (p, s, t) in enumerate(zip(MODULI, self.sums, other.sums))]
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            i, j = (start - mid, at - mid) if back else (start, at)
+            for p, s, t, down, down2 in tables:
+                if (int(s[i + mid]) - int(s[i])) * int(down[i]) % p != (int(t[j + mid]) - int(t[j])) * int(down2[j]) % p:
+                    hi = mid - 1
+                    break
+            else:
+                lo = mid
+        return lo
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
 

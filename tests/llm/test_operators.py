@@ -178,9 +178,10 @@ def alike(a, b):
     return (len(seen[0]) + len(seen[1])) / (len(a) + len(b))
 
 
-@pytest.mark.parametrize("part_rows", [3, 1024, 1])
-def test_fingerprint(spark, docs, empty, part_rows):
+@pytest.mark.parametrize("part_rows, few", [(3, 24), (1024, 0), (1, 1)])
+def test_fingerprint(spark, monkeypatch, docs, empty, part_rows, few):
     """Fingerprints and likeness against plain sums and plain comparison; ids that repeat and are missing."""
+    monkeypatch.setattr(fingerprint, "FEW", few)
     more = [(5, "x" * 30 + PASSAGE), (None, PASSAGE[10:]), (None, "also no id"), (None, None), (8, "eight again"), (-3, PASSAGE + PASSAGE), *[(77, f"many rows {i} share " + PASSAGE[i:]) for i in range(12)]]
     texts = [(i, t) for i, t, _ in ROWS if t is None or len(t) < 2000] + more
     rows = fingerprint.with_next(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), part_rows).collect()
@@ -196,7 +197,9 @@ def test_fingerprint(spark, docs, empty, part_rows):
     assert fingerprint.with_next(docs, part_rows).count() == len(ROWS) and fingerprint.with_next(empty).count() == 0
 
 
-def test_fingerprint_extensions():
+@pytest.mark.parametrize("few", [0, 24])
+def test_fingerprint_extensions(monkeypatch, few):
+    monkeypatch.setattr(fingerprint, "FEW", few)
     a, b = fingerprint.PrefixHash(fingerprint.codes("xxabcdefgh")), fingerprint.PrefixHash(fingerprint.codes("abcdefzz"))
     assert a.extension([2, 0, 10], b, [0, 0, 8]).tolist() == [6, 0, 0] and a.extension([8, 2, 0], b, [6, 0, 8], back=True).tolist() == [6, 0, 0]
     assert a.same(np.array([2]), b, np.array([0]), np.array([6])).all() and not a.same(np.array([0]), b, np.array([0]), np.array([2])).any()
