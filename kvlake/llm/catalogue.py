@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kvlake.llm import bpe, byte_dedup, cover_tree, fingerprint, mixing, pii, secret_scan, simhash, toxicity, warc
+from kvlake.llm import bpe, byte_dedup, cover_tree, fingerprint, mixing, pii, secret_scan, simhash, toxicity, warc, xxh64_sql
 from kvlake.llm.common import table
 from kvlake.sources import scratch
 
@@ -107,6 +107,26 @@ ORACLE = {
   coalesce(sum(d.size) over (partition by d.source order by md5('{mixing.SEED}|' || coalesce(d.doc_id::varchar, '') || '|' || d.size::varchar), d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as earlier
   from d join g on d.source is not distinct from g.source)
  select doc_id, size, source_size, target, (whole * size + least(size, greatest(0, rest - earlier)))::bigint as taken from x""",
+    "op5_simhash": f"""with recursive w as (select doc_id, row_number() over (order by doc_id, text) as r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+ g as (select r, unnest(case when len(w) = 0 then [] else list_transform(range(1, greatest(len(w) - {simhash.NGRAM - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {simhash.NGRAM - 1}], ' ')) end) as s from w),
+ gs as (select distinct s from g), {xxh64_sql.tables("gs", simhash.SEED)},
+ b as (select g.r, count(*) as n, {", ".join(f"sum(h >> {k} & 1) as b{k}" for k in range(64))} from g join hashed on hashed.s = g.s group by g.r),
+ f as (select w.doc_id, coalesce({" + ".join(f"case when b{k} * 2 > n then {xxh64_sql.number(1 << k)} else {xxh64_sql.number(0)} end" for k in range(64))}, {xxh64_sql.number(0)})::ubigint as f from w left join b on b.r = w.r),
+ d as (select distinct f from f), l as (select a.f as a, b.f as b from d a join d b on a.f <> b.f and bit_count(xor(a.f, b.f)) <= {simhash.TAU}),
+ r as (select f as a, f as b from d union select r.a, l.b from r join l on l.a = r.b), c as (select r.a, min(f.doc_id) as component_id from r join f on f.f = r.b group by r.a)
+ select f.doc_id, lpad(lower(hex(f.f)), 16, '0') as fingerprint, c.component_id from f join c on c.a = f.f""",
+    # every window by its hash, and gaps between the repeated ones
+    "op7_suffix_dedup": f"""with d as (select doc_id, encode(coalesce(text, '')) as b, row_number() over (order by doc_id, text) as r from documents),
+ w as (select r, unnest(range(0, octet_length(b) - {byte_dedup.LENGTH - 1})) as p, md5(b[p + 1:p + {byte_dedup.LENGTH}]) as h from d where octet_length(b) >= {byte_dedup.LENGTH}),
+ t as (select r, p from w qualify count(*) over (partition by h) > 1),
+ g as (select r, p, case when p > coalesce(lag(p) over (partition by r order by p), -{5 * byte_dedup.LENGTH}) + {byte_dedup.LENGTH} then 1 else 0 end as opens from t),
+ s as (select r, p, sum(opens) over (partition by r order by p) as k from g),
+ x as (select r, k, min(p) as s, max(p) + {byte_dedup.LENGTH} as e from s group by r, k),
+ y as (select r, list(s order by s) as starts, list(e order by s) as ends, sum(e - s) as n from x group by r)
+ select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(y.n, 0)::bigint as n_removed, coalesce(len(starts), 0)::bigint as n_spans,
+  sha256(case when y.r is null then b else unhex(array_to_string(list_transform(range(0, len(starts) + 1), lambda i: hex(b[(case when i = 0 then 0 else ends[i] end) + 1:(case when i = len(starts) then octet_length(b) else starts[i + 1] end)])), '')) end) as kept_sha256
+ from d left join y on y.r = d.r""",
     "op10_cover_tree": f"""with recursive e as (select vec_id, label, embedding::double[] as v from embeddings),
  l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= {cover_tree.COSINE}),
  r as (select vec_id as a, vec_id as b from e union select r.a, l.b from r join l on l.a = r.b),

@@ -9,7 +9,7 @@ which abstains on unlabelled rows. The posterior labels of all these documents t
 patterns, which alone scores every text.
 
 Training reads at most `TRAIN_ROWS` labelled and `UNLABELLED` other documents, those with the smallest hash of doc_id, and at
-most `SAMPLE_WORDS` distinct words of each (those of smallest hash); scoring reads every whole text.
+most `SAMPLE_WORDS` distinct words of each (those of smallest hash, of up to 64 letters); scoring reads every whole text.
 
 Cases: NULL and empty texts get the score of a text without features; NULL labels are not used; without labelled rows of
 both classes only the seed lexicon's voters exist, and the model is fitted on their votes (on no document at all it has
@@ -67,7 +67,7 @@ def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         words = []
         for t in b.column(1):
-            n = counted(t.as_py())
+            n = Counter({w: k for w, k in counted(t.as_py()).items() if len(w) <= 64})
             few = n if len(n) <= SAMPLE_WORDS else sorted(n, key=lambda w: (zlib.crc32(w.encode()), w))[:SAMPLE_WORDS]
             words.append(" ".join(w for w in sorted(few) for _ in range(min(n[w], 3))))
         yield pa.record_batch([b.column(0), pa.array(words, pa.string()), b.column(2)], ["doc_id", "words", "toxic"])
