@@ -1,17 +1,19 @@
 """Queries over the driver's tables, one per operator, and the same results in SQL."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kvlake.functions import bloom
+from kvlake.cli import Shell
+from kvlake.functions import bloom, codec
 from kvlake.functions.codec import encoded_size, value_length
 from kvlake.operators import compaction, lookup, lww, stats
 from kvlake.plans.store import KVStore
 from kvlake.schema import mutation_log
-from kvlake.sources import binlog, runs, scratch
+from kvlake.sources import binlog, fs, runs, scratch
 from kvlake.sources.generate import LCG, people, random_keys, random_reads
 from kvlake.sources.manifest import Manifest
-from kvlake.streaming.ingest import latest_view
+from kvlake.streaming.ingest import ingest_stream, latest_view
 
 RUN_ROWS = 500
 BLOCK_TARGET = 512
@@ -136,6 +138,75 @@ def q_random_keys(spark, d):
     return store.multi_get(random_reads(spark, 10_000, 1_000)).select("key", F.hex("value").alias("value"), "found")
 
 
+def q_manifest_rebuild(spark, d):
+    """The manifest of a store whose manifest is lost, from the names and contents of its runs."""
+    store = _store(spark, d, _halves(spark, d))
+    fs.delete(spark, f"{store.root}/manifest")
+    found = KVStore.open(spark, store.root).manifest
+    name = F.regexp_extract("path", r"/(L\d+_\d+)[^/]*$", 1).alias("name")
+    return found.frame(spark).select("table_id", "level", name, "min_key", "max_key", "n", "bytes", "max_seq", F.lit(found.next_id).cast("long").alias("next_id"))
+
+
+def q_reopen(spark, d):
+    """What is read after some rows were flushed by closing, some only logged, and the log was emptied by the flush."""
+    both = _halves(spark, d)
+    with KVStore.open(spark, scratch.new_path(spark, "store")) as store:
+        store.apply(bare(both[0]), order="seq")
+    again = KVStore.open(spark, store.root)
+    emptied = again.log().isEmpty()
+    again.apply(bare(both[1]), order="seq")
+    final = KVStore.open(spark, store.root)
+    return _text(final.snapshot()).select("key", "value", F.lit(len(final.manifest.tables)).cast("long").alias("tables"), F.lit(emptied).alias("emptied"))
+
+
+def q_log_get(spark, d):
+    """Lookups that only the log can answer."""
+    return _text(_written(spark, d).multi_get(_probes(spark, d))).select("key", "value", "found")
+
+
+def q_bounded_buffer(spark, d):
+    """A log that exceeds its bound is flushed at once, one that does not stays."""
+    rows, made = bare(log(spark, d)), []
+    for name, size in (("small", 1), ("large", 1 << 40)):
+        store = KVStore.open(spark, scratch.new_path(spark, "store"), flush_bytes=size)
+        store.apply(rows, order="seq")
+        made.append((name, len(store.manifest.tables), sum(t["n"] for t in store.manifest.tables), store.log().count()))
+    return spark.createDataFrame(made, "bound string, tables long, entries long, logged long")
+
+
+def q_stream_ingest(spark, d):
+    """A stream landed as runs, a batch of it offered again, and the stream run again: each row counts once."""
+    path, store = scratch.new_path(spark, "stream"), KVStore.open(spark, scratch.new_path(spark, "store"))
+    bare(log(spark, d)).withColumn("value", F.col("value").cast("binary")).write.parquet(path)
+    checkpoint = scratch.new_path(spark, "checkpoint")
+    for _ in range(2):
+        ingest_stream(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), store, checkpoint, "seq").awaitTermination()
+    store.ingest(spark.read.parquet(path), checkpoint, 0, "seq")
+    return _text(KVStore.open(spark, store.root).latest())
+
+
+def q_shell(spark, d):
+    """Lines that the shell answers to a session."""
+    import io
+
+    out = io.StringIO()
+    root = scratch.new_path(spark, "shell")
+    shell = Shell(spark, root, out, out)
+    for line in ("PUT a  1   2", "GET a", "put b x", "DEL b", "GET b", "GET c", "nope", "SYNC", "CONNECT " + root + "/other", "GET a", "CONNECT " + root, "GET a", "EXIT"):
+        shell.run(line)
+    return spark.createDataFrame(list(enumerate(out.getvalue().splitlines())), "i long, line string")
+
+
+def q_entry_encode(spark, d):
+    """The record of each entry, spelled in hex."""
+    def run(batches):
+        for b in batches:
+            records = [codec.encode(k, None if v is None else v.encode(), s).hex().upper() for k, v, s in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(records, pa.string())], ["key", "seq", "record"])
+
+    return lww.latest(log(spark, d)).select("key", "value", "seq").mapInArrow(run, "key string, seq long, record string")
+
+
 def q_debug_lookup(spark, d):
     entries = per_run(spark, d)
     return lookup.debug_lookup(_probes(spark, d), bloom.build(entries), stats.sparse_build(entries), stats.block_build(entries, target=BLOCK_TARGET))
@@ -179,6 +250,14 @@ QUERIES = {
     "flush_run": q_flush_run,
     "scan_run": lambda s, d: lww.ranked_scan(q_flush_run(s, d).select("key", "seq", "tombstone")),
     "manifest_tables": q_manifest,
+    "manifest_rebuild": q_manifest_rebuild,
+    "reopen": q_reopen,
+    "log_get": q_log_get,
+    "bounded_buffer": q_bounded_buffer,
+    "stream_ingest": q_stream_ingest,
+    "shell_session": q_shell,
+    "entry_encode": q_entry_encode,
+    "bloom_tuned": lambda s, d: bloom.set_bits(bloom.build(per_run(s, d), config=bloom.BloomConfig(3, 2))).groupBy("run", "bit_count", "hash_count").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("bit_sum")),
     "streaming_latest": q_streaming,
 }
 
@@ -289,5 +368,16 @@ ORACLE = {
     "flush_run": f"with {LATEST} select key, value, tombstone, seq from l",
     "scan_run": f"with {LATEST} select key, seq, tombstone, row_number() over (order by key) - 1 as i from l",
     "manifest_tables": f"with {LOG} {TABLE.format(id='1::bigint', half=0)} union all {TABLE.format(id='2::bigint', half=1)}",
+    "manifest_rebuild": f"""with {LOG}, t as (select run % 2 as half, key, arg_max(coalesce(strlen(value), 0), seq) as v, max(rank) as seq from (select *, row_number() over (order by run % 2, seq) as rank from log) group by all),
+ m as (select half + 1 as table_id, 0 as level, 'L0_' || (half + 1) as name, min(key) as min_key, max(key) as max_key, count(*) as n, cast(sum(16 + strlen(key) + v) as bigint) as bytes, max(seq) as max_seq from t group by half)
+ select *, cast((select max(table_id) + 1 from m) as bigint) as next_id from m""",
+    "reopen": f"with {LOG}, x as (select * from log qualify row_number() over (partition by key order by run % 2 desc, seq desc) = 1) select key, value, 1::bigint as tables, true as emptied from x where not tombstone",
+    "log_get": f"with {LATEST}, {PROBES} select k.key, l.value, l.key is not null as found from (select distinct key from probes) k left join (select * from l where not tombstone) l on l.key = k.key",
+    "bounded_buffer": f"with {LATEST} select 'small' as bound, 1::bigint as tables, (select count(*) from l) as entries, 0::bigint as logged union all select 'large', 0, 0, (select count(*) from log)",
+    "stream_ingest": f"with {LATEST} select key, value, tombstone, seq from l",
+    "shell_session": "select i::bigint as i, line from (values (0, 'ok'), (1, '1 2'), (2, 'ok'), (3, 'ok'), (4, '(nil)'), (5, '(nil)'), (6, 'unknown command: NOPE'), (7, 'ok'), (8, 'ok'), (9, '(nil)'), (10, 'ok'), (11, '1 2')) v(i, line)",
+    "entry_encode": f"""with {LATEST}, e as (select key, seq, lpad(hex(seq::ubigint), 16, '0') as s, lpad(hex(strlen(key)::uinteger), 8, '0') as k, case when tombstone then 'FFFFFFFF' else lpad(hex(strlen(value)::uinteger), 8, '0') end as v, hex(encode(key)) || coalesce(hex(encode(value)), '') as body from l)
+ select key, seq, {" || ".join(f"substr(s, {at}, 2)" for at in range(15, 0, -2))} || {" || ".join(f"substr(k, {at}, 2)" for at in range(7, 0, -2))} || {" || ".join(f"substr(v, {at}, 2)" for at in range(7, 0, -2))} || body as record from e""",
+    "bloom_tuned": f"with {R}, {FILTERS.replace('* 8, 8)', '* 3, 8)').replace('range(0, 6)', 'range(0, 2)')} select run, bit_count, 2 as hash_count, count(*) as n_bits, cast(sum(bit) as bigint) as bit_sum from bits group by all",
     "streaming_latest": f"with {LATEST} select key, value, tombstone, seq from l",
 }
