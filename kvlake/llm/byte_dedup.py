@@ -149,6 +149,52 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([k1, k2, start, count, core, pa.array(data, pa.binary()), w1, w2], fields)
 
 
+def refine(data: bytes, bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the LENGTH-byte strings at `at` occur twice in their bucket; `bucket` numbers the bucket of each byte.
+
+    Buckets of 8-grams are refined by sorting on the bucket identifiers of offset and offset + h; the identifiers made are
+    those of the next round, with h doubled. Only places whose bucket has another member go on; the places that a round
+    looks up went through the round before with them."""
+    ids = np.full(len(data), -1, np.int64)
+    live, twice = at, np.zeros(len(at), bool)
+    size = 8
+    word = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+    def numbered(places: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        """Identifiers by sorted order; -1 for a key that only one place has."""
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(places), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        rank = np.cumsum(new) - 1
+        alone = np.bincount(rank, minlength=1) == 1
+        out = np.empty(len(places), np.int64)
+        out[order] = np.where(alone[rank], -1, rank)
+        return out
+
+    places = np.unique(np.concatenate([live + k for k in range(0, LENGTH - 7, 8)])) if len(live) else live
+    ids[places] = numbered(places, bucket[places], word[places])
+    while size * 2 <= LENGTH and len(live):
+        # the places that strings still in question ask for in the rounds to come: multiples of the length reached, and the end's
+        live = live[(ids[live] >= 0)]
+        ask = [live + k for k in range(0, LENGTH - 2 * size + 1, 2 * size)] + [live + LENGTH - 2 * size - k for k in range(0, LENGTH - 2 * size + 1, 2 * size)]
+        places = np.unique(np.concatenate(ask))
+        one, two = ids[places], ids[places + size]
+        known = (one >= 0) & (two >= 0)
+        made = np.full(len(places), -1, np.int64)
+        made[known] = numbered(places[known], one[known], two[known])
+        ids = np.full(len(data), -1, np.int64)
+        ids[places] = made
+        size *= 2
+    first, last = ids[live], ids[live + LENGTH - size] if len(live) else ids[live]
+    known = (first >= 0) & (last >= 0)
+    whole = numbered(live[known], bucket[live[known]], first[known], last[known])
+    place = np.searchsorted(at, live[known])
+    twice[place] = whole >= 0
+    return twice
+
+
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each row of whole buckets, the span from its first to its last repeated window. All windows of a row hold the
     bucket's core, so what its repeated windows cover is one span."""
@@ -157,15 +203,10 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = t.column("bytes").combine_chunks()
         sizes = count - 1 + LENGTH
         base = np.cumsum(sizes) - sizes
-        named = _Names(b"".join(data.to_pylist()))
         row = np.repeat(np.arange(len(count)), count)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        at, size = base[row] + inside, np.full(len(row), LENGTH)
-        w1, w2 = named.of(at, size, 0), named.of(at, size, 1)
-        order = np.lexsort((w2, w1, core[row]))
-        equal = (core[row][order][1:] == core[row][order][:-1]) & (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-        twice = np.zeros(len(row), bool)
-        twice[order] = np.append(equal, False) | np.append(False, equal)
+        bucket = np.repeat(np.cumsum(np.append(True, core[1:] != core[:-1])), sizes)
+        twice = refine(b"".join(data.to_pylist()), bucket, base[row] + inside)
         row, inside = row[twice], inside[twice]
         lo, hi = np.full(len(count), 1 << 40), np.full(len(count), -1)
         np.minimum.at(lo, row, inside)

@@ -89,6 +89,47 @@ def test_byte_dedup(docs, empty):
     assert byte_dedup.remove_repeats(empty).count() == 0
 
 
+def cut_plainly(texts):
+    """Counts of (doc_id, bytes kept, removed runs, bytes) by all windows of all texts."""
+    seen, out = Counter(), Counter()
+    for _, t in texts:
+        d = (t or "").encode()
+        seen.update(d[p:p + 200] for p in range(len(d) - 199))
+    for i, t in texts:
+        d = (t or "").encode()
+        kept, gone = byte_dedup.cut(d, [(p, p + 200) for p in range(len(d) - 199) if seen[d[p:p + 200]] > 1])
+        out[i, kept, len(gone), len(d)] += 1
+    return out
+
+
+@pytest.mark.parametrize("group, seed", [(512, 1), (3, 2), (1, 3)])
+def test_byte_dedup_of_repetitive_texts(spark, monkeypatch, group, seed):
+    """Passages of many lengths around 200 bytes, cut and joined at random, of few letters and of many; a hot passage; ids
+    that are missing and repeated."""
+    monkeypatch.setattr(byte_dedup, "GROUP", group)
+    rnd = np.random.default_rng(seed)
+    pool = ["".join(rnd.choice(list(a), int(n))) for a in ("ab", "abcdefghij é") for n in rnd.integers(150, 420, 8)] + ["x" * 350, "ab" * 170]
+    texts = []
+    for i in range(60):
+        parts = [p[rnd.integers(0, 60):len(p) - rnd.integers(0, 60)] for p in rnd.choice(pool, rnd.integers(1, 4))]
+        texts.append((None if i % 9 == 0 else i // 2, " ".join([*parts, "hot " + pool[8]] if i % 3 else parts)))
+    texts += [(500, None), (501, ""), (502, "z" * 199), (503, "z" * 200)]
+    got = Counter((r.doc_id, bytes(r.kept), len(r.removed), r.n_bytes) for r in byte_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").withColumn("data", F.lit(1)).repartition(5)).collect())
+    assert got == cut_plainly(texts)
+
+
+def test_refinement():
+    rnd = np.random.default_rng(6)
+    for letters, n in ((1, 900), (2, 3000), (3, 2500), (40, 2000)):
+        data = bytes(rnd.integers(97, 97 + letters, n).astype(np.uint8))
+        data = data + data[100:420] + b"!" + data[50:300]
+        bucket = np.sort(rnd.integers(0, 3, len(data)))
+        at = np.array([p for p in range(len(data) - 199) if bucket[p] == bucket[p + 199] and rnd.random() < .8], np.int64)
+        seen = Counter((bucket[p], data[p:p + 200]) for p in at)
+        assert byte_dedup.refine(data, bucket, at).tolist() == [seen[bucket[p], data[p:p + 200]] > 1 for p in at]
+    assert byte_dedup.refine(b"", np.empty(0, np.int64), np.empty(0, np.int64)).tolist() == []
+
+
 def test_bpe(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
