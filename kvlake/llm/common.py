@@ -58,10 +58,13 @@ def components(edges: DataFrame) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a")
         e2 = tidy(small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b"))
-        e = scratch.written(e2, "edges")
+        e, old = scratch.written(e2, "edges"), e
+        scratch.drop(old)
         now = measure(e)
         if now == seen:
             break
         seen = now
     roots = e.select(F.col("b").alias("node")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out._scratch = [e]  # for the caller to drop when it has read the result
+    return out

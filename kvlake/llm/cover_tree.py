@@ -370,6 +370,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     comp = components(found.filter("b <> -1").select("a", "b"))
     table = nodes.select("label", "k", "least", "m", "node").join(weights, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     table = scratch.written(table, "reached")
+    scratch.drop(nodes, found, *comp._scratch)
     least = table.groupBy("component").agg(F.min("least").alias("id"))
     table = table.join(least, "component").select(F.col("label").alias("l"), F.col("k").alias("q"), (F.col("m") - 1 + F.coalesce("w", F.lit(0))).alias("n"), "id")
     joined = rows.select("vec_id", "label", "k").join(table, (F.col("label") == F.col("l")) & (F.col("k") == F.col("q")), "left")

@@ -56,17 +56,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
-MARKS = "row long, fp long, sim long, n long, keys array<long>"
+MARKS = "fp long, sim long, n long, keys array<long>"
 
 
 def marks(sketch):
-    """For each (row, text): the hash of the set of shingles, its SimHash by `sketch`, its size and its band keys."""
+    """For each (text, row): the hash of the set of shingles, its SimHash by `sketch`, its size and its band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = [shingles(t.as_py()) for t in b.column(1)]
+            sets = [shingles(t.as_py()) for t in b.column(0)]
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.record_batch([b.column(0), longs([set_hash(s) for s in sets]), longs([sketch(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
-                                   pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], [f.split()[0] for f in MARKS.split(", ")])
+            yield pa.record_batch([b.column(1), longs([set_hash(s) for s in sets]), longs([sketch(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
+                                   pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["row", *[f.split()[0] for f in MARKS.split(", ")]])
 
     return run
 

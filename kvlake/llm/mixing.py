@@ -24,7 +24,7 @@ DIGITS = 3
 
 
 def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
-    return docs.select(*([F.col(row).cast("long").alias("row")] if row else []), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(*([F.col(row).alias("row")] if row else []), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bud
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = SEED, row: str | None = None) -> DataFrame:
     """(doc_id, key, source, size, source_size, target, whole, part, taken): key is the text's hash, `whole` copies of the document and `part` words of one more.
-    With `row`, a column of numbers that tell rows apart, that number too, as `row`.
+    With `row`, a column that tells rows apart, that column too, as `row`.
 
     The order within a source is by a seeded hash. Its first hex digits make groups whose sizes are summed map-side;
     running sums over those sums say where the fill ends, and rows are ordered only inside a group."""

@@ -149,23 +149,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id): the smallest doc_id that links reach, itself included; NULL if they reach none."""
     fps = scratch.written(fingerprints(docs, id_col, text_col, ngram), "simhash")
     nodes = scratch.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    comp = components(links(nodes.select("fp", F.col("fp").alias("rep")))).withColumnRenamed("node", "fp")
-    reached = scratch.written(nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "reached")
+    comp = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    reached = scratch.written(nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "reached")
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     label = scratch.written(reached.join(least, "component").select("fp", "component_id"), "labels")
+    scratch.drop(nodes, reached, *comp._scratch)
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_copies(docs: DataFrame, row: str = "__row", text_col: str = "text") -> DataFrame:
     """(row, component): documents linked by a Jaccard similarity of 0.8 or more of their sets of five-word shingles, as
-    compared exactly on whole texts; `row` is a column of numbers that tell rows apart, `component` names the group.
+    compared exactly on whole texts; `row` is a column that tells rows apart, `component` names the group.
 
     SimHash links of the sets (within `TAU` bits, by the pigeonring filter) and shared MinHash bands only propose: what they
     connect is a cluster, inside which the sets are compared. Cases: words are those of `fingerprint`; a text of up to five
     words is one shingle, a NULL or empty text has none, and equal sets (also empty ones) are one node; two different sets
     of which one has fewer than 4 shingles are never similar enough; an empty table gives an empty result."""
-    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(text_col).cast("binary").alias("t"))
-    marks = scratch.written(rows.mapInArrow(minhash.marks(sketch), minhash.MARKS), "marks")
+    rows = docs.select(F.col(text_col).cast("binary").alias("t"), F.col(row).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    marks = scratch.written(rows.mapInArrow(minhash.marks(sketch), f"row {kind}, {minhash.MARKS}"), "marks")
     one = scratch.written(marks.groupBy("fp").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.min("sim").alias("sim")), "sets")
     some = one.filter("n >= 4").select("fp", "sim")
     near = some.groupBy("sim").agg(F.min("fp").alias("rep"))
@@ -180,8 +182,10 @@ def near_copies(docs: DataFrame, row: str = "__row", text_col: str = "text") ->
     texts = rows.join(dealt, "row").select("cluster", "fp", "blocks", "t")
     sets = texts.mapInArrow(minhash.sets, "cluster long, fp long, blocks array<long>, hashes array<long>").select("cluster", "fp", "hashes", F.explode("blocks").alias("block"))
     comp = components(sets.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(minhash.similar, "a long, b long"))
-    label = scratch.written(comp.select(F.col("node").alias("fp"), "component"), "copies")
-    return marks.select("row", "fp").join(label, "fp", "left").select("row", F.coalesce("component", "fp").alias("component"))
+    label = marks.select("row", "fp").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("row", F.coalesce("component", "fp").alias("component"))
+    label = scratch.written(label, "copies")
+    scratch.drop(marks, one, shared, members, *clusters._scratch, *comp._scratch)
+    return label
 
 
 def hex_fingerprint(fp):
