@@ -14,15 +14,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, out="__score").filter("__score < 0.5").drop("__score")
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with numbers that tell them apart, written so that they keep them."""
-    return scratch.written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with `__row`, which tells them apart: of a table in files their file and place in it, else they are written
+    with numbers first, so that they keep them."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and docs.inputFiles():
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("__row"))
+    return scratch.written(docs.withColumn("__row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more): of smallest doc_id, rows
     without one last, then by hash of the row. Rows that share a doc_id are apart unless they are near copies."""
-    rows = _numbered(docs, "numbered")
+    rows = _numbered(docs)
     about = rows.select(F.col("__row").alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), F.col("__row").alias("row")).alias("order"))
     kept = simhash.near_copies(rows).join(about, "row").groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
@@ -37,7 +40,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole copy that the mix takes, and one with the first words of a copy taken in part. Texts without
     words take part in no mix and stay as they are."""
-    rows = _numbered(docs, "numbered")
+    rows = _numbered(docs)
     share = mixing.mix(rows, row="__row").select(F.col("row").alias("__row"), F.col("whole").alias("__whole"), F.col("part").alias("__part"), F.col("size").alias("__size"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<long>")))
     copies = F.when(F.col("__size") == 0, F.array(F.lit(-1).cast("long"))).otherwise(copies)
