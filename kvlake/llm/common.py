@@ -53,13 +53,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = measure(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = tidy(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        # written first, so that the join sees two plain shuffles and splits a hub
+        low = scratch.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = scratch.written(tidy(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
+        low2 = scratch.written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low2, "a")
         e2 = tidy(small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b"))
         e, old = scratch.written(e2, "edges"), e
-        scratch.drop(old)
+        scratch.drop(old, low, large, low2)
         now = measure(e)
         if now == seen:
             break
