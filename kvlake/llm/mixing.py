@@ -36,16 +36,18 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bud
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
     rows = ordered.ranked(per, "last", "source", rank="rank").withColumn("w", w).withColumn("cap", F.col("source_size") * max_epochs)
     rows = ordered.numbered(rows.withColumn("fill", F.col("cap") / F.col("w")), "fill", "last", "source")
-    all_ = rows.agg(F.sum("w").alias("w_all"), F.sum("source_size").cast("double").alias("total"))
-    rows = rows.join(F.broadcast(ordered.before(rows, [], __cap=F.col("cap"), __w=F.col("w"))), ordered.PART).crossJoin(F.broadcast(all_))  # a row a partition; one row
+    all_ = rows.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.coalesce(F.sum("source_size"), F.lit(0)).cast("double").alias("size")).first()
+    rows = rows.join(F.broadcast(ordered.before(rows, [], __cap=F.col("cap"), __w=F.col("w"))), ordered.PART)  # a row a partition
     here = lambda c: F.coalesce(F.sum(c).over(ordered.earlier_rows([])), F.lit(0))
-    total = F.lit(float(budget)) if budget is not None else F.col("total")
-    rows = rows.withColumn("left", total - (F.col("__cap") + here("cap"))).withColumn("w_left", F.col("w_all") - (F.col("__w") + here("w")))
+    total = F.lit(float(budget if budget is not None else all_["size"]))
+    rows = rows.withColumn("left", total - (F.col("__cap") + here("cap"))).withColumn("w_left", F.lit(all_["w"]) - (F.col("__w") + here("w")))
     rows = scratch.written(rows.withColumn("level", F.col("left") / F.col("w_left")), "levels")
-    free = F.when(F.col("cap") >= F.col("w") * F.col("level"), F.struct(ordered.PART, ordered.ROW, "level"))
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.min(free).alias("at"))))
-    clamped = F.col("at").isNull() | (F.struct(ordered.PART, ordered.ROW) < F.struct("at." + ordered.PART, "at." + ordered.ROW))
-    return rows.select("source", "source_size", F.when(clamped, F.col("cap").cast("double")).otherwise(F.col("w") * F.col("at.level")).alias("target"))
+    first = rows.filter(F.col("cap") >= F.col("w") * F.col("level")).agg(F.min(F.struct(ordered.PART, ordered.ROW, "level")).alias("at")).first()["at"]
+    cap = F.col("cap").cast("double")
+    if first is None:
+        return rows.select("source", "source_size", cap.alias("target"))
+    clamped = F.struct(ordered.PART, ordered.ROW) < F.struct(F.lit(first[0]).cast("long").alias(ordered.PART), F.lit(first[1]).cast("long").alias(ordered.ROW))
+    return rows.select("source", "source_size", F.when(clamped, cap).otherwise(F.col("w") * F.lit(first[2])).alias("target"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float | None = None, seed: int = SEED, row: str | None = None) -> DataFrame:
