@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kvlake.llm.common import whole_groups
+from kvlake.llm.common import group_bounds, whole_groups
 from kvlake.sources import scratch
 
 LENGTH, GRAM, STEP = 200, 32, 64
-#: Rows of a bucket that one task sorts.
-GROUP = 512
+#: Rows of a bucket that one task sorts, and windows it refines at once, about.
+GROUP, WINDOWS = 512, 1 << 14
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
 CORE = LENGTH - STEP + 1  # bytes that STEP neighbouring windows share
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -197,22 +197,27 @@ def refine(data: bytes, bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each row of whole buckets, the span from its first to its last repeated window. All windows of a row hold the
-    bucket's core, so what its repeated windows cover is one span."""
+    bucket's core, so what its repeated windows cover is one span. Buckets are taken together up to `WINDOWS` windows."""
     for t in whole_groups(batches, ["core"]):
-        k1, k2, start, count, core = (t.column(c).to_numpy() for c in ("k1", "k2", "start", "windows", "core"))
-        data = t.column("bytes").combine_chunks()
-        sizes = count - 1 + LENGTH
-        base = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(count)), count)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        bucket = np.repeat(np.cumsum(np.append(True, core[1:] != core[:-1])), sizes)
-        twice = refine(b"".join(data.to_pylist()), bucket, base[row] + inside)
-        row, inside = row[twice], inside[twice]
-        lo, hi = np.full(len(count), 1 << 40), np.full(len(count), -1)
-        np.minimum.at(lo, row, inside)
-        np.maximum.at(hi, row, inside)
-        some = hi >= 0
-        yield pa.record_batch([pa.array(x[some]) for x in (k1, k2, start + lo, start + hi + LENGTH)], ["k1", "k2", "start", "end"])
+        bounds = group_bounds(t.column("core").to_numpy())
+        windows = np.append(0, np.cumsum(t.column("windows").to_numpy()))
+        part = (windows[bounds[:-1]] // WINDOWS).astype(np.int64)
+        cuts = np.append(bounds[:-1][np.append(True, part[1:] != part[:-1])], bounds[-1])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            rows = t.slice(lo, hi - lo)
+            k1, k2, start, count, core = (rows.column(c).to_numpy() for c in ("k1", "k2", "start", "windows", "core"))
+            sizes = count - 1 + LENGTH
+            base = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(count)), count)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            bucket = np.repeat(np.cumsum(np.append(True, core[1:] != core[:-1])), sizes)
+            twice = refine(b"".join(rows.column("bytes").to_pylist()), bucket, base[row] + inside)
+            row, inside = row[twice], inside[twice]
+            first, last = np.full(len(count), 1 << 40), np.full(len(count), -1)
+            np.minimum.at(first, row, inside)
+            np.maximum.at(last, row, inside)
+            some = last >= 0
+            yield pa.record_batch([pa.array(x[some]) for x in (k1, k2, start + first, start + last + LENGTH)], ["k1", "k2", "start", "end"])
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:

@@ -102,11 +102,12 @@ def cut_plainly(texts):
     return out
 
 
-@pytest.mark.parametrize("group, seed", [(512, 1), (3, 2), (1, 3)])
-def test_byte_dedup_of_repetitive_texts(spark, monkeypatch, group, seed):
+@pytest.mark.parametrize("group, windows, seed", [(512, 1 << 14, 1), (512, 100, 4), (3, 1 << 14, 2), (1, 1, 3)])
+def test_byte_dedup_of_repetitive_texts(spark, monkeypatch, group, windows, seed):
     """Passages of many lengths around 200 bytes, cut and joined at random, of few letters and of many; a hot passage; ids
     that are missing and repeated."""
     monkeypatch.setattr(byte_dedup, "GROUP", group)
+    monkeypatch.setattr(byte_dedup, "WINDOWS", windows)
     rnd = np.random.default_rng(seed)
     pool = ["".join(rnd.choice(list(a), int(n))) for a in ("ab", "abcdefghij é") for n in rnd.integers(150, 420, 8)] + ["x" * 350, "ab" * 170]
     texts = []
