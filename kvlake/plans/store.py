@@ -121,8 +121,8 @@ class KVStore:
         if order is not None:
             rows = rows.repartitionByRange("__at").sortWithinPartitions("__at").drop("__at")
         path = f"{self.root}/log/{uuid.uuid4().hex}"
-        rows.withColumn(_ORD, F.monotonically_increasing_id()).write.parquet(path)
-        counts = self.spark.read.parquet(path).groupBy(F.shiftright(_ORD, 33).alias("p")).agg(F.count("*").alias("n"), F.sum(stats.encoded_size(F.col("key"), F.col("value"))).alias("b")).collect()
+        rows.withColumn("__bytes", stats.encoded_size(F.col("key"), F.col("value"))).withColumn(_ORD, F.monotonically_increasing_id()).write.parquet(path)
+        counts = self.spark.read.parquet(path).groupBy(F.shiftright(_ORD, 33).alias("p")).agg(F.count("*").alias("n"), F.sum("__bytes").alias("b")).collect()
         offsets, total = {}, 0
         for r in sorted(counts, key=lambda r: r.p):
             offsets[str(r.p)] = total
