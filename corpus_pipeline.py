@@ -1,4 +1,10 @@
-"""A corpus pipeline over `documents`: five stages, each written as Parquet and read again as the next one's input."""
+"""A corpus pipeline over `documents`: five stages, each written as Parquet and read again as the next one's input.
+
+Cases: a NULL or empty text passes the classifier, is a copy of other empty ones, holds nothing private, takes part in no mix
+and has no tokens; very long texts go through whole; of ties one row stays or comes first by hash of the row; repeated rows
+are copies in the near-dedup, and in the mix each takes its own share; rows without doc_id, source or label are rows like
+others; columns of any other name pass through up to the last stage, which replaces `ids` and `n_tokens`; names that start
+with two underscores are the stages' own; empty tables give empty results."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
