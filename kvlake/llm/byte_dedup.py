@@ -27,6 +27,8 @@ from kvlake.sources import scratch
 LENGTH, GRAM, STEP = 200, 32, 64
 #: Rows of a bucket that one task sorts, and windows it refines at once, about.
 GROUP, WINDOWS = 512, 1 << 14
+#: Windows that one task refines, about.
+TASK_WINDOWS = 1 << 19
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
 CORE = LENGTH - STEP + 1  # bytes that STEP neighbouring windows share
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -280,7 +282,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = judged.filter("first or not whole").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows", "core", "large")).alias("runs"))
     opened = scratch.written(long_.join(mixed, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_opened, OPENED), "opened")
     small = opened.filter("bytes is not null").select("k1", "k2", "start", "windows", "core", "bytes")
-    settled = small.repartition("core").sortWithinPartitions("core").mapInArrow(_settled, "k1 long, k2 long, start long, end long")
+    # tasks of a bounded number of windows, however large the corpus
+    n = small.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_WINDOWS)
+    settled = small.repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_settled, "k1 long, k2 long, start long, end long")
     large = opened.filter("bytes is null").select("k1", "k2", "start", "w1", "w2")
     twice = scratch.written(large.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "twice")
     large = large.join(twice, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
