@@ -33,7 +33,7 @@ from kvlake.sources import fs, scratch
 
 COSINE = 0.98
 #: Nodes of a block about, sampled vectors for pivots, and pivots of a label, at most.
-BLOCK, SAMPLE, PIVOTS = 32768, 2048, 128
+BLOCK, SAMPLE, PIVOTS = 16384, 2048, 128
 #: Centres, and their partners, whose distances are held at once; coordinates of the projection.
 ROWS, COLUMNS, PROJECTED = 256, 2048, 16
 #: Added to bounds on distances, and on squared distances in single precision.
@@ -49,8 +49,15 @@ def _cover(u: np.ndarray, left: np.ndarray, radius: float, new: np.ndarray, made
     while left.size:
         near = u[left[:ROWS]] @ u[left].T >= 1 - radius * radius / 2
         taken = np.zeros(len(left), bool)
+        alone = np.count_nonzero(near, axis=1) <= 1
         for c in range(min(ROWS, len(left))):
-            if not taken[c]:
+            if taken[c]:
+                continue
+            if alone[c]:
+                new[left[c]] = len(made)
+                made.append(left[c])
+                taken[c] = True
+            else:
                 hit = near[c] & ~taken
                 hit[c] = True
                 new[left[hit]] = len(made)
