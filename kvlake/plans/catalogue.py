@@ -148,11 +148,13 @@ def q_manifest_rebuild(spark, d):
 
 
 def q_reopen(spark, d):
-    """What is read after some rows were flushed by closing, some only logged, and the log was emptied by the flush."""
+    """What is read after some rows were flushed by closing, some only logged, and the log was emptied by the flush.
+
+    The buffer has no bound, so that only closing flushes, whatever the log's size."""
     both = _halves(spark, d)
-    with KVStore.open(spark, scratch.new_path(spark, "store")) as store:
+    with KVStore.open(spark, scratch.new_path(spark, "store"), flush_bytes=1 << 62) as store:
         store.apply(bare(both[0]), order="seq")
-    again = KVStore.open(spark, store.root)
+    again = KVStore.open(spark, store.root, flush_bytes=1 << 62)
     emptied = again.log().isEmpty()
     again.apply(bare(both[1]), order="seq")
     final = KVStore.open(spark, store.root)

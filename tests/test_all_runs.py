@@ -4,7 +4,9 @@ from datetime import datetime
 import pytest
 
 from kvlake.functions import bloom
+from kvlake.operators import compaction
 from kvlake.plans import catalogue
+from kvlake.plans.store import KVStore
 
 RUNS, PER_RUN = 25, 40
 
@@ -97,3 +99,12 @@ def test_block_floor(spark, small):
 def test_fence_prune(spark, small):
     want = [(r, k) for r, run in small[1].items() for k in small[2] if min(run) <= k <= max(run)]
     assert got(spark, small, "fence_prune", "run", "key") == sorted(want, key=repr)
+
+
+def test_reopen_of_a_log_over_the_bound(spark, small, monkeypatch):
+    monkeypatch.setattr(KVStore.__init__, "__defaults__", (compaction.THRESHOLDS, 1))
+    want = {}
+    for half in (0, 1):
+        for r in sorted(small[1])[half::2]:
+            want |= small[1][r]
+    assert got(spark, small, "reopen", "key", "value", "tables", "emptied") == sorted(((k, v, 1, True) for k, v in want.items() if v is not None), key=repr)
