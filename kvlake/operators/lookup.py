@@ -40,21 +40,36 @@ def fence_prune(keys: DataFrame, fences: DataFrame) -> DataFrame:
     return ordered.intervals(keys.select("key"), fences.select("run", "min_key", "max_key"), "min_key", "max_key", "key").select("key", "run")
 
 
+def _steps(keys: DataFrame, indexes: list[tuple[DataFrame, str, list[str]]], by: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Pieces of ranks of the sorted keys on which a run's floors stay the same, as (by, p0, p1, .., __lo, __hi), the keys
+    with their ranks, and how many keys and runs there are.
+
+    Keys and index rows are merged by one sort over range partitions; a window inside a partition carries floors forward
+    and ends a piece where the run's next begins, and a partition takes both over from those beside it."""
+    kinds = [index.select(F.struct(*payload).alias("p")).schema["p"].dataType for index, _, payload in indexes]
+    ps = [f"p{n}" for n in range(len(indexes))]
+    run = indexes[0][0].schema[by].dataType
+    marks = [index.select(F.col(at).alias("key"), F.lit(0).alias("__kind"), by, *[(F.struct(*payload) if p == f"p{n}" else F.lit(None).cast(kind)).alias(p) for p, kind in zip(ps, kinds)]) for n, (index, at, payload) in enumerate(indexes)]
+    probes = keys.select("key").distinct().select("key", F.lit(1).alias("__kind"), F.lit(None).cast(run).alias(by), *[F.lit(None).cast(kind).alias(p) for p, kind in zip(ps, kinds)])
+    rows = ordered.placed(lww.union_all(probes, *marks), "key", "__kind", by)
+    points, rows = rows.filter("__kind = 1").select("__rank", "key"), rows.filter("__kind = 0")
+    total, share = points.count(), [by, ordered.PART]
+    shares = rows.groupBy(*share).agg(F.min("__rank").alias("first"), *[F.max_by(p, F.when(F.col(p).isNotNull(), F.col(ordered.ROW))).alias(p) for p in ps])
+    along = Window.partitionBy(by).orderBy(ordered.PART)
+    beside = shares.select(*share, F.lead("first").over(along).alias("next"), *[F.last(p, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias(f"carried_{p}") for p in ps])
+    here = ordered.earlier_rows([by], inclusive=True)
+    rows = rows.join(beside, share).withColumns({
+        "__lo": F.col("__rank"), "__hi": F.coalesce(F.lead("__rank").over(Window.partitionBy(*share).orderBy(ordered.ROW)), F.col("next"), F.lit(total)),
+        **{p: F.coalesce(F.last(p, ignorenulls=True).over(here), F.col(f"carried_{p}")) for p in ps}})
+    heads = shares.groupBy(by).agg(F.lit(0).cast("long").alias("__lo"), F.min("first").alias("__hi")).select(by, *[F.lit(None).cast(kind).alias(p) for p, kind in zip(ps, kinds)], "__lo", "__hi")
+    return rows.select(heads.columns).unionByName(heads), points, total, shares.select(by).distinct().count()
+
+
 def floor_join(keys: DataFrame, index: DataFrame, index_key: str, payload: list[str], by: str = "run") -> DataFrame:
-    """As-of lookup: for each key and run, the payload of the greatest index key that is not above it, else NULLs.
-
-    Probe rows and index rows are merged by one sort over range partitions; a window inside a partition carries the last
-    index row forward, and a partition starts with the last one of those before it."""
-    kind = index.select(F.struct(*payload).alias("p")).schema["p"].dataType
-    probes = keys.select("key").distinct().crossJoin(index.select(by).distinct()).select(by, "key", F.lit(1).alias("probe"), F.lit(None).cast(kind).alias("p"))
-    marks = index.select(by, F.col(index_key).alias("key"), F.lit(0).alias("probe"), F.struct(*payload).alias("p"))
-    rows = ordered.numbered(probes.unionByName(marks), by, "key", "probe")
-    share = [by, ordered.PART]
-    last = rows.groupBy(*share).agg(F.max_by("p", F.when(F.col("probe") == 0, F.col(ordered.ROW))).alias("last"))
-    earlier = Window.partitionBy(by).orderBy(ordered.PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*share, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    rows = rows.join(carried, share).withColumn("p", F.coalesce(F.last("p", ignorenulls=True).over(ordered.earlier_rows([by], inclusive=True)), F.col("carried")))
-    return rows.filter("probe = 1").select(by, "key", *[F.col("p")[c].alias(c) for c in payload])
+    """As-of lookup: for each key and run, the payload of the greatest index key that is not above it, else NULLs."""
+    pieces, points, total, runs = _steps(keys, [(index, index_key, payload)], by)
+    both = ordered.with_points(ordered.blocks_of(pieces), points, total, runs, by)
+    return both.select(by, *[F.col("p0")[c].alias(c) for c in payload], F.inline(ordered.part_of_block())).select(by, "key", *payload)
 
 
 def debug_lookup(keys: DataFrame, filters: DataFrame, sparse: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kvlake.sources import scratch
 
 PART, ROW = "__part", "__row"
-#: Ranks that share a block when intervals of ranks are joined.
-BLOCK = 4096
+#: Ranks that share a block, and pairs that a block and a share of its pieces make at most, about.
+BLOCK = 8192
+PAIRS = 1 << 23
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -40,6 +41,45 @@ def ranked(df: DataFrame, *order: str, rank: str = "i") -> DataFrame:
     return rows.join(F.broadcast(base), PART).withColumn(rank, F.col("__n") + F.col(ROW)).select(*df.columns, rank)  # one row per partition
 
 
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows`, written, with their partition, place, and the number of points (rows of `__kind` 1) before each in `order`."""
+    kept = rows.columns
+    rows = numbered(rows, *order)
+    point = F.when(F.col("__kind") == 1, 1).otherwise(0)
+    base = before(rows, [], __n=point)
+    rows = rows.join(F.broadcast(base), PART).withColumn("__rank", F.col("__n") + F.coalesce(F.sum(point).over(earlier_rows([])), F.lit(0)))
+    return scratch.written(rows.select(*kept, PART, ROW, "__rank"), "ranks")
+
+
+def blocks_of(pieces: DataFrame) -> DataFrame:
+    """Each piece of ranks [`__lo`, `__hi`) with each block that it meets."""
+    return pieces.filter("__hi > __lo").withColumn("__block", F.explode(F.sequence(F.expr(f"__lo div {BLOCK}"), F.expr(f"(__hi - 1) div {BLOCK}"))))
+
+
+def part_of_block() -> Column:
+    """Of the points of a block, those that a piece holds."""
+    start = F.col("__block") * BLOCK
+    low = F.greatest(F.col("__lo") - start, F.lit(0))
+    n = F.least(F.col("__hi") - start, F.lit(BLOCK)) - low
+    return F.when(n >= F.size("__points"), F.col("__points")).otherwise(F.slice("__points", (low + 1).cast("int"), n.cast("int")))
+
+
+def with_points(rows: DataFrame, points: DataFrame, total: int, groups: int, by: str) -> DataFrame:
+    """`rows`, of `groups` values of `by` and a `__block`, with the block's points as one array `__points`.
+
+    Pairs are made only when the array is unpacked, after the last shuffle: what moves is a row for a group and block, and
+    each block once for a share of the groups. Shuffles are by number, as their bytes do not tell the pairs."""
+    columns = [c for c in points.columns if c != "__rank"]
+    shares, blocks = 1 + groups * BLOCK // PAIRS, 1 + total // BLOCK
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(2 * blocks * shares, max(wanted, total * groups // PAIRS))
+    packed = points.groupBy(F.expr(f"__rank div {BLOCK}").alias("__block")).agg(F.array_sort(F.collect_list(F.struct("__rank", *columns))).alias("__points"))
+    packed = packed.withColumn("__points", F.transform("__points", lambda x: F.struct(*[x[c].alias(c) for c in columns])))
+    packed = packed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    rows = rows.withColumn("__share", F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
+    return rows.repartition(parts, "__block", "__share").join(packed.repartition(parts, "__block", "__share"), ["__block", "__share"])
+
+
 def intervals(points: DataFrame, spans: DataFrame, low: str, high: str, on: str) -> DataFrame:
     """Each row of `spans` with each row of `points` whose `on` lies in [low, high], both ends included; a NULL end is open.
 
@@ -51,14 +91,10 @@ def intervals(points: DataFrame, spans: DataFrame, low: str, high: str, on: str)
     marks = points.select(on, *[c for c in points.columns if c != on], F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__span"))
     for column, kind in ((low, 0), (high, 2)):
         marks = marks.unionByName(spans.filter(F.col(column).isNotNull()).select(F.col(column).alias(on), *none, F.lit(kind).alias("__kind"), "__span"))
-    rows = numbered(marks, on, "__kind")
-    point = F.when(F.col("__kind") == 1, 1).otherwise(0)
-    base = before(rows, [], __n=point)
-    rows = rows.join(F.broadcast(base), PART).withColumn("__rank", F.col("__n") + F.coalesce(F.sum(point).over(earlier_rows([])), F.lit(0)))
-    rows = scratch.written(rows.select(*points.columns, "__kind", "__span", "__rank"), "ranks")
+    rows = placed(marks, on, "__kind")
     ends = rows.filter("__kind <> 1").groupBy("__span").agg(F.max(F.when(F.col("__kind") == 0, F.col("__rank"))).alias("__lo"), F.max(F.when(F.col("__kind") == 2, F.col("__rank"))).alias("__hi"))
-    total = rows.filter("__kind = 1").count()
+    met = rows.filter("__kind = 1").select("__rank", *points.columns)
+    total = met.count()
     full = spans.join(ends, "__span", "left").withColumns({"__lo": F.coalesce("__lo", F.lit(0)), "__hi": F.coalesce("__hi", F.lit(total))})
-    pieces = full.filter("__hi > __lo").withColumn("__block", F.explode(F.sequence(F.expr(f"__lo div {BLOCK}"), F.expr(f"(__hi - 1) div {BLOCK}"))))
-    met = rows.filter("__kind = 1").drop("__kind", "__span").withColumn("__block", F.expr(f"__rank div {BLOCK}")).join(pieces, "__block")
-    return met.filter("__rank >= __lo and __rank < __hi").drop("__block", "__rank", "__lo", "__hi", "__span")
+    both = with_points(blocks_of(full), met, total, spans.count(), "__span")
+    return both.select(*[c for c in spans.columns if c != "__span"], F.inline(part_of_block()))

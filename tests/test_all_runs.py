@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 
 from kvlake.functions import bloom
-from kvlake.operators import compaction
+from kvlake.operators import compaction, ordered
 from kvlake.plans import catalogue
 from kvlake.plans.store import KVStore
 
@@ -108,3 +108,42 @@ def test_reopen_of_a_log_over_the_bound(spark, small, monkeypatch):
         for r in sorted(small[1])[half::2]:
             want |= small[1][r]
     assert got(spark, small, "reopen", "key", "value", "tables", "emptied") == sorted(((k, v, 1, True) for k, v in want.items() if v is not None), key=repr)
+
+
+def moved(spark, frame):
+    """Rows that the making and reading of a query's result put into shuffles and tables."""
+    def stages():
+        jvm = spark.sparkContext._jvm
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteRecords() + found.apply(i).outputRecords() for i in range(found.size())}
+
+    before = stages()
+    rows = frame().count()
+    return rows, sum(n for at, n in stages().items() if at not in before)
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """Many keys and runs, few entries: 250 runs of 12 entries, 3,010 keys."""
+    d = str(tmp_path_factory.mktemp("wide"))
+    rows = spark.range(250 * 12).selectExpr(f"id div 12 * {catalogue.RUN_ROWS} + id % 12 as event_id", "timestamp'2024-01-01' as ts", "id * 37 % 3000 as user_id", "'view' as event_type", "0d as value", "'pp' as props")
+    rows.write.parquet(f"{d}/events.parquet")
+    spark.range(3000).selectExpr("id as c_custkey", "'c' as c_name", "0 as c_nationkey", "0d as c_acctbal", "'m' as c_mktsegment").write.parquet(f"{d}/customer.parquet")
+    spark.range(10).selectExpr("cast(id as int) as n_nationkey", "'n' as n_name", "0 as n_regionkey").write.parquet(f"{d}/nation.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["block_floor"])
+def test_pairs_are_not_moved(spark, wide, name):
+    rows, shuffled = moved(spark, lambda: catalogue.QUERIES[name](spark, wide))
+    assert rows == 3010 * 250
+    assert shuffled < rows / 5
+
+
+@pytest.mark.parametrize("blocks, pairs", [(2, 4), (7, 1 << 23), (64, 1000)])
+def test_blocks_and_shares_of_any_size(spark, small, monkeypatch, blocks, pairs):
+    monkeypatch.setattr(ordered, "BLOCK", blocks)
+    monkeypatch.setattr(ordered, "PAIRS", pairs)
+    test_sparse_floor(spark, small)
+    test_fence_prune(spark, small)
