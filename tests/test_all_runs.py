@@ -134,7 +134,7 @@ def wide(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["block_floor"])
+@pytest.mark.parametrize("name", ["block_floor", "sparse_floor"])
 def test_pairs_are_not_moved(spark, wide, name):
     rows, shuffled = moved(spark, lambda: catalogue.QUERIES[name](spark, wide))
     assert rows == 3010 * 250
