@@ -147,3 +147,15 @@ def test_blocks_and_shares_of_any_size(spark, small, monkeypatch, blocks, pairs)
     monkeypatch.setattr(ordered, "PAIRS", pairs)
     test_sparse_floor(spark, small)
     test_fence_prune(spark, small)
+
+
+def test_fences_meet_blocks_and_not_keys(spark, wide):
+    rows = catalogue.QUERIES["fence_prune"](spark, wide).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    at = store.executionsList().last().executionId()
+    nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+    joins = [n for n in map(nodes.apply, range(nodes.size())) if "Join" in n.name()]
+    counts = [m for n in joins for m in map(n.metrics().apply, range(n.metrics().size())) if m.name() == "number of output rows"]
+    joined = [int(values.apply(m.accumulatorId()).replace(",", "")) for m in counts]
+    assert rows > 100_000 and joined and max(joined) < rows / 5
