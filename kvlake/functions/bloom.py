@@ -121,6 +121,18 @@ def probe(keys: DataFrame, filters: DataFrame, by: str = "run") -> DataFrame:
     return rows.select(by, "bit_count", "hash_count", "key", is_set.alias("set")).groupBy(by, "bit_count", "hash_count", "key").agg(F.bool_and("set").alias("maybe"))
 
 
+def is_member(words: str, h1: str, h2: str, bits: Column, k: Column, most: int) -> Column:
+    """Whether all bits of a key are set in a filter of one segment; `most` is the greatest `k`. To be called inside `wrapping`.
+
+    Written out bit by bit: the first that is not set ends it, and nothing is interpreted."""
+    out = F.lit(True)
+    for i in range(most):
+        at = _position(F.lit(i).cast("long"), bits, h1, h2)
+        is_set = F.coalesce(F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1, F.lit(False))
+        out = out & (is_set if not i else (k <= i) | is_set)
+    return out
+
+
 def segments(key: str, bit_count: int, config: BloomConfig = BloomConfig()) -> set[int]:
     """The segments that one key's bits lie in, for reading no others."""
     def fold(basis: int, prime: int, add: int) -> int:

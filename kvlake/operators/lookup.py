@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kvlake.functions import bloom
 from kvlake.operators import lww, ordered
+from kvlake.sources import scratch
 
 
 def point_get(log: DataFrame, key: str) -> DataFrame:
@@ -72,6 +73,31 @@ def floor_join(keys: DataFrame, index: DataFrame, index_key: str, payload: list[
     return both.select(by, *[F.col("p0")[c].alias(c) for c in payload], F.inline(ordered.part_of_block())).select(by, "key", *payload)
 
 
+def _by_size(filters: DataFrame, by: str) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """Filters of one segment, the others if there are any, the number of the former and their greatest hash count."""
+    filters = scratch.written(filters, "filters")
+    one = F.col("bit_count") <= bloom.SEGMENT * 64
+    n, most, all_ = filters.agg(F.count_if(one), F.max(F.when(one, F.col("hash_count"))), F.count("*")).first()
+    return filters.filter(one), filters.filter(~one) if all_ > n else None, n, most or 0
+
+
+def bloom_probe(keys: DataFrame, filters: DataFrame, by: str = "run") -> DataFrame:
+    """(by, bit_count, hash_count, key, maybe) for every distinct key and run, as `bloom.probe` gives it.
+
+    A filter of one segment, as all but large runs have, meets blocks of keys whole; larger ones are read by segment."""
+    spark = keys.sparkSession
+    keys = keys.select("key").distinct()
+    small, large, runs, most = _by_size(filters, by)
+    points = ordered.ranked(bloom.with_hash_pair(keys), "key", rank="__rank")
+    total = keys.count()
+    whole = small.select(by, "bit_count", "hash_count", "words", F.lit(0).cast("long").alias("__lo"), F.lit(total).cast("long").alias("__hi"))
+    both = ordered.with_points(ordered.blocks_of(whole), points, total, runs, by)
+    rows = both.select(by, "bit_count", "hash_count", "words", F.inline("__points"))
+    with bloom.wrapping(spark):
+        rows = rows.select(by, "bit_count", "hash_count", "key", bloom.is_member("words", "h1", "h2", F.col("bit_count"), F.col("hash_count"), most).alias("maybe"))
+    return rows if large is None else rows.unionByName(bloom.probe(keys, large, by))
+
+
 def debug_lookup(keys: DataFrame, filters: DataFrame, sparse: DataFrame, blocks: DataFrame) -> DataFrame:
     """What each run would do for each key: the filter's verdict, the floor block and the sparse offset."""
     verdict = bloom.probe(keys.select("key").distinct(), filters).select("run", "key", F.col("maybe").alias("bloom_maybe"))

@@ -244,7 +244,7 @@ QUERIES = {
     "memtable_bytes": lambda s, d: stats.memtable_bytes(log(s, d)),
     "bloom_hash_pair": lambda s, d: bloom.with_hash_pair(_probes(s, d)),
     "bloom_build": lambda s, d: bloom.set_bits(bloom.build(per_run(s, d))).groupBy("run", "bit_count", "hash_count").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("bit_sum")),
-    "bloom_probe": lambda s, d: bloom.probe(_probes(s, d), bloom.build(per_run(s, d))).select("run", "key", "maybe"),
+    "bloom_probe": lambda s, d: lookup.bloom_probe(_probes(s, d), bloom.build(per_run(s, d))).select("run", "key", "maybe"),
     "debug_lookup": q_debug_lookup,
     "store_debug_lookup": q_store_debug_lookup,
     "random_keys": q_random_keys,

@@ -149,8 +149,9 @@ def test_blocks_and_shares_of_any_size(spark, small, monkeypatch, blocks, pairs)
     test_fence_prune(spark, small)
 
 
-def test_fences_meet_blocks_and_not_keys(spark, wide):
-    rows = catalogue.QUERIES["fence_prune"](spark, wide).count()
+@pytest.mark.parametrize("name", ["fence_prune", "bloom_probe"])
+def test_runs_meet_blocks_and_not_keys(spark, wide, name):
+    rows = catalogue.QUERIES[name](spark, wide).count()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     store = spark._jsparkSession.sharedState().statusStore()
     at = store.executionsList().last().executionId()
@@ -159,3 +160,22 @@ def test_fences_meet_blocks_and_not_keys(spark, wide):
     counts = [m for n in joins for m in map(n.metrics().apply, range(n.metrics().size())) if m.name() == "number of output rows"]
     joined = [int(values.apply(m.accumulatorId()).replace(",", "")) for m in counts]
     assert rows > 100_000 and joined and max(joined) < rows / 5
+
+
+@pytest.fixture
+def mixed(spark, small, tmp_path, monkeypatch):
+    """Runs of 40 and of 10 entries: filters of two segments and of one."""
+    monkeypatch.setattr(bloom, "SEGMENT_BITS", 2)
+    monkeypatch.setattr(bloom, "SEGMENT", 4)
+    for t in ("customer", "nation"):
+        spark.read.parquet(f"{small[0]}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.read.parquet(f"{small[0]}/events.parquet").filter(f"event_id % {catalogue.RUN_ROWS} < if(event_id div {catalogue.RUN_ROWS} % 2 = 0, 40, 10)").write.parquet(f"{tmp_path}/events.parquet")
+    runs = {}
+    for r in spark.read.parquet(f"{tmp_path}/events.parquet").orderBy("event_id").collect():
+        runs.setdefault(r.event_id // catalogue.RUN_ROWS, {})[str(r.user_id)] = None if r.event_type == "error" else r.props
+    return str(tmp_path), runs, small[2]
+
+
+def test_filters_of_one_segment_and_of_more(spark, mixed):
+    assert {len(run) for run in mixed[1].values()} == {10, 40}
+    test_bloom_probe(spark, mixed)
