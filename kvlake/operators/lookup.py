@@ -98,10 +98,29 @@ def bloom_probe(keys: DataFrame, filters: DataFrame, by: str = "run") -> DataFra
     return rows if large is None else rows.unionByName(bloom.probe(keys, large, by))
 
 
-def debug_lookup(keys: DataFrame, filters: DataFrame, sparse: DataFrame, blocks: DataFrame) -> DataFrame:
-    """What each run would do for each key: the filter's verdict, the floor block and the sparse offset."""
-    verdict = bloom.probe(keys.select("key").distinct(), filters).select("run", "key", F.col("maybe").alias("bloom_maybe"))
-    block = floor_join(keys, blocks, "first_key", ["block", "first_key", "off", "entry_count", "byte_len"])
-    offset = floor_join(keys, sparse, "key", ["off"]).select("run", "key", F.coalesce("off", F.lit(0)).alias("sparse_offset"))
-    return (verdict.join(block, ["run", "key"]).join(offset, ["run", "key"])
-            .select("run", "key", "bloom_maybe", "first_key", F.col("off").alias("block_off"), "entry_count", "byte_len", "sparse_offset"))
+def debug_lookup(keys: DataFrame, filters: DataFrame, sparse: DataFrame, blocks: DataFrame, by: str = "run") -> DataFrame:
+    """What each run would do for each key: the filter's verdict, the floor block and the sparse offset.
+
+    Both floors come from one sort; a run's pieces in a block of keys share a row with its filter. For runs of several
+    segments the filter's verdicts are joined."""
+    spark = keys.sparkSession
+    keys = keys.select("key").filter("key is not null").distinct()
+    small, large, _, most = _by_size(filters, by)
+    pieces, points, total, runs = _steps(keys, [(blocks, "first_key", ["first_key", "off", "entry_count", "byte_len"]), (sparse, "key", ["off"])], by)
+    points = scratch.written(bloom.with_hash_pair(points), "hashed")
+    grouped = ordered.blocks_of(pieces).groupBy(by, "__block").agg(F.collect_list(F.struct("p0", "p1", "__lo", "__hi")).alias("pieces"))
+    shown = ["p0.first_key", F.col("p0.off").alias("block_off"), "p0.entry_count", "p0.byte_len", F.coalesce("p1.off", F.lit(0)).alias("sparse_offset")]
+
+    def pairs(rows, *kept):
+        rows = ordered.with_points(rows, points, total, runs, by).select(by, "__block", "__points", *kept, F.inline("pieces"))
+        return rows.select(by, *kept, "p0", "p1", F.inline(ordered.part_of_block()))
+
+    rows = pairs(grouped.join(small, by), "bit_count", "hash_count", "words")
+    with bloom.wrapping(spark):
+        maybe = bloom.is_member("words", "h1", "h2", F.col("bit_count"), F.col("hash_count"), most).alias("bloom_maybe")
+        rows = rows.select(by, "key", maybe, *shown)
+    if large is None:
+        return rows
+    verdict = bloom.probe(keys, large, by).select(by, "key", F.col("maybe").alias("bloom_maybe"))
+    rest = pairs(grouped.join(large.select(by).distinct(), by)).select(by, "key", *shown)
+    return rows.unionByName(rest.join(verdict, [by, "key"]).select(rows.columns))

@@ -134,7 +134,7 @@ def wide(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["block_floor", "sparse_floor"])
+@pytest.mark.parametrize("name", ["block_floor", "sparse_floor", "debug_lookup"])
 def test_pairs_are_not_moved(spark, wide, name):
     rows, shuffled = moved(spark, lambda: catalogue.QUERIES[name](spark, wide))
     assert rows == 3010 * 250
@@ -179,3 +179,4 @@ def mixed(spark, small, tmp_path, monkeypatch):
 def test_filters_of_one_segment_and_of_more(spark, mixed):
     assert {len(run) for run in mixed[1].values()} == {10, 40}
     test_bloom_probe(spark, mixed)
+    test_debug_lookup(spark, mixed)
