@@ -69,8 +69,8 @@ def _steps(keys: DataFrame, indexes: list[tuple[DataFrame, str, list[str]]], by:
 def floor_join(keys: DataFrame, index: DataFrame, index_key: str, payload: list[str], by: str = "run") -> DataFrame:
     """As-of lookup: for each key and run, the payload of the greatest index key that is not above it, else NULLs."""
     pieces, points, total, runs = _steps(keys, [(index, index_key, payload)], by)
-    both = ordered.with_points(ordered.blocks_of(pieces), points, total, runs, by)
-    return both.select(by, *[F.col("p0")[c].alias(c) for c in payload], F.inline(ordered.part_of_block())).select(by, "key", *payload)
+    both = ordered.with_points(ordered.blocks_of(pieces), points, total, runs, by, strips=True)
+    return both.select(by, *[F.col("p0")[c].alias(c) for c in payload], F.inline(ordered.part_of_strip())).select(by, "key", *payload)
 
 
 def _by_size(filters: DataFrame, by: str) -> tuple[DataFrame, DataFrame | None, int, int]:

@@ -13,6 +13,8 @@ PART, ROW = "__part", "__row"
 #: Ranks that share a block, and pairs that a block and a share of its pieces make at most, about.
 BLOCK = 8192
 PAIRS = 1 << 23
+#: Ranks of a block that follow each other for one piece after the other; 504 values are a bit-packed run of Parquet.
+STRIP = 504
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -56,19 +58,31 @@ def blocks_of(pieces: DataFrame) -> DataFrame:
     return pieces.filter("__hi > __lo").withColumn("__block", F.explode(F.sequence(F.expr(f"__lo div {BLOCK}"), F.expr(f"(__hi - 1) div {BLOCK}"))))
 
 
-def part_of_block() -> Column:
-    """Of the points of a block, those that a piece holds."""
-    start = F.col("__block") * BLOCK
+def _part(start: Column) -> Column:
+    """Of the points from the rank `start` on, those that a piece holds."""
     low = F.greatest(F.col("__lo") - start, F.lit(0))
-    n = F.least(F.col("__hi") - start, F.lit(BLOCK)) - low
+    n = F.least(F.col("__hi") - start, F.size("__points")) - low
     return F.when(n >= F.size("__points"), F.col("__points")).otherwise(F.slice("__points", (low + 1).cast("int"), n.cast("int")))
 
 
-def with_points(rows: DataFrame, points: DataFrame, total: int, groups: int, by: str) -> DataFrame:
+def part_of_block() -> Column:
+    """Of the points of a block, those that a piece holds."""
+    return _part(F.col("__block") * BLOCK)
+
+
+def part_of_strip() -> Column:
+    """Of the points of a strip, those that a piece holds."""
+    return _part(F.col("__block") * BLOCK + F.col("__strip") * STRIP)
+
+
+def with_points(rows: DataFrame, points: DataFrame, total: int, groups: int, by: str, strips: bool = False) -> DataFrame:
     """`rows`, of `groups` values of `by` and a `__block`, with the block's points as one array `__points`.
 
     Pairs are made only when the array is unpacked, after the last shuffle: what moves is a row for a group and block, and
-    each block once for a share of the groups. Shuffles are by number, as their bytes do not tell the pairs."""
+    each block once for a share of the groups. Shuffles are by number, as their bytes do not tell the pairs.
+
+    With `strips`, pieces meet the strips of a block and come strip by strip: a stored result repeats few keys at a time,
+    which dictionaries find and files compress well."""
     columns = [c for c in points.columns if c != "__rank"]
     shares, blocks = 1 + groups * BLOCK // PAIRS, 1 + total // BLOCK
     wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -77,7 +91,15 @@ def with_points(rows: DataFrame, points: DataFrame, total: int, groups: int, by:
     packed = packed.withColumn("__points", F.transform("__points", lambda x: F.struct(*[x[c].alias(c) for c in columns])))
     packed = packed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     rows = rows.withColumn("__share", F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
-    return rows.repartition(parts, "__block", "__share").join(packed.repartition(parts, "__block", "__share"), ["__block", "__share"])
+    rows, packed = (x.repartition(parts, "__block", "__share") for x in (rows, packed))
+    if strips:
+        first, last = (f"cast(({at} - __block * {BLOCK}) div {STRIP} as int)" for at in (f"greatest(__lo, __block * {BLOCK})", f"least(__hi, (__block + 1) * {BLOCK}) - 1"))
+        rows = rows.withColumn("__strip", F.explode(F.sequence(F.expr(first), F.expr(last))))
+        # a sort right below a join would be dropped, but not below this filter, which all rows pass
+        rows = rows.sortWithinPartitions("__block", "__share", "__strip", by, "__lo").filter(F.monotonically_increasing_id() >= 0)
+        packed = packed.withColumn("__points", F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(__points) - 1) div {STRIP} as int)")), lambda i: F.slice("__points", i * STRIP + 1, F.lit(STRIP))))
+    both = rows.join(packed, ["__block", "__share"])
+    return both.withColumn("__points", F.col("__points")[F.col("__strip")]) if strips else both
 
 
 def intervals(points: DataFrame, spans: DataFrame, low: str, high: str, on: str) -> DataFrame:

@@ -180,3 +180,22 @@ def test_filters_of_one_segment_and_of_more(spark, mixed):
     assert {len(run) for run in mixed[1].values()} == {10, 40}
     test_bloom_probe(spark, mixed)
     test_debug_lookup(spark, mixed)
+
+
+@pytest.mark.parametrize("blocks, strips, pairs", [(8, 3, 4), (64, 5, 1000), (64, 16, 1 << 23)])
+def test_strips_of_any_size(spark, small, monkeypatch, blocks, strips, pairs):
+    monkeypatch.setattr(ordered, "STRIP", strips)
+    test_blocks_and_shares_of_any_size(spark, small, monkeypatch, blocks, pairs)
+    test_block_floor(spark, small)
+
+
+def stored(spark, name, d, to):
+    """Rows of a query's result, and its bytes as a table."""
+    catalogue.QUERIES[name](spark, d).write.parquet(str(to))
+    return spark.read.parquet(str(to)).count(), sum(f.stat().st_size for f in to.glob("*.parquet"))
+
+
+def test_stored_floors_are_small(spark, wide, tmp_path):
+    rows, size = stored(spark, "sparse_floor", wide, tmp_path / "out")
+    assert rows == 3010 * 250
+    assert size < rows / 2
