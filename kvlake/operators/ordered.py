@@ -118,5 +118,5 @@ def intervals(points: DataFrame, spans: DataFrame, low: str, high: str, on: str)
     met = rows.filter("__kind = 1").select("__rank", *points.columns)
     total = met.count()
     full = spans.join(ends, "__span", "left").withColumns({"__lo": F.coalesce("__lo", F.lit(0)), "__hi": F.coalesce("__hi", F.lit(total))})
-    both = with_points(blocks_of(full), met, total, spans.count(), "__span")
-    return both.select(*[c for c in spans.columns if c != "__span"], F.inline(part_of_block()))
+    both = with_points(blocks_of(full), met, total, spans.count(), "__span", strips=True)
+    return both.select(*[c for c in spans.columns if c != "__span"], F.inline(part_of_strip()))

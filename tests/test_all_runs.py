@@ -199,3 +199,9 @@ def test_stored_floors_are_small(spark, wide, tmp_path):
     rows, size = stored(spark, "sparse_floor", wide, tmp_path / "out")
     assert rows == 3010 * 250
     assert size < rows / 2
+
+
+def test_stored_ranges_are_small(spark, wide, tmp_path):
+    rows, size = stored(spark, "fence_prune", wide, tmp_path / "out")
+    assert rows > 100_000
+    assert size < rows / 2
